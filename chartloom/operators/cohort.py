@@ -13,7 +13,7 @@ from chartloom.functions.dates import age_and_death, is_bad_date, parse_date, ts
 from chartloom.functions.ids import clean_id
 from chartloom.functions.labels import norm_gender, norm_label, title_case
 from chartloom.operators.lookups import map_codes
-from chartloom.operators.records import only, union_all
+from chartloom.operators.records import part_of, union_all
 
 
 def _meta(meta_col: str, name: str) -> Column:
@@ -114,7 +114,7 @@ def to_nested_map(
     """
     sizes = df.groupBy(outer).agg(F.ceil(F.count("*") / max_entries).cast("bigint").alias("_parts"))
     # Size rows are one per outer key; Spark broadcasts them when they measure small.
-    spread = df.join(sizes, outer).withColumn("part", F.pmod(F.xxhash64(F.col(inner)), F.col("_parts")))
+    spread = df.join(sizes, outer).withColumn("part", part_of(F.col(inner), F.col("_parts")))
     entry = F.struct(F.col(inner).cast("string").alias("key"), F.col(value).alias("value"))
     return spread.groupBy(outer, "part").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("entries"))
 

@@ -60,8 +60,8 @@ def lzw_decode(payload: bytes) -> bytes:
                 out.append(out[begin])
         if len(starts) < TABLE_LIMIT - FIRST_ENTRY + 1:
             starts.append(here)
-        if FIRST_ENTRY - 1 + len(starts) in WIDEN_AT and starts[-1] == here:
-            width += 1
+            if FIRST_ENTRY - 1 + len(starts) in WIDEN_AT:
+                width += 1
 
 
 def _decode_or_error(payload: bytes | None) -> tuple[bytes | None, str | None]:

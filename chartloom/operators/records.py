@@ -47,6 +47,11 @@ def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
+def part_of(key: Column, parts: Column) -> Column:
+    """The part (0-based) a text key belongs to: by MD5, so that any reader can tell."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % parts
+
+
 def explode_records(df: DataFrame, records_col: str) -> DataFrame:
     """One row per element of an array of objects, its fields as columns."""
     names = df.schema[records_col].dataType.elementType.names

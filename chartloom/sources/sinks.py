@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.operators.cohort import to_nested_map
 from chartloom.operators.ledger import upsert
-from chartloom.operators.records import json_column, to_ndjson
+from chartloom.operators.records import json_column, part_of, to_ndjson
 from chartloom.sources.records import require_avro
 
 
@@ -25,7 +25,7 @@ def dict_json(df: DataFrame, key: str, value: str, parts: int = 1) -> DataFrame:
     in two parts, so reading all of them gives the one dictionary.
     """
     entry = F.struct(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))
-    part = F.pmod(F.xxhash64(F.col(key)), F.lit(parts)) if parts > 1 else F.lit(0).cast("bigint")
+    part = part_of(F.col(key), F.lit(parts))
     grouped = df.groupBy(part.alias("part")).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("m"))
     return grouped.select("part", F.to_json("m", {"ignoreNullFields": "false"}).alias("value"))
 
