@@ -44,21 +44,32 @@ def strip_markers(col: Column, markers: Iterable[str] = BLOB_MARKERS) -> Column:
     return text.cast("binary")
 
 
-def bytes_between(col: Column, start: str, end: str) -> tuple[Column, Column]:
-    """(bytes from the first ``start`` to the last ``end``, true if unterminated).
+def stream_marks(col: Column, start: str, end: str) -> tuple[Column, Column]:
+    """(bytes before the first ``start``, bytes after the last ``end``).
 
-    The bytes are null when ``start`` is absent or nothing ends it.
+    Either is the size of the whole column where its marker is absent.
     """
     text = col.cast("string")
-    size = F.octet_length(text)
-    before = F.octet_length(F.substring_index(text, start, 1))
-    after = F.octet_length(F.substring_index(text, end, -1))
+    return F.octet_length(F.substring_index(text, start, 1)), F.octet_length(F.substring_index(text, end, -1))
+
+
+def cut_stream(col: Column, before: Column, after: Column, end: str) -> tuple[Column, Column]:
+    """(the stream between two marks, true if it starts but never ends)."""
+    size = F.octet_length(col)
     has_start = before < size
     ended = (after < size) & (size - after - len(end) >= before)
     found = F.when(has_start & ended, col.substr(before + 1, size - after - before))
     return found, F.coalesce(has_start & ~ended, F.lit(False))
 
 
+def bytes_between(col: Column, start: str, end: str) -> tuple[Column, Column]:
+    """(bytes from the first ``start`` to the last ``end``, true if unterminated).
+
+    The bytes are null when ``start`` is absent or nothing ends it.
+    """
+    return cut_stream(col, *stream_marks(col, start, end), end)
+
+
 # How a stream begins and ends inside a payload.
 PDF = ("%PDF-", "%%EOF")
 RTF = ("{\\rtf", "}")

@@ -18,13 +18,14 @@ from chartloom.functions.binary import (
     PDF,
     RTF,
     base64_text,
-    bytes_between,
+    cut_stream,
     decode_base64,
     head_hex,
     is_strict_base64,
+    stream_marks,
     strip_markers,
 )
-from chartloom.operators.lzw import lzw_decoded
+from chartloom.operators.lzw import unpacked
 from chartloom.operators.records import only
 
 FAIL, KEEP_FIRST, KEEP_LAST = "fail", "keep_first", "keep_last"
@@ -188,77 +189,67 @@ def _assemble(parts: DataFrame, dup: str, encoding: str, require_start: tuple[in
     )
 
 
-def resolve_payload(
-    df: DataFrame, bin_col: str = "binarydoc", lzw_label: str = "cerner_lzw", decode: bool = True
-) -> tuple[DataFrame, DataFrame]:
+def resolve_payload(df: DataFrame, bin_col: str = "binarydoc", lzw_label: str = "cerner_lzw") -> tuple[DataFrame, DataFrame]:
     """(documents with the payload in ``bin_col``, failed documents with ``error``).
 
     An embedded PDF is taken first, then an embedded RTF; both by byte search in
-    native expressions.  Only payloads that hold neither are LZW-decoded in Python
-    and searched again; what holds neither then is the decoded payload itself.  An
-    unterminated stream is noted before decoding and an error after it.
+    native expressions.  Only payloads that hold neither go to Python, where they
+    are LZW-decoded and searched again; what holds neither then is the decoded
+    payload itself.  An unterminated stream is noted before decoding and an error
+    after it.
     """
     others = only(df, [c for c in df.columns if c != bin_col])
-    # The marker-free bytes get a projection of their own: they are searched four
-    # times and must not be rebuilt each time.
-    clean = df.select(*others, F.col(bin_col).alias("_raw"), strip_markers(F.col(bin_col)).alias("_clean"))
-    pdf, pdf_open = bytes_between(F.col("_clean"), *PDF)
-    rtf, rtf_open = bytes_between(F.col("_clean"), *RTF)
-    emb = F.col("_emb")
-    embedded = F.coalesce(emb["pdf"], emb["rtf"])
+    searched = _search(df.select(*others, F.col(bin_col).alias("_raw")), others, "_raw")
+    embedded = F.coalesce("_pdf", "_rtf")
     note = F.concat_ws(
         "; ",
-        F.when(emb["pdf_open"], "pdf: stream has no end marker"),
-        F.when(emb["rtf_open"], "rtf: stream has no end marker"),
-    )
-    searched = clean.select(
-        *others,
-        "_raw",
-        F.struct(pdf.alias("pdf"), rtf.alias("rtf"), pdf_open.alias("pdf_open"), rtf_open.alias("rtf_open")).alias("_emb"),
+        F.when(F.col("_pdf_open"), "pdf: stream has no end marker"),
+        F.when(F.col("_rtf_open"), "rtf: stream has no end marker"),
     )
     found = searched.select(
         *others,
         embedded.alias("_payload"),
-        F.when(emb["pdf"].isNotNull(), "embedded_pdf").when(emb["rtf"].isNotNull(), "embedded_rtf").alias("_source"),
+        F.when(F.col("_pdf").isNotNull(), "embedded_pdf").when(F.col("_rtf").isNotNull(), "embedded_rtf").alias("_source"),
         F.when(embedded.isNull(), F.nullif(note, F.lit(""))).alias("embedded_payload_extract_error"),
-        F.when(embedded.isNull(), F.col("_raw")).alias("_raw"),
-    )
-    if decode:
-        found = found.withColumn("_lzw", lzw_decoded(F.col("_raw")))
-    else:
-        none = F.struct(F.lit(None).cast("binary").alias("payload"), F.lit("payload is compressed").alias("error"))
-        found = found.withColumn("_lzw", F.when(F.col("_raw").isNotNull(), none))
-    lzw = F.col("_lzw")["payload"]
-    found = found.withColumn("_clean", strip_markers(lzw))
-    pdf2, pdf2_open = bytes_between(F.col("_clean"), *PDF)
-    rtf2, rtf2_open = bytes_between(F.col("_clean"), *RTF)
-    payload = F.coalesce(F.col("_payload"), pdf2, F.when(~pdf2_open, rtf2), lzw)
-    source = F.coalesce(
-        F.col("_source"),
-        F.when(pdf2.isNotNull(), lzw_label + "_pdf").when(rtf2.isNotNull(), lzw_label + "_rtf").otherwise(lzw_label),
-    )
-    error = (
-        F.when(F.col("_source").isNotNull(), F.lit(None).cast("string"))
-        .when(F.col("_raw").isNull(), "missing payload")
-        .when(lzw.isNull(), F.coalesce(F.col("_lzw")["error"], F.lit("payload could not be decoded")))
-        .when(pdf2_open, "decoded pdf stream has no end marker")
-        .when(pdf2.isNull() & rtf2_open, "decoded rtf stream has no end marker")
+        F.when(embedded.isNull(), F.col("_raw")).alias("_packed"),
     )
+    found = found.withColumn("_lzw", unpacked(F.col("_packed")))
+    lzw, is_lzw = F.col("_lzw"), F.col("_source").isNull()
+    label = F.when(lzw["kind"] == "", lzw_label).otherwise(F.concat(F.lit(lzw_label + "_"), lzw["kind"]))
     full = found.select(
         *others,
-        payload.alias(bin_col),
-        source.alias("blob_payload_source"),
-        F.col("_source").isNull().alias("is_lzw_compressed"),
-        F.octet_length(lzw).alias("decompressed_len"),
-        head_hex(lzw).alias("decompressed_head_hex"),
+        F.coalesce("_payload", lzw["payload"]).alias(bin_col),
+        F.coalesce("_source", label).alias("blob_payload_source"),
+        is_lzw.alias("is_lzw_compressed"),
+        lzw["decompressed_len"].alias("decompressed_len"),
+        lzw["decompressed_head_hex"].alias("decompressed_head_hex"),
         F.col("embedded_payload_extract_error"),
-        error.alias("error"),
+        F.when(is_lzw, F.when(F.col("_packed").isNull(), "missing payload").otherwise(lzw["error"])).alias("error"),
     )
     good = full.filter(F.col("error").isNull()).drop("error")
     failed = full.filter(F.col("error").isNotNull()).select(*others, "embedded_payload_extract_error", "error")
     return good, failed
 
 
+def _search(df: DataFrame, keep: list, col: str) -> DataFrame:
+    """Add the PDF and RTF streams inside a payload, one projection per step.
+
+    Each step's columns are used several times by the next; as separate
+    projections they are computed once and the generated code stays small.
+    """
+    clean = F.col("_clean")
+    pdf0, pdf1 = stream_marks(clean, *PDF)
+    rtf0, rtf1 = stream_marks(clean, *RTF)
+    marked = df.select(*keep, col, strip_markers(F.col(col)).alias("_clean")).select(
+        *keep, col, "_clean", pdf0.alias("_p0"), pdf1.alias("_p1"), rtf0.alias("_r0"), rtf1.alias("_r1")
+    )
+    pdf, pdf_open = cut_stream(clean, F.col("_p0"), F.col("_p1"), PDF[1])
+    rtf, rtf_open = cut_stream(clean, F.col("_r0"), F.col("_r1"), RTF[1])
+    return marked.select(
+        *keep, col, pdf.alias("_pdf"), pdf_open.alias("_pdf_open"), rtf.alias("_rtf"), rtf_open.alias("_rtf_open")
+    )
+
+
 def encode_payload(df: DataFrame, bin_col: str = "binarydoc", mode: str = "base64") -> DataFrame:
     """The payload as one-line base64, or as text with bad bytes replaced."""
     raw = F.col(bin_col)

@@ -92,7 +92,8 @@ def apply_text_model(df: DataFrame, col: str, make_model: Callable[[], Callable[
             joined = done.groupby(level=0, sort=True).agg(list)
             yield joined.where(batch.notna(), None)
 
-    answers = run(F.when(text.isNotNull(), slices))
+    # A later filter on the text must not make the model run twice.
+    answers = run.asNondeterministic()(F.when(text.isNotNull(), slices))
     return df.select(*[(F.array_join(answers, "") if c == col else F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartloom.functions.binary import BLOB_MARKERS, PDF, RTF
+
 # Fixed values of the code stream.
 RESTART, END, FIRST_ENTRY = 256, 257, 258
 TABLE_LIMIT = 8192
@@ -64,25 +66,62 @@ def lzw_decode(payload: bytes) -> bytes:
                 width += 1
 
 
-def _decode_or_error(payload: bytes | None) -> tuple[bytes | None, str | None]:
-    if payload is None:
-        return None, None
+def _stream_in(data: bytes) -> tuple[bytes, str] | None:
+    """The PDF or else the RTF inside decoded bytes, with its kind."""
+    for marker in BLOB_MARKERS:
+        data = data.replace(marker.encode(), b"")
+    for kind, (start, end) in (("pdf", PDF), ("rtf", RTF)):
+        begin = data.find(start.encode())
+        if begin < 0:
+            continue
+        stop = data.rfind(end.encode())
+        if stop < begin:
+            raise ValueError(f"decoded {kind} stream has no end marker")
+        return data[begin : stop + len(end)], kind
+    return None
+
+
+def unpack(payload: bytes) -> dict[str, object]:
+    """Decode one payload and take the document out of it."""
+    row: dict[str, object] = dict.fromkeys(_UNPACKED.names)
     try:
-        out = lzw_decode(bytes(payload))
+        data = lzw_decode(payload)
     except ValueError as exc:
-        return None, f"payload is no embedded stream and not LZW: {exc}"
-    return (out, None) if out else (None, "LZW decode gave an empty payload")
+        return row | {"error": f"payload is no embedded stream and not LZW: {exc}"}
+    if not data:
+        return row | {"error": "LZW decode gave an empty payload"}
+    row |= {"decompressed_len": len(data), "decompressed_head_hex": data[:16].hex()}
+    try:
+        found = _stream_in(data)
+    except ValueError as exc:
+        return row | {"error": str(exc)}
+    stream, kind = found or (data, "")
+    return row | {"payload": stream, "kind": kind}
 
 
-_DECODED = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("error", T.StringType())])
+_UNPACKED = T.StructType([
+    T.StructField("payload", T.BinaryType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("decompressed_len", T.LongType()),
+    T.StructField("decompressed_head_hex", T.StringType()),
+])
+_NOTHING: dict[str, object] = dict.fromkeys(_UNPACKED.names)
 
 
-@F.pandas_udf(_DECODED)
-def _lzw_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.pandas_udf(_UNPACKED)
+def _unpack_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame([_decode_or_error(p) for p in batch], columns=["payload", "error"])
+        rows = [_NOTHING if p is None else unpack(bytes(p)) for p in batch]
+        frame = pd.DataFrame(rows, columns=_UNPACKED.names)
+        yield frame.astype({"decompressed_len": "Int64"})
+
+
+# Marked so that a filter on the result is not pushed below the call, which would
+# make every payload be decoded once for the filter and once for the result.
+_unpack_once = _unpack_udf.asNondeterministic()
 
 
-def lzw_decoded(col: Column) -> Column:
-    """``struct(payload, error)`` per row; a null input costs nothing."""
-    return _lzw_udf(col)
+def unpacked(col: Column) -> Column:
+    """``struct(payload, kind, error, decompressed_len, decompressed_head_hex)``; null in costs nothing."""
+    return _unpack_once(col)
