@@ -1,8 +1,8 @@
 """Assembly of documents whose parts arrive in different batches.
 
 Parts wait in keyed state, one entry per sequence number.  A document is emitted
-when ``total`` different parts are there; a processing-time timer sends what stays
-incomplete to the failures.
+when ``total`` different parts are there; with a time limit, a processing-time timer
+sends what stays incomplete to the failures.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ _DONE = T.StructType([T.StructField("emitted", T.BooleanType())])
 
 
 class _Assembler(StatefulProcessor):
-    def __init__(self, timeout_ms: int) -> None:
+    def __init__(self, timeout_ms: int | None) -> None:
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -57,7 +57,7 @@ class _Assembler(StatefulProcessor):
         elif error is not None:
             yield _row(key[0], error=error)
         else:
-            if fresh:
+            if fresh and self.timeout_ms is not None:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
             return
         self._close()
@@ -79,25 +79,30 @@ class _Assembler(StatefulProcessor):
     def _close(self) -> None:
         self.parts.clear()
         self.done.update((True,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if self.timeout_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
 
     def close(self) -> None:
         pass
 
 
 def _row(key: str, payload: bytes | None = None, parts: int | None = None, error: str | None = None) -> pd.DataFrame:
-    frame = pd.DataFrame({"id": [key], "payload": [payload], "blob_parts": pd.array([parts], dtype="Int64"), "error": [error]})
-    return frame
+    count = pd.array([parts], dtype="Int64")
+    return pd.DataFrame({"id": [key], "payload": [payload], "blob_parts": count, "error": [error]})
 
 
 def stream_assemble_blobs(
-    df: DataFrame, id_col: str, seq_col: str, bin_col: str, total_col: str, timeout_ms: int = 3_600_000
+    df: DataFrame, id_col: str, seq_col: str, bin_col: str, total_col: str, timeout_ms: int | None = None
 ) -> DataFrame:
     """``id, payload, blob_parts, error`` as documents complete or run out of time.
 
     ``total_col`` says how many parts a document has.  Needs the RocksDB state
     store; state of one document is spread over map entries, one per part.
+
+    Without ``timeout_ms`` incomplete documents wait, and an ``availableNow`` run
+    ends when its input does.  With it, timers are checked in batches without data
+    too, so such a query belongs on a trigger with an interval.
     """
     parts = df.select(
         F.col(id_col).cast("string").alias("id"),
@@ -109,5 +114,5 @@ def stream_assemble_blobs(
         statefulProcessor=_Assembler(timeout_ms),
         outputStructType=_OUT,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="None" if timeout_ms is None else "ProcessingTime",
     )

@@ -11,6 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_annotations(table(spark, sf_dir, "events"))
+
+
+def shape_annotations(events: DataFrame) -> DataFrame:
     """Events as concept mentions; four events make up a document.
 
     Meta annotations come from the number ``k`` in the event's properties.
@@ -26,7 +30,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         value(F.when(k % 7 == 0, "False").otherwise("True")).alias("Presence"),
         F.when(k % 11 != 0, value(time)).alias("Time"),
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.expr("event_id div 4").alias("docid"),
         F.col("event_id").alias("ann_id"),
         F.col("event_type").alias("cui"),
@@ -155,8 +159,11 @@ PART_CHARS = 200
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_parts(table(spark, sf_dir, "documents")).drop("n_parts")
+
+
+def shape_parts(docs: DataFrame) -> DataFrame:
     """Document texts cut in base64 parts, with every kind of damage on some."""
-    docs = table(spark, sf_dir, "documents")
     doc, n = F.col("doc_id"), F.col("n")
     cut = docs.withColumn("n", F.greatest(F.lit(1), F.ceil(F.length("text") / PART_CHARS)).cast("int"))
     rows = cut.select("doc_id", "lang", "text", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
@@ -175,6 +182,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         payload.alias("plain"),
         F.col("lang"),
         F.col("i"),
+        n.alias("n_parts"),
         F.explode(copies).alias("copy"),
     ).select(
         "id",
@@ -183,6 +191,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("copy") == 1, F.lit("ISE=")).otherwise(F.col("plain")).alias("binarydoc"),
         "lang",
         (F.col("id") * 1000000 + F.col("i") * 2 + F.col("copy")).alias("ordinal"),
+        "n_parts",
     )
 
 

@@ -178,24 +178,22 @@ def mapped_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("annotation_star", """
-SELECT o_custkey AS document_id, o_orderstatus AS doc_status, l_orderkey * 10 + l_linenumber AS ann_id, l_returnflag AS ann_label,
-  l_linestatus AS meta_value, l_tax AS meta_confidence, l_suppkey AS model_id_used, s_name AS model_name
-FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderkey FROM orders) o
-JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey""")
+SELECT o_custkey AS document_id, o_orderstatus AS doc_status, event_id AS ann_id, event_type AS ann_label,
+  props AS meta_value, value AS meta_confidence, s_suppkey AS model_id_used, s_name AS model_name
+FROM orders JOIN events ON event_id // 4 = o_orderkey JOIN supplier ON s_suppkey = user_id % 10""")
 def star(spark: SparkSession, sf: str) -> DataFrame:
-    lines, order = table(spark, sf, "lineitem"), F.col("l_orderkey")
-    ann = (order * 10 + F.col("l_linenumber")).alias
     docs = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("document_key"), F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    anns = lines.select(ann("id"), order.alias("document_key"), F.col("l_returnflag").alias("label"), F.col("l_suppkey").alias("model_id_used"),
-                        F.monotonically_increasing_id().alias("row"))
-    # Line numbers repeat within an order of this table: the row number keeps the key unique.
-    keyed = lines.select(F.monotonically_increasing_id().alias("row"), ann("old"), "l_linestatus", "l_tax")
-    anns = anns.withColumnRenamed("id", "old").withColumnRenamed("row", "id")
-    meta = keyed.select(F.col("row").alias("annotation_id"), F.col("l_linestatus").alias("value"), F.col("l_tax").alias("confidence"))
+        F.col("o_orderkey").alias("document_key"), F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status")
+    )
+    events = table(spark, sf, "events")
+    anns = events.select(
+        F.col("event_id").alias("id"), F.expr("event_id div 4").alias("document_key"), F.col("event_type").alias("label"),
+        (F.col("user_id") % 10).alias("model_id_used"),
+    )
+    meta = events.select(F.col("event_id").alias("annotation_id"), F.col("props").alias("value"), F.col("value").alias("confidence"))
     models = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     rows = annotation_star(docs, anns, meta, models, document_key="document_key")
     return rows.select(
-        F.col("doc_id").alias("document_id"), "doc_status", F.col("ann_old").alias("ann_id"), "ann_label", "meta_value",
-        "meta_confidence", "model_id_used", "model_name",
+        F.col("doc_id").alias("document_id"), "doc_status", "ann_id", "ann_label", "meta_value", "meta_confidence",
+        "model_id_used", "model_name",
     )
