@@ -4,12 +4,16 @@ The tables are no clinical data.  ``workload.inputs`` shapes them into the recor
 the operators expect, by expressions that the SQL twins repeat.
 """
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
