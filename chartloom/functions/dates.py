@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -41,6 +42,22 @@ def is_bad_date(col: Column, parsed: Column) -> Column:
     return ~is_no_date(col) & parsed.isNull()
 
 
+_DIGITS = {"y": 4, "M": 2, "d": 2, "H": 2, "m": 2, "s": 2}
+
+
+def _shape(fmt: str) -> str | None:
+    """What text in an all-digit format looks like; None for formats with names or zones."""
+    out = ""
+    for part in re.finditer(r"'(?P<quoted>[^']*)'|(?P<field>(?P<letter>[A-Za-z])(?P=letter)*)|(?P<mark>.)", fmt):
+        if part["field"]:
+            if _DIGITS.get(part["letter"]) != len(part["field"]):
+                return None
+            out += rf"\d{{{len(part['field'])}}}"
+        else:
+            out += re.escape(part["quoted"] or part["mark"])
+    return f"^{out}$"
+
+
 def parse_first(col: Column, formats: Sequence[str]) -> Column:
     """First format that parses; ``epoch_millis`` takes a run of digits."""
     text = col.cast("string")
@@ -50,7 +67,10 @@ def parse_first(col: Column, formats: Sequence[str]) -> Column:
             digits = F.when(text.rlike(r"^-?\d{9,}$"), text.try_cast("bigint"))
             tries.append(_from_millis(digits))
         else:
-            tries.append(F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
+            # A parser that fails throws inside; the shape test spares most of that.
+            shape = _shape(fmt)
+            candidate = text if shape is None else F.when(text.rlike(shape), text)
+            tries.append(F.try_to_timestamp(candidate, F.lit(fmt)).cast("timestamp_ntz"))
     return F.coalesce(*tries)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -24,12 +25,24 @@ CLINICAL_SCRUB_RULES: tuple[tuple[str, str], ...] = (
 
 # Unicode-aware classes and case folding.
 _FLAGS = "(?iU)"
+_WORDS = re.compile(r"[A-Za-z]+(\|[A-Za-z]+)+")
+
+
+def _quick(pattern: str) -> str:
+    """The same pattern; a choice of plain words first looks at one letter.
+
+    That rejects most positions of a text in one step, which halves the cost.
+    """
+    if not _WORDS.fullmatch(pattern):
+        return pattern
+    first = "".join(sorted({word[0] for word in pattern.split("|")}))
+    return f"(?=[{first}])(?:{pattern})"
 
 
 def scrub(col: Column, rules: Iterable[tuple[str, str]] = CLINICAL_SCRUB_RULES) -> Column:
     """Apply the substitutions in order as one expression; null stays null."""
     for pattern, replacement in rules:
-        col = F.regexp_replace(col, F.lit(_FLAGS + pattern), F.lit(replacement))
+        col = F.regexp_replace(col, F.lit(_FLAGS + _quick(pattern)), F.lit(replacement))
     return col
 
 
@@ -72,10 +85,11 @@ def python_float_text(col: Column) -> Column:
     digits = F.regexp_replace(exponent, "^-", "")
     padded = F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
     scientific = F.concat(mantissa, F.lit("e"), sign, padded)
+    # Ordinary numbers take the first branch, at the cost of two comparisons.
     return (
-        F.when(F.isnan(col), "nan")
+        F.when((size >= 1e-3) & (size < 1e7) | (size == 0), raw)
+        .when(F.isnan(col), "nan")
         .when(size == float("inf"), F.when(col > 0, "inf").otherwise("-inf"))
-        .when(~raw.contains("E"), raw)
         .when((size >= 1e-4) & (size < 1e-3), plain("decimal(38,24)"))
         .when((size >= 1e7) & (size < 1e16), plain("decimal(38,16)"))
         .otherwise(scientific)

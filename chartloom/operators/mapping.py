@@ -27,6 +27,11 @@ def _non_empty(col: Column) -> Column:
     return F.when(col != "", col)
 
 
+def _scalar(col: Column, dtype: T.DataType) -> Column:
+    """A scalar as text, null when empty; only text can be."""
+    return _non_empty(col) if isinstance(dtype, T.StringType) else scalar_text(col, dtype)
+
+
 def render_items(col: Column, dtype: T.DataType, keys: Sequence[str] = ITEM_KEYS) -> Column:
     """A list of objects as text, one block per object, blank line between.
 
@@ -47,15 +52,15 @@ def render_items(col: Column, dtype: T.DataType, keys: Sequence[str] = ITEM_KEYS
             return F.when(F.size(value) > 0, F.to_json(value))
         if isinstance(kind, T.StructType):
             return F.to_json(value)
-        return _non_empty(scalar_text(value, kind))
+        return _scalar(value, kind)
 
     def block(values: Column) -> Column:
         rest = F.array_join(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), " | ")
         return F.when(F.size(values) > 1, F.concat(values[0], F.lit(": "), rest)).when(F.size(values) == 1, values[0])
 
-    values = F.transform(col, lambda item: F.filter(F.array(*[part(item, k) for k in present]), lambda v: v.isNotNull()))
-    blocks = F.filter(F.transform(values, lambda v: F.when(F.size(v) > 0, block(v))), lambda b: b.isNotNull())
-    return _non_empty(F.array_join(blocks, "\n\n"))
+    values = F.transform(col, lambda item: F.array_compact(F.array(*[part(item, k) for k in present])))
+    # array_join leaves out the null blocks of empty items.
+    return _non_empty(F.array_join(F.transform(values, block), "\n\n"))
 
 
 def _composite_value(get: Getter, fields: Mapping[str, T.DataType], name: str) -> Column:
@@ -67,7 +72,7 @@ def _composite_value(get: Getter, fields: Mapping[str, T.DataType], name: str) -
         return render_items(get(name), kind)
     if isinstance(kind, (T.StructType, T.MapType)):
         return F.lit(None).cast("string")
-    return _non_empty(scalar_text(get(name), kind))
+    return _scalar(get(name), kind)
 
 
 def _split(mapping: Mapping[str, Any]) -> tuple[dict[str, Any], dict[str, dict[str, Any]]]:

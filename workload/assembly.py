@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from chartloom.functions import base64_text, strip_markers
 from chartloom.operators import assemble_blobs, encode_payload, resolve_payload
 from workload import query
-from workload.inputs import PARTS_SQL, parts, table
+from workload.inputs import PARTS_SQL, parts, spread, table
 
 _SHAPE = """
 SELECT doc_id AS id, lang, md5(payload) AS digest, octet_length(encode(payload)) AS compressed_len,
@@ -133,7 +133,7 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
         .when(doc % 6 == 5, F.concat(b("%PDF-1.7 "), text, F.when(doc % 12 == 5, b("%%EOF")).otherwise(b(""))))
     )
     stored = F.coalesce(inner, F.when(doc % 17 == 0, b("\x01\x02")).otherwise(F.col("packed")))
-    docs = table(spark, sf, "documents").withColumn("packed", _packed_once(packed))
+    docs = spread(spark, sf, "documents").withColumn("packed", _packed_once(packed))
     return docs.select("doc_id", stored.alias("binarydoc"))
 
 

@@ -9,7 +9,7 @@ from chartloom.functions import CLINICAL_SCRUB_RULES
 from chartloom.operators import cast_common, cast_dates_by_name, match_text, scrub_text, with_keyword
 from chartloom.sources import decode_with_fallback
 from workload import query
-from workload.inputs import table
+from workload.inputs import spread, table
 
 
 def _dated(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _dated(spark: SparkSession, sf: str) -> DataFrame:
         .when(event % 6 == 4, F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts).cast("string"))
         .otherwise(F.lit("soon"))
     )
-    return table(spark, sf, "events").select(
+    return spread(spark, sf, "events").select(
         event,
         text.alias("Event_DateTime"),
         F.when(event % 5 == 0, "many").otherwise(F.col("user_id").cast("string")).alias("users"),
@@ -68,7 +68,7 @@ def _scrub_sql(column: str) -> str:
 
 @query("scrubbed_text", f"SELECT doc_id, {_scrub_sql('text')} AS text FROM documents")
 def scrubbed(spark: SparkSession, sf: str) -> DataFrame:
-    return scrub_text(table(spark, sf, "documents").select("doc_id", "text"))
+    return scrub_text(spread(spark, sf, "documents").select("doc_id", "text"))
 
 
 TERMS = ["and", "que", "The"]
@@ -77,7 +77,7 @@ TERMS = ["and", "que", "The"]
 @query("matched_text", r"""SELECT doc_id FROM documents
 WHERE list_has_any(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['and', 'que', 'the'])""")
 def matched(spark: SparkSession, sf: str) -> DataFrame:
-    return match_text(table(spark, sf, "documents"), "text", TERMS).select("doc_id")
+    return match_text(spread(spark, sf, "documents"), "text", TERMS).select("doc_id")
 
 
 @query("decoded_text", "SELECT doc_id, text FROM documents")

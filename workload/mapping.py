@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.operators import map_schema, render_items
 from workload import query
-from workload.inputs import table
+from workload.inputs import spread, table
 
 
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +70,7 @@ def _nested(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     none = F.lit(None).cast("string")
-    return table(spark, sf, "lineitem").select(
+    return spread(spark, sf, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
         F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).alias("source"),
