@@ -110,12 +110,15 @@ def to_nested_map(
     An outer key with more than about ``max_entries`` inner keys is spread over
     several parts by a hash of the inner key, so that no task holds the map of a
     hot key whole.  The parts of a key have no inner key in common: their union
-    is the full map.
+    is the full map.  ``df`` is read twice; pass a stored table when it is costly.
     """
     sizes = df.groupBy(outer).agg(F.ceil(F.count("*") / max_entries).cast("bigint").alias("_parts"))
     # Size rows are one per outer key; Spark broadcasts them when they measure small.
     spread = df.join(sizes, outer).withColumn("part", part_of(F.col(inner), F.col("_parts")))
     entry = F.struct(F.col(inner).cast("string").alias("key"), F.col(value).alias("value"))
+    # Stated, because the join leaves rows partitioned by the outer key alone, which
+    # the grouping would accept: all parts of a hot key would share one task.
+    spread = spread.repartition(F.col(outer), F.col("part"))
     return spread.groupBy(outer, "part").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("entries"))
 
 

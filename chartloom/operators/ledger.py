@@ -26,13 +26,13 @@ def not_yet_processed(df: DataFrame, ledger: DataFrame, id_col: Column | str, le
 def fetch_by_ids(df: DataFrame, ids: DataFrame, id_col: str, order_col: str | None = None) -> DataFrame:
     """All rows of the given documents.
 
-    ``order_col`` sorts rows within the partitions the id puts them in, so a
-    document's rows come together and in sequence without a global sort.
+    ``order_col`` brings a document's rows together in sequence.  The sort is by
+    range of id and sequence, so a document with very many rows takes several tasks.
     """
     wanted = ids.select(F.col(id_col).cast("string").alias("_id")).distinct()
     rows = df.withColumn("_id", F.col(f"`{id_col}`").cast("string")).join(wanted, "_id", "left_semi")
     if order_col is not None:
-        rows = rows.sortWithinPartitions("_id", order_col)
+        rows = rows.orderBy("_id", order_col)
     return rows.drop("_id")
 
 

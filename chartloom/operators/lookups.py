@@ -8,23 +8,18 @@ task, and AQE splits a partition that a hot key makes too big.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.binary import base64_text
 from chartloom.functions.geo import geo_string
 from chartloom.functions.text import file_stem
-from chartloom.operators.records import only
-
+from chartloom.operators.records import only, row_hash
 
-def lookup(df: DataFrame, key: Column, table: DataFrame, table_key: str, spread_by: Sequence[str]) -> DataFrame:
-    """Left join to a table that is unique on ``table_key``; null keys never match.
 
-    ``spread_by`` names columns whose hash places the rows with a null key.
-    """
-    place = F.concat(F.lit("\x00"), F.xxhash64(*only(df, spread_by)).cast("string"))
+def lookup(df: DataFrame, key: Column, table: DataFrame, table_key: str) -> DataFrame:
+    """Left join to a table that is unique on ``table_key``; null keys never match."""
+    place = F.concat(F.lit("\x00"), row_hash(df).cast("string"))
     keyed = df.withColumn("_key", F.coalesce(key, place))
     side = table.filter(F.col(table_key).isNotNull()).withColumnRenamed(table_key, "_key")
     return keyed.join(side, "_key", "left").drop("_key")
@@ -54,7 +49,7 @@ def add_geolocation(
     code = F.replace(F.col(f"`{postcode_col}`").cast("string"), F.lit(" "), F.lit(""))
     key = F.when(F.col(f"`{postcode_col}`").cast("string") != "", code)
     kept = [c for c in df.columns if c != out_col]
-    joined = lookup(df, key, table, "_place", df.columns)
+    joined = lookup(df, key, table, "_place")
     return joined.select(
         *only(df, kept), F.col("_geo").alias(out_col), (F.col("_hit").isNotNull() & F.col("_geo").isNull()).alias("geolocation_error")
     )
@@ -63,7 +58,7 @@ def add_geolocation(
 def map_codes(df: DataFrame, col: str, codes: DataFrame, code_col: str = "code", label_col: str = "label") -> DataFrame:
     """Replace values by their label; a value without one stays."""
     table = codes.groupBy(F.col(code_col).alias("_code")).agg(F.max(label_col).alias("_label"))
-    joined = lookup(df, F.col(f"`{col}`"), table, "_code", df.columns)
+    joined = lookup(df, F.col(f"`{col}`"), table, "_code")
     return joined.select(
         *[(F.coalesce("_label", F.col(f"`{col}`")) if c == col else F.col(f"`{c}`")).alias(c) for c in df.columns]
     )

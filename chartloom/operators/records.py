@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartloom.functions.jsonsafe import json_safe_column
 from chartloom.session import checkpoint_folder
@@ -19,6 +20,19 @@ def only(df: DataFrame, names: Iterable[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row: stable on a retry, spread evenly (maps cannot be hashed)."""
+    return F.xxhash64(*only(df, [f.name for f in df.schema.fields if not _has_map(f.dataType)]))
+
+
+def _has_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_map(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_map(dtype.elementType)
+    return isinstance(dtype, (T.MapType, T.VariantType))
+
+
 def rest_struct(df: DataFrame, without: Sequence[str]) -> Column:
     """All other columns as one struct: the footer of a request."""
     return F.struct(*only(df, [c for c in df.columns if c not in without]))
@@ -69,8 +83,7 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str], name: str = "ordinal",
     """
     spark = df.sparkSession
     checkpoint_folder(spark)
-    tie = F.xxhash64(*only(df, df.columns))
-    ordered = df.withColumn("_tie", tie)
+    ordered = df.withColumn("_tie", row_hash(df))
     keys = [*only(df, order_by), F.col("_tie")]
     ordered = ordered.repartitionByRange(partitions, *keys) if partitions else ordered.repartitionByRange(*keys)
     ordered = (

@@ -5,6 +5,7 @@ from chartloom.streaming.jobs import (
     read_batches,
     run_flow,
     run_stream,
+    run_tagged,
     stream_cohort,
     stream_dedup,
     stream_documents,
@@ -12,6 +13,6 @@ from chartloom.streaming.jobs import (
 )
 
 __all__ = [
-    "read_batches", "run_flow", "run_stream", "stream_assemble_blobs", "stream_cohort", "stream_dedup",
+    "read_batches", "run_flow", "run_stream", "run_tagged", "stream_assemble_blobs", "stream_cohort", "stream_dedup",
     "stream_documents", "write_cohort_batch",
 ]

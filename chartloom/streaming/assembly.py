@@ -46,11 +46,17 @@ class _Assembler(StatefulProcessor):
         fresh = not self.parts.exists()
         for batch in rows:
             for seq, text, expected in zip(batch["seq"], batch["bin"], batch["total"]):
-                total = int(expected)
-                if self.parts.containsKey((int(seq),)):
+                if seq != seq or seq is None or expected != expected or expected is None:
+                    error = "part without a sequence number or total"
+                elif self.parts.containsKey((int(seq),)):
                     error = "duplicate sequence number"
                 else:
+                    total = int(expected)
                     self.parts.updateValue((int(seq),), (text,))
+                if error is not None:
+                    break
+            if error is not None:
+                break  # the document is lost: leave its other rows unread
         held = sorted(k[0] for k in self.parts.keys())
         if error is None and total is not None and len(held) >= total:
             yield self._whole(key[0], held)
@@ -110,9 +116,18 @@ def stream_assemble_blobs(
         F.col(bin_col).cast("string").alias("bin"),
         F.col(total_col).cast("bigint").alias("total"),
     )
-    return parts.groupBy("id").transformWithStateInPandas(
+    nameless = F.col("id").isNull() | (F.col("id") == "")
+    # Parts without an id may be very many; they never meet in one group.
+    unnamed = parts.filter(nameless).select(
+        "id",
+        F.lit(None).cast("binary").alias("payload"),
+        F.lit(None).cast("bigint").alias("blob_parts"),
+        F.lit("missing document id").alias("error"),
+    )
+    whole = parts.filter(~nameless).groupBy("id").transformWithStateInPandas(
         statefulProcessor=_Assembler(timeout_ms),
         outputStructType=_OUT,
         outputMode="Append",
         timeMode="None" if timeout_ms is None else "ProcessingTime",
     )
+    return whole.unionByName(unnamed)

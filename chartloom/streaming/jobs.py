@@ -57,7 +57,10 @@ def run_stream(
     checkpoint: str,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Run a batch transform over a stream and write good and failed rows apart."""
+    """Run a batch transform over a stream and write good and failed rows apart.
+
+    The two writes compute the transform twice; see ``run_tagged`` for costly ones.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         good, failed = apply(batch)
@@ -69,6 +72,17 @@ def run_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def run_tagged(
+    df: DataFrame, apply: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Run a transform whose result holds good and failed rows (``error``) together.
+
+    For steps that must run once per record, such as a service call: one write per
+    batch.  Take the stored rows apart with ``plans.split_failed``.
+    """
+    return run_stream(df, lambda batch: (apply(batch), None), sink, "", checkpoint, available_now)
+
+
 def run_flow(df: DataFrame, flow: Flow, sink: str, failures: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Run a chain of steps over a stream."""
 

@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from chartloom.functions import base64_text
-from chartloom.operators import assemble_blobs
+from chartloom.operators import assemble_blobs, enrich
 from chartloom.plans import (
     AssembleDocuments,
     Flow,
@@ -40,7 +40,7 @@ from chartloom.sources import (
     write_split,
     write_upsert,
 )
-from chartloom.streaming import read_batches, run_stream, stream_assemble_blobs, stream_documents
+from chartloom.streaming import read_batches, run_stream, run_tagged, stream_assemble_blobs, stream_documents
 from test_operators import AS_OF, PATIENT_SCHEMA, PATIENTS, mention, mentions
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -207,6 +207,18 @@ def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     assert len(list((out / "good").iterdir())) >= 4
 
 
+def make_counting_client():
+    return lambda batch: batch.assign(size=batch["id"] * 2)[["size"]]
+
+
+def test_stream_of_service_calls(spark, tmp_path):
+    spark.range(20).write.parquet(str(tmp_path / "in"))
+    rows_in = stream_documents(spark, str(tmp_path / "in"), "id long")
+    run_tagged(rows_in, lambda b: enrich(b, make_counting_client, ["id"], "size long"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    good, failed = split_failed(read_batches(spark, str(tmp_path / "out")), drop=["size"])
+    assert {r["id"]: r["size"] for r in rows(good)} == {i: 2 * i for i in range(20)} and rows(failed) == []
+
+
 @pytest.fixture
 def rocksdb(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -231,13 +243,14 @@ def test_stream_assembly_over_several_batches(spark, tmp_path, rocksdb):
         whole = stream_assemble_blobs(parts, "id", "seq", "bin", "total")
         run_stream(whole, lambda b: (b.filter("error IS NULL"), b.filter("error IS NOT NULL")), f"{out}/good", f"{out}/failed", f"{out}/state").awaitTermination()
 
-    part_file(spark, source, [("a", 2, "lo", 2), ("b", 1, "x", 1), ("c", 1, "1", 3), ("g", 1, "x", 2)])
+    part_file(spark, source, [("a", 2, "lo", 2), ("b", 1, "x", 1), ("c", 1, "1", 3), ("g", 1, "x", 2), (None, 1, "q", 1), ("", 1, "q", 1)])
     drain()
     part_file(spark, source, [("a", 1, "hel", 2), ("c", 1, "1", 3), ("g", 3, "x", 2), ("b", 2, "late", 1)])
     drain()
     good = {r["id"]: bytes(r["payload"]) for r in rows(read_batches(spark, f"{out}/good"))}
     assert good == {"a": b"hello", "b": b"x"}
     assert {r["id"]: r["error"] for r in rows(read_batches(spark, f"{out}/failed"))} == {
+        None: "missing document id", "": "missing document id",
         "b": "part arrived after the document was closed", "c": "duplicate sequence number", "g": "sequence gap"}
     # The batch operator gives the same for what is whole.
     batch = spark.createDataFrame([("a", 2, "lo", 1), ("a", 1, "hel", 2)], "id string, blob_sequence_num long, t string, ordinal long")
