@@ -1,12 +1,13 @@
 """Multi-part binary documents: assembly, checks, payload choice.
 
 Assembly is one grouped aggregation per document, and a document has to fit one
-cell.  Before any payload is grouped, a cheap aggregate (key and size only, with
-map-side combine) finds the documents above the limits.  At most ``total bytes /
-max_bytes + total rows / max_parts`` keys can be above them, so that list is
-small however big the input is.  Those documents take another way: copies of a
-part are merged before the shuffle, per part and not per document, and only then
-is the size judged again.
+cell.  Before any payload is grouped, a cheap aggregate (key, count and size, with
+map-side combine) finds the documents with very many parts or bytes.  At most ``total
+bytes / max_bytes + total rows / many_parts`` keys can be among them, so that list
+is small however big the input is.  Those documents take another way: copies of a
+part are merged before the shuffle, then runs of parts are joined, each run in a
+task of its own, and the document is made of its runs.  Only a document that cannot
+fit a cell fails.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from chartloom.operators.records import only
 
 FAIL, KEEP_FIRST, KEEP_LAST = "fail", "keep_first", "keep_last"
 
-MAX_PARTS = 1_000_000
+MANY_PARTS = 100_000
+RUN = 4096
 # A binary cell holds under 2 GiB, and base64 parts are a third larger than that.
 MAX_BYTES = 1_500_000_000
 
@@ -44,7 +46,7 @@ def assemble_blobs(
     dup: str = FAIL,
     encoding: str = "base64",
     require_start: tuple[int, ...] | None = None,
-    max_parts: int = MAX_PARTS,
+    many_parts: int = MANY_PARTS,
     max_bytes: int = MAX_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """(assembled documents, failed documents with ``error``).
@@ -54,7 +56,7 @@ def assemble_blobs(
     the lowest ordinal.  Failures: no document id, sequence on some parts only or
     not a whole number, missing payload, duplicate sequence (``dup='fail'``), gap,
     a start outside ``require_start``, invalid base64, and documents beyond the
-    size of a cell.
+    size of a cell (``max_bytes`` of stored parts).
     """
     if dup not in (FAIL, KEEP_FIRST, KEEP_LAST):
         raise ValueError(f"dup must be 'fail', 'keep_first' or 'keep_last', not {dup!r}")
@@ -67,17 +69,16 @@ def assemble_blobs(
     nameless = parts.filter(no_id).select(F.col("id"), F.lit("missing document id").alias("error"))
     named = parts.filter(~no_id)
 
-    big = _big_ids(named, max_parts, max_bytes)
-    # Bounded by the limits, see the module text; AQE measures it as well.
+    # Both lists are bounded by the limits, see the module text.
+    big = _big_ids(named, many_parts, max_bytes)
     normal = named.join(F.broadcast(big), "id", "left_anti")
     hot = _merge_copies(named.join(F.broadcast(big), "id", "left_semi"), dup)
-    still_big = _big_ids(hot, max_parts, max_bytes)
-    too_big = hot.join(F.broadcast(still_big), "id", "left_semi").groupBy("id").agg(
-        F.count("*").alias("n"), F.sum(F.octet_length("bin")).alias("size"))
-    too_big = too_big.select("id", F.format_string("%d parts and %d bytes do not fit one cell", "n", "size").alias("error"))
-    hot = hot.join(F.broadcast(still_big), "id", "left_anti")
+    too_big = _big_ids(hot, None, max_bytes)
+    fitting = hot.join(F.broadcast(too_big), "id", "left_anti")
+    oversized = too_big.select("id", F.format_string("%d parts and %d bytes do not fit one cell", "n", "size").alias("error"))
 
-    documents = _assemble(normal.unionByName(hot), dup, encoding, require_start)
+    runs = _single_runs(_decoded(normal, encoding), dup).unionByName(_long_runs(_decoded(fitting, encoding)))
+    documents = _assemble(runs, dup, require_start)
     good = documents.filter(F.col("error").isNull())
     bad = documents.filter(F.col("error").isNotNull()).select("id", "error")
     out = good.select(
@@ -91,7 +92,7 @@ def assemble_blobs(
         F.octet_length("payload").alias("compressed_len"),
         head_hex(F.col("payload")).alias("compressed_head_hex"),
     )
-    failed = bad.unionByName(nameless).unionByName(too_big).select(F.col("id").alias(id_col), "error")
+    failed = bad.unionByName(nameless).unionByName(oversized).select(F.col("id").alias(id_col), "error")
     return out, failed
 
 
@@ -110,9 +111,10 @@ def _parts(df: DataFrame, id_col: str, seq_col: str, bin_col: str, ordinal_col:
     ).withColumn("pos", F.coalesce(F.col("seq"), F.col("ordinal").cast("bigint")))
 
 
-def _big_ids(parts: DataFrame, max_parts: int, max_bytes: int) -> DataFrame:
+def _big_ids(parts: DataFrame, many_parts: int | None, max_bytes: int) -> DataFrame:
     sizes = parts.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.octet_length("bin")).alias("size"))
-    return sizes.filter((F.col("n") > max_parts) | (F.col("size") > max_bytes)).select("id")
+    big = F.col("size") > max_bytes
+    return sizes.filter(big if many_parts is None else big | (F.col("n") > many_parts))
 
 
 def _merge_copies(parts: DataFrame, dup: str) -> DataFrame:
@@ -136,43 +138,85 @@ def _missing(payload: Column) -> Column:
     return payload.isNull() | (F.octet_length(payload) == 0)
 
 
-def _assemble(parts: DataFrame, dup: str, encoding: str, require_start: tuple[int, ...] | None) -> DataFrame:
+def _decoded(parts: DataFrame, encoding: str) -> DataFrame:
+    """The payload as ``bytes``, and what is wrong with it."""
     missing = _missing(F.col("bin"))
     if encoding == "base64":
         text = F.col("bin").cast("string")
-        parts = parts.withColumn("valid", is_strict_base64(text))
-        parts = parts.withColumn("bytes", F.when(F.col("valid"), decode_base64(text)))
-        bad_payload = F.col("bytes").isNull()
+        parts = parts.withColumn("bytes", F.when(is_strict_base64(text), decode_base64(text)))
+        bad = F.col("bytes").isNull()
     else:
         parts = parts.withColumn("bytes", F.col("bin").cast("binary"))
-        bad_payload = F.lit(False)
-    parts = parts.withColumn("missing", missing).withColumn("bad", bad_payload)
+        bad = F.lit(False)
+    return parts.select("*", missing.alias("missing"), bad.alias("bad")).drop("bin")
 
+
+# A run is one part, or the joined parts of a stretch of positions.  Counts add up.
+_COUNTS = ("n", "n_rows", "n_with_seq", "n_bad_seq", "n_missing", "n_bad", "n_used")
+
+
+def _counts(used: Column) -> list[Column]:
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    flags = {
+        "n_rows": F.lit(True),
+        "n_with_seq": F.col("has_seq"),
+        "n_bad_seq": F.col("has_seq") & F.col("seq").isNull(),
+        "n_missing": F.col("missing"),
+        "n_bad": used & F.col("bad"),
+        "n_used": used,
+    }
+    return [F.col("copies").alias("n"), *[F.when(f, one).otherwise(none).alias(name) for name, f in flags.items()]]
+
+
+def _single_runs(parts: DataFrame, dup: str) -> DataFrame:
+    """One run per part; of repeated positions one is used unless repeats fail."""
     if dup == FAIL:
         parts = parts.withColumn("used", F.lit(True))
     else:
-        # Same partitioning as the aggregation below: no second shuffle.
-        order = [F.col("pos"), F.col("ordinal")]
+        # Same partitioning as the aggregation that follows: no shuffle of its own.
         near = F.lag("pos") if dup == KEEP_FIRST else F.lead("pos")
-        parts = parts.withColumn("used", ~near.over(Window.partitionBy("id").orderBy(*order)).eqNullSafe(F.col("pos")))
+        window = Window.partitionBy("id").orderBy("pos", "ordinal")
+        parts = parts.withColumn("used", ~near.over(window).eqNullSafe(F.col("pos")))
     used = F.col("used")
-    grouped = parts.groupBy("id").agg(
-        F.sum("copies").alias("n"),
-        F.count_if("has_seq").alias("n_with_seq"),
-        F.count("*").alias("n_rows"),
-        F.count_if(F.col("has_seq") & F.col("seq").isNull()).alias("n_bad_seq"),
-        F.count_if("missing").alias("n_missing"),
-        F.count_if(used & F.col("bad")).alias("n_bad"),
-        F.count_if(used).alias("blob_parts"),
-        F.size(F.collect_set(F.when(used, F.col("pos")))).alias("n_pos") if dup == FAIL else F.count_if(used).alias("n_pos"),
+    return parts.select(
+        "id", *_counts(used), F.col("pos").alias("low"), F.col("pos").alias("high"), "ordinal", "rest",
+        F.when(used, F.col("bytes")).alias("bytes"), F.lit(False).alias("long"),
+    )
+
+
+def _long_runs(parts: DataFrame) -> DataFrame:
+    """Parts without repeats, joined over stretches of ``RUN`` positions."""
+    rows = parts.select(
+        "id", *_counts(F.lit(True)), "pos", "ordinal", "rest", "bytes", F.floor(F.col("pos") / RUN).alias("stretch")
+    )
+    return rows.groupBy("id", "stretch").agg(
+        *[F.sum(c).alias(c) for c in _COUNTS],
         F.min("pos").alias("low"),
         F.max("pos").alias("high"),
+        F.min_by("rest", "ordinal").alias("rest"),
+        F.min("ordinal").alias("ordinal"),
+        F.expr("listagg(bytes, X'') WITHIN GROUP (ORDER BY pos)").alias("bytes"),
+        F.lit(True).alias("long"),
+    ).drop("stretch")
+
+
+def _assemble(runs: DataFrame, dup: str, require_start: tuple[int, ...] | None) -> DataFrame:
+    if dup == FAIL:
+        single = F.size(F.collect_set(F.when(~F.col("long"), F.col("low"))))
+        n_pos = single + F.sum(F.when(F.col("long"), F.col("n_used")).otherwise(0))
+    else:
+        n_pos = F.sum("n_used")
+    grouped = runs.groupBy("id").agg(
+        *[F.sum(c).alias(c) for c in _COUNTS],
+        n_pos.alias("n_pos"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
         F.min_by("rest", "ordinal").alias("first"),
-        F.expr("listagg(CASE WHEN used THEN bytes END, X'') WITHIN GROUP (ORDER BY pos)").alias("payload"),
+        F.expr("listagg(bytes, X'') WITHIN GROUP (ORDER BY low)").alias("payload"),
     )
     none_have = F.col("n_with_seq") == 0
     low = F.when(none_have, F.lit(0).cast("bigint")).otherwise(F.col("low"))
-    high = F.when(none_have, F.col("blob_parts") - 1).otherwise(F.col("high"))
+    high = F.when(none_have, F.col("n_used") - 1).otherwise(F.col("high"))
     error = (
         F.when((F.col("n_with_seq") > 0) & (F.col("n_with_seq") < F.col("n_rows")), "sequence number on some parts only")
         .when(F.col("n_missing") > 0, "missing payload in a part")
@@ -185,7 +229,7 @@ def _assemble(parts: DataFrame, dup: str, encoding: str, require_start: tuple[in
         error = error.when(~none_have & ~F.col("low").isin(*require_start), "sequence does not start where it should")
     error = error.when(F.col("n_bad") > 0, "invalid base64 in a part")
     return grouped.select(
-        "id", "first", "payload", "blob_parts", low.alias("seq_min"), high.alias("seq_max"), error.alias("error")
+        "id", "first", "payload", F.col("n_used").alias("blob_parts"), low.alias("seq_min"), high.alias("seq_max"), error.alias("error")
     )
 
 

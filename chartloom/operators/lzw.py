@@ -5,13 +5,16 @@ table fills, 256 restarts the table, 257 ends the stream.
 
 Table entry ``258 + i`` is the output of code ``i`` since the last restart plus the
 next output byte, so it is a slice of the bytes already written.  The decoder keeps
-only where each code's output starts; no strings are stored.
+only where each code's output starts; no strings are stored.  Widths depend on
+nothing but a code's number since the restart, so codes are cut out of the bits a
+block at a time in numpy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,33 +22,55 @@ from pyspark.sql import types as T
 
 from chartloom.functions.binary import BLOB_MARKERS, PDF, RTF
 
-# Fixed values of the code stream.
+# Fixed values of the code stream; a code gets one bit wider once this many precede it.
 RESTART, END, FIRST_ENTRY = 256, 257, 258
-TABLE_LIMIT = 8192
-WIDEN_AT = (511, 1023, 2047, 4095)
+WIDER_AFTER = (254, 766, 1790, 3838)
+_BLOCK = 16_384
+
+
+def _codes(data: np.ndarray, bit: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, bit after each) of the block of codes that begins at ``bit``.
+
+    ``data`` has three spare bytes at its end; ``first`` is the number of codes since
+    the restart.  Codes the data does not hold in full are left out.
+    """
+    size = 8 * (len(data) - 3)
+    most = min(_BLOCK, (size - bit) // 9 + 1)
+    widths = 9 + np.searchsorted(WIDER_AFTER, np.arange(first, first + most), side="right")
+    ends = bit + np.cumsum(widths)
+    n = int(np.searchsorted(ends, size, side="right"))
+    widths, ends = widths[:n], ends[:n]
+    begins = ends - widths
+    at = begins >> 3
+    window = (data[at] << 16) | (data[at + 1] << 8) | data[at + 2]
+    return (window >> (24 - (begins & 7) - widths)) & ((1 << widths) - 1), ends
 
 
 def lzw_decode(payload: bytes) -> bytes:
     """Decode one payload; raises ``ValueError`` on a broken stream."""
+    data = np.frombuffer(payload + b"\0\0\0", dtype=np.uint8).astype(np.int64)
     out = bytearray()
     starts: list[int] = []  # output position of each code since the restart
-    width, bits, held, read = 9, 0, 0, 0
+    bit = 0
     while True:
-        while bits < width:
-            if read >= len(payload):
-                raise ValueError("stream ends before its end code")
-            held = ((held << 8) | payload[read]) & 0xFFFFFF
-            read += 1
-            bits += 8
-        bits -= width
-        code = (held >> bits) & ((1 << width) - 1)
-        if code == END:
-            return bytes(out)
-        if code == RESTART:
+        codes, ends = _codes(data, bit, len(starts))
+        marks = np.flatnonzero((codes == RESTART) | (codes == END))
+        n = int(marks[0]) if len(marks) else len(codes)
+        _expand(codes[:n].tolist(), starts, out)
+        if len(marks):
+            if codes[n] == END:
+                return bytes(out)
             # The next code begins on the byte that held the last bit of this one.
-            read -= 1
-            starts, width, bits, held = [], 9, 0, 0
-            continue
+            bit, starts = (int(ends[n]) - 1) // 8 * 8, []
+        elif n < _BLOCK:
+            raise ValueError("stream ends before its end code")
+        else:
+            bit = int(ends[-1])
+
+
+def _expand(codes: list[int], starts: list[int], out: bytearray) -> None:
+    """Write what the codes stand for."""
+    for code in codes:
         here = len(out)
         if code < RESTART:
             out.append(code)
@@ -60,10 +85,7 @@ def lzw_decode(payload: bytes) -> bytes:
                 # The entry being made right now: its last byte is its own first.
                 out += out[begin:here]
                 out.append(out[begin])
-        if len(starts) < TABLE_LIMIT - FIRST_ENTRY + 1:
-            starts.append(here)
-            if FIRST_ENTRY - 1 + len(starts) in WIDEN_AT:
-                width += 1
+        starts.append(here)
 
 
 def _stream_in(data: bytes) -> tuple[bytes, str] | None:

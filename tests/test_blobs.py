@@ -69,7 +69,7 @@ def test_hot_documents_take_the_other_way(spark, dup):
     """A document with a third of all rows: copies of one part, merged before the shuffle."""
     rows = [("hot", "1", b64(b"a%d" % i), i, None) for i in range(400)] + [("hot", "2", b64(b"z"), 1000, None)]
     rows += [(f"d{i}", "1", b64(b"x"), 2000 + i, None) for i in range(800)]
-    good, failed = run(spark, rows, dup=dup, max_parts=50)
+    good, failed = run(spark, rows, dup=dup, many_parts=50)
     assert len(good) == 800 + (dup != "fail")
     if dup == "fail":
         assert failed == {"hot": "duplicate sequence number"}
@@ -78,6 +78,22 @@ def test_hot_documents_take_the_other_way(spark, dup):
         assert good["hot"].blob_parts == 2 and failed == {}
 
 
+@pytest.mark.parametrize("dup", ["fail", "keep_last"])
+def test_many_parts_are_joined_in_runs(spark, dup):
+    """A document of very many parts is whole, byte for byte, and so are its checks."""
+    n = 10_000
+    parts = [("many", str(i), b64(b"%d," % i), i, "first" if i == 5 else None) for i in range(5, n)]
+    gap = [("gap", str(i), b64(b"x"), i, None) for i in range(9000) if i != 4500]
+    free = [("free", None, b64(b"%d," % i), 7 * i, None) for i in range(9000)]
+    bad = [("bad", str(i), b64(b"x") if i != 8000 else "*", i, None) for i in range(9000)]
+    small = [(f"d{i}", "1", b64(b"x"), i, None) for i in range(100)]
+    good, failed = run(spark, parts + gap + free + bad + small, dup=dup, many_parts=1000)
+    assert bytes(good["many"].binarydoc) == b"".join(b"%d," % i for i in range(5, n)) and good["many"].note == "first"
+    assert (good["many"].blob_parts, good["many"].blob_seq_min, good["many"].blob_seq_max) == (n - 5, 5, n - 1)
+    assert bytes(good["free"].binarydoc) == b"".join(b"%d," % i for i in range(9000)) and good["free"].blob_seq_max == 8999
+    assert failed == {"gap": "sequence gap", "bad": "invalid base64 in a part"} and len(good) == 102
+
+
 def test_document_beyond_a_cell(spark):
     rows = [("big", str(i), b64(b"abc"), i, None) for i in range(60)] + [("ok", "1", b64(b"abc"), 100, None)]
     good, failed = run(spark, rows, max_bytes=100)

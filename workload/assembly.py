@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from chartloom.functions import base64_text, strip_markers
 from chartloom.operators import assemble_blobs, encode_payload, resolve_payload
+from chartloom.operators.lzw import WIDER_AFTER
 from workload import query
 from workload.inputs import PARTS_SQL, parts, spread, table
 
@@ -67,39 +68,35 @@ def assembled_last(spark: SparkSession, sf: str) -> DataFrame:
 
 def lzw_encode(data: bytes) -> bytes:
     """The encoder that goes with the decoder, for test input only."""
-    table_: dict[bytes, int] = {bytes([b]): b for b in range(256)}
-    bits, held, width, codes, next_entry = 0, 0, 9, 0, 258
-    out, prefix = bytearray(), b""
+    entries: dict[int, int] = {}  # prefix code and next byte -> code
+    out, bits, held, width, codes = bytearray(), 0, 0, 9, 0
 
     def put(code: int) -> None:
-        nonlocal bits, held
+        nonlocal bits, held, width, codes
         held = (held << width) | code
         bits += width
         while bits >= 8:
             bits -= 8
-            out.append((held >> bits) & 0xFF)
+            out.append(held >> bits)
             held &= (1 << bits) - 1
-
-    def grown() -> None:
-        nonlocal width, codes
         codes += 1
-        if 257 + codes in (511, 1023, 2047, 4095):
+        if codes in WIDER_AFTER:
             width += 1
 
+    prefix = -1
     for byte in data:
-        longer = prefix + bytes([byte])
-        if longer in table_:
-            prefix = longer
-            continue
-        put(table_[prefix])
-        grown()
-        if next_entry < 8192:
-            table_[longer] = next_entry
-            next_entry += 1
-        prefix = bytes([byte])
-    if prefix:
-        put(table_[prefix])
-        grown()
+        longer = (prefix << 8) | byte
+        if prefix < 0:
+            prefix = byte
+        elif longer in entries:
+            prefix = entries[longer]
+        else:
+            put(prefix)
+            if len(entries) < 8192 - 258:
+                entries[longer] = 258 + len(entries)
+            prefix = byte
+    if prefix >= 0:
+        put(prefix)
     put(257)
     if bits:
         out.append((held << (8 - bits)) & 0xFF)
