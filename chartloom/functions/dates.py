@@ -81,13 +81,16 @@ def ts_to_int(col: Column) -> Column:
     return F.coalesce(date_part.cast("bigint") * 1000000 + time_part, F.lit(0).cast("bigint"))
 
 
-def age_and_death(birth: Column, death: Column, as_of: Column, limit: bool = False) -> tuple[Column, Column]:
+def age_and_death(birth: Column, death: Column, as_of: Column, limit: bool = False, signed: bool = False) -> tuple[Column, Column]:
     """Age in calendar years and the death date that goes with it.
 
     The living are aged at ``as_of``.  With ``limit``, a living person of 100 or
-    more gets age -1 and ``as_of`` as death date.
+    more gets age -1 and ``as_of`` as death date.  ``signed`` keeps the minus of a
+    death before the birth.
     """
-    years = F.abs(F.year(F.coalesce(death, as_of)) - F.year(birth))
+    years = F.year(F.coalesce(death, as_of)) - F.year(birth)
+    if not signed:
+        years = F.abs(years)
     if not limit:
         return years, death
     over = death.isNull() & (years >= 100)

@@ -169,6 +169,7 @@ def patient_table(
     age_limit: bool = False,
     epoch_default: bool = False,
     death_when: str = "absent",
+    signed_age: bool = False,
 ) -> DataFrame:
     """One row per patient: ``patient, sex, ethnicity, dob, dod, age, has_dates``.
 
@@ -177,7 +178,12 @@ def patient_table(
     the patient, combined on the map side.  ``ethnicity_map`` has columns
     ``code, label``.
     """
-    rows = _patient_rows(records, as_of, cols, age_limit, epoch_default, death_when)
+    rows = _patient_rows(records, cols, epoch_default, death_when)
+    age, dod = age_and_death(F.col("dob"), F.col("dod"), as_of, age_limit, signed_age)
+    rows = rows.select(
+        "patient", "ethnicity", "sex", "bad", "ordinal",
+        ts_to_int(F.col("dob")).alias("dob"), ts_to_int(dod).alias("dod"), age.alias("age"),
+    )
     order = F.col("ordinal")
     latest = rows.groupBy("patient").agg(
         F.max_by(F.struct("ethnicity", "sex"), order).alias("who"),
@@ -191,23 +197,20 @@ def patient_table(
     return flat.withColumn("ethnicity", title_case(F.col("ethnicity")))
 
 
-def _patient_rows(
-    records: DataFrame, as_of: Column, cols: PatientColumns, age_limit: bool, epoch_default: bool, death_when: str
-) -> DataFrame:
+def _patient_rows(records: DataFrame, cols: PatientColumns, epoch_default: bool, death_when: str) -> DataFrame:
+    """Cleaned records.  Dates are parsed in this projection, once, and used in the next."""
     death = death_column(records, cols, death_when)
     if not isinstance(death, str):
         records, death = records.withColumn("_death", death), "_death"
     dob, bad_dob = _date(records, cols.birth, cols.date_format, epoch_default)
     dod, bad_dod = _date(records, death, cols.date_format, False)
-    age, dod_used = age_and_death(dob, dod, as_of, age_limit)
     has = records.columns
     return records.filter(F.col(f"`{cols.patient}`").isNotNull()).select(
         clean_id(F.col(f"`{cols.patient}`")).alias("patient"),
         (norm_label(F.col(f"`{cols.ethnicity}`")) if cols.ethnicity in has else F.lit("other")).alias("ethnicity"),
         (norm_gender(F.col(f"`{cols.gender}`")) if cols.gender in has else F.lit("Unknown")).alias("sex"),
-        ts_to_int(dob).alias("dob"),
-        ts_to_int(dod_used).alias("dod"),
-        age.alias("age"),
+        dob.alias("dob"),
+        dod.alias("dod"),
         (bad_dob | bad_dod).alias("bad"),
         (F.col(f"`{cols.document}`") if cols.document in has else F.lit(None)).cast("string").alias("docid"),
         F.col(f"`{cols.ordinal}`").alias("ordinal"),
@@ -216,7 +219,7 @@ def _patient_rows(
 
 def doc_to_patient(records: DataFrame, cols: PatientColumns = PatientColumns()) -> DataFrame:
     """``docid, patient`` of records with readable dates; the last record of a document wins."""
-    rows = _patient_rows(records, F.lit(None).cast("timestamp_ntz"), cols, False, False, "absent")
+    rows = _patient_rows(records, cols, False, "absent")
     usable = rows.filter(~F.col("bad") & F.col("docid").isNotNull())
     return usable.groupBy("docid").agg(F.max_by("patient", "ordinal").alias("patient"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 from typing import Any
 
@@ -57,13 +58,15 @@ def ledger_rows(annotations: DataFrame, document: Column, annotation: Column) ->
 def incremental(df: DataFrame, key: str, last: Any = None) -> tuple[DataFrame, DataFrame]:
     """(rows above the high-water mark, one-row frame ``high_water`` with the new mark).
 
-    ``last`` is a literal, so the filter is pushed into the scan.
+    ``last`` is a literal of the column's type, so the filter is pushed into the scan.
     """
-    rows = df if last is None else df.filter(F.col(key) > F.lit(last))
-    mark = rows.agg(F.max(key).alias("high_water"))
-    if last is not None:
-        mark = mark.select(F.coalesce("high_water", F.lit(last)).alias("high_water"))
-    return rows, mark
+    if last is None:
+        return df, df.agg(F.max(key).alias("high_water"))
+    # A wall-clock time goes in as text: a literal would be taken for a moment in
+    # the session's time zone.
+    value = F.lit(str(last) if isinstance(last, datetime.datetime) else last).cast(df.schema[key].dataType)
+    rows = df.filter(F.col(key) > value)
+    return rows, rows.agg(F.coalesce(F.max(key), value).alias("high_water"))
 
 
 def limit_batch(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:

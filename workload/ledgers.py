@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +62,6 @@ LAST_SEEN = "1998-01-01"
 
 @query("incremental_rows", f"SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '{LAST_SEEN}'")
 def new_rows(spark: SparkSession, sf: str) -> DataFrame:
-    import datetime
-
     last = datetime.datetime.fromisoformat(LAST_SEEN)
     return incremental(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", last)[0]
 
