@@ -1,7 +1,13 @@
 """DataFrame to DataFrame operators."""
 
 from chartloom.operators.aggregates import bucket_ledger, ids_csv, terms, with_metrics
-from chartloom.operators.blobs import assemble_blobs, encode_payload, resolve_payload
+from chartloom.operators.blobs import (
+    assemble_blobs,
+    assemble_documents,
+    encode_payload,
+    resolve_documents,
+    resolve_payload,
+)
 from chartloom.operators.casts import cast_common, cast_dates_by_name, with_keyword
 from chartloom.operators.cohort import (
     PatientColumns,
@@ -54,7 +60,7 @@ from chartloom.operators.responses import flatten_annotations, merge_ocr, parse_
 from chartloom.operators.textops import match_text, scrub_text
 
 __all__ = [
-    "PatientColumns", "add_geolocation", "affirmed", "annotation_star", "apply_text_model", "assemble_blobs",
+    "PatientColumns", "add_geolocation", "affirmed", "annotation_star", "apply_text_model", "assemble_blobs", "assemble_documents",
     "assign_location", "binary_to_base64", "bucket_ledger", "cast_common", "cast_dates_by_name",
     "cui_patient_counts", "cui_patient_facts", "cui_patient_first_seen", "doc_to_patient", "encode_payload",
     "enrich", "entity_view", "entity_views", "explode_records", "extract_payload", "fetch_by_ids",
@@ -62,7 +68,7 @@ __all__ = [
     "json_safe", "latest_by_key", "ledger_rows", "limit_batch", "lookup", "map_codes", "map_schema",
     "match_text", "merge_counts", "merge_ocr", "not_yet_processed", "parse_deid", "parse_nlp", "parse_ocr",
     "patient_dims", "patient_encounters", "patient_table", "render_items", "request_batches",
-    "resolve_payload", "scrub_text", "split_affirmed", "split_valid", "terms", "to_attributes",
+    "resolve_documents", "resolve_payload", "scrub_text", "split_affirmed", "split_valid", "terms", "to_attributes",
     "to_ndjson", "to_nested_map", "to_nlp_request", "to_ocr_request", "union_all", "unwrap_hit", "upsert",
     "with_keyword", "with_metrics", "with_ordinal",
 ]

@@ -37,7 +37,7 @@ RUN = 4096
 MAX_BYTES = 1_500_000_000
 
 
-def assemble_blobs(
+def assemble_documents(
     df: DataFrame,
     id_col: str = "id",
     seq_col: str = "blob_sequence_num",
@@ -48,15 +48,18 @@ def assemble_blobs(
     require_start: tuple[int, ...] | None = None,
     many_parts: int = MANY_PARTS,
     max_bytes: int = MAX_BYTES,
-) -> tuple[DataFrame, DataFrame]:
-    """(assembled documents, failed documents with ``error``).
+) -> DataFrame:
+    """One row per document; ``error`` is null for those that could be assembled.
 
     Parts are ordered by ``seq_col``, or by ``ordinal_col`` when no part of a
     document has a sequence number.  The other columns come from the part with
-    the lowest ordinal.  Failures: no document id, sequence on some parts only or
-    not a whole number, missing payload, duplicate sequence (``dup='fail'``), gap,
-    a start outside ``require_start``, invalid base64, and documents beyond the
-    size of a cell (``max_bytes`` of stored parts).
+    the lowest ordinal.  Failures, with a null payload: no document id, sequence on
+    some parts only or not a whole number, missing payload, duplicate sequence
+    (``dup='fail'``), gap, a start outside ``require_start``, invalid base64, and
+    documents beyond the size of a cell (``max_bytes`` of stored parts).
+
+    Store this frame when both outcomes are wanted: the two of ``assemble_blobs``
+    shuffle the payloads once each.
     """
     if dup not in (FAIL, KEEP_FIRST, KEEP_LAST):
         raise ValueError(f"dup must be 'fail', 'keep_first' or 'keep_last', not {dup!r}")
@@ -79,21 +82,33 @@ def assemble_blobs(
 
     runs = _single_runs(_decoded(normal, encoding), dup).unionByName(_long_runs(_decoded(fitting, encoding)))
     documents = _assemble(runs, dup, require_start)
-    good = documents.filter(F.col("error").isNull())
-    bad = documents.filter(F.col("error").isNotNull()).select("id", "error")
-    out = good.select(
+    whole = F.col("error").isNull()
+
+    def if_whole(col: Column) -> Column:
+        return F.when(whole, col)
+
+    payload = if_whole(F.col("payload"))
+    out = documents.select(
         F.col("id").alias(id_col),
         *[F.col("first")[f"c{i}"].alias(c) for i, c in enumerate(kept)],
-        F.col("payload").alias(bin_col),
-        "blob_parts",
-        F.sequence("seq_min", "seq_max").alias("blob_sequence"),
-        F.col("seq_min").alias("blob_seq_min"),
-        F.col("seq_max").alias("blob_seq_max"),
-        F.octet_length("payload").alias("compressed_len"),
-        head_hex(F.col("payload")).alias("compressed_head_hex"),
+        payload.alias(bin_col),
+        if_whole(F.col("blob_parts")).alias("blob_parts"),
+        if_whole(F.sequence("seq_min", "seq_max")).alias("blob_sequence"),
+        if_whole(F.col("seq_min")).alias("blob_seq_min"),
+        if_whole(F.col("seq_max")).alias("blob_seq_max"),
+        F.octet_length(payload).alias("compressed_len"),
+        head_hex(payload).alias("compressed_head_hex"),
+        "error",
     )
-    failed = bad.unionByName(nameless).unionByName(oversized).select(F.col("id").alias(id_col), "error")
-    return out, failed
+    others = nameless.unionByName(oversized).select(F.col("id").alias(id_col), "error")
+    return out.unionByName(others, allowMissingColumns=True)
+
+
+def assemble_blobs(df: DataFrame, id_col: str = "id", **options: object) -> tuple[DataFrame, DataFrame]:
+    """(assembled documents, failed ones with ``error``); see ``assemble_documents``."""
+    documents = assemble_documents(df, id_col, **options)
+    failed = documents.filter(F.col("error").isNotNull()).select(id_col, "error")
+    return documents.filter(F.col("error").isNull()).drop("error"), failed
 
 
 def _parts(df: DataFrame, id_col: str, seq_col: str, bin_col: str, ordinal_col: str, kept: list[str]) -> DataFrame:
@@ -233,15 +248,17 @@ def _assemble(runs: DataFrame, dup: str, require_start: tuple[int, ...] | None)
     )
 
 
-def resolve_payload(df: DataFrame, bin_col: str = "binarydoc", lzw_label: str = "cerner_lzw") -> tuple[DataFrame, DataFrame]:
-    """(documents with the payload in ``bin_col``, failed documents with ``error``).
+def resolve_documents(df: DataFrame, bin_col: str = "binarydoc", lzw_label: str = "cerner_lzw") -> DataFrame:
+    """Documents with their payload in ``bin_col``; ``error`` says what kept others from one.
 
     An embedded PDF is taken first, then an embedded RTF; both by byte search in
     native expressions.  Only payloads that hold neither go to Python, where they
     are LZW-decoded and searched again; what holds neither then is the decoded
     payload itself.  An unterminated stream is noted before decoding and an error
-    after it.
+    after it.  An ``error`` that the input has already stays.
     """
+    own = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    df = df.select(*only(df, [c for c in df.columns if c != "error"]), own.alias("_error"))
     others = only(df, [c for c in df.columns if c != bin_col])
     searched = _search(df.select(*others, F.col(bin_col).alias("_raw")), others, "_raw")
     embedded = F.coalesce("_pdf", "_rtf")
@@ -260,19 +277,28 @@ def resolve_payload(df: DataFrame, bin_col: str = "binarydoc", lzw_label: str =
     found = found.withColumn("_lzw", unpacked(F.col("_packed")))
     lzw, is_lzw = F.col("_lzw"), F.col("_source").isNull()
     label = F.when(lzw["kind"] == "", lzw_label).otherwise(F.concat(F.lit(lzw_label + "_"), lzw["kind"]))
-    full = found.select(
-        *others,
+    error = F.when(is_lzw, F.when(F.col("_packed").isNull(), "missing payload").otherwise(lzw["error"]))
+    return found.select(
+        *others[:-1],  # without the error so far
         F.coalesce("_payload", lzw["payload"]).alias(bin_col),
         F.coalesce("_source", label).alias("blob_payload_source"),
         is_lzw.alias("is_lzw_compressed"),
         lzw["decompressed_len"].alias("decompressed_len"),
         lzw["decompressed_head_hex"].alias("decompressed_head_hex"),
         F.col("embedded_payload_extract_error"),
-        F.when(is_lzw, F.when(F.col("_packed").isNull(), "missing payload").otherwise(lzw["error"])).alias("error"),
+        F.coalesce("_error", error).alias("error"),
+    )
+
+
+def resolve_payload(df: DataFrame, bin_col: str = "binarydoc", lzw_label: str = "cerner_lzw") -> tuple[DataFrame, DataFrame]:
+    """(documents with their payload, failed ones with ``error``); see ``resolve_documents``."""
+    documents = resolve_documents(df, bin_col, lzw_label)
+    kept = [c for c in df.columns if c not in (bin_col, "error")]
+    failed = documents.filter(F.col("error").isNotNull())
+    return (
+        documents.filter(F.col("error").isNull()).drop("error"),
+        failed.select(*only(failed, kept), "embedded_payload_extract_error", "error"),
     )
-    good = full.filter(F.col("error").isNull()).drop("error")
-    failed = full.filter(F.col("error").isNotNull()).select(*others, "embedded_payload_extract_error", "error")
-    return good, failed
 
 
 def _search(df: DataFrame, keep: list, col: str) -> DataFrame:

@@ -8,11 +8,10 @@ from typing import ClassVar
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.operators.blobs import FAIL, KEEP_FIRST, KEEP_LAST, assemble_blobs, resolve_payload
+from chartloom.operators.blobs import FAIL, KEEP_FIRST, KEEP_LAST, assemble_documents, resolve_documents
 from chartloom.operators.enrich import ServiceCall, enrich
 from chartloom.operators.ledger import not_yet_processed
 from chartloom.operators.mapping import map_schema
-from chartloom.operators.records import union_all
 from chartloom.operators.requests import hits_to_request, to_nlp_request
 from chartloom.operators.responses import parse_deid, parse_nlp
 from chartloom.operators.textops import scrub_text
@@ -53,12 +52,11 @@ class AssembleDocuments(Transform):
         "encoding": Param("base64", allowed=("base64", "raw")),
     }
 
-    def apply(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        whole, broken = assemble_blobs(
+    def apply(self, df: DataFrame) -> DataFrame:
+        whole = assemble_documents(
             df, self.id_col, self.seq_col, self.bin_col, self.ordinal_col, self.dup, self.encoding
         )
-        good, undecoded = resolve_payload(whole, self.bin_col)
-        return good, union_all([broken, undecoded])
+        return resolve_documents(whole, self.bin_col)
 
 
 class NlpRequests(Transform):

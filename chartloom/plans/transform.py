@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.operators.records import union_all
+from chartloom.session import checkpoint_folder
 from chartloom.sources.sinks import failure_rows
 
 
@@ -65,8 +66,11 @@ class Transform:
     def prepare(self, spark: SparkSession) -> None:
         """One-time work before a run."""
 
-    def apply(self, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """(good rows, failed rows with ``error``, or None when nothing can fail)."""
+    def apply(self, df: DataFrame) -> DataFrame | tuple[DataFrame, DataFrame | None]:
+        """(good rows, failed rows with ``error``, or None when nothing can fail).
+
+        A costly step returns one frame instead, in which ``error`` marks the failed.
+        """
         raise NotImplementedError
 
 
@@ -80,15 +84,26 @@ class FlowResult:
 
 @dataclass
 class Flow:
-    """Steps one after another; a row that fails a step leaves the chain there."""
+    """Steps one after another; a row that fails a step leaves the chain there.
+
+    With ``cut``, the result of a step that marks its failures is checkpointed before
+    it is taken apart, so that it is computed once and survives lost executors.
+    """
 
     steps: Sequence[Transform] = field(default_factory=list)
+    cut: bool = False
 
     def run(self, df: DataFrame) -> FlowResult:
         spark, failures = df.sparkSession, []
         for step in self.steps:
             step.prepare(spark)
-            df, failed = step.apply(df)
+            result = step.apply(df)
+            if isinstance(result, DataFrame):
+                if self.cut:
+                    checkpoint_folder(spark)
+                    result = result.checkpoint()
+                result = split_failed(result)
+            df, failed = result
             if failed is not None:
                 failures.append(failure_rows(failed, type(step).__name__))
         return FlowResult(df, union_all(failures) if failures else None)

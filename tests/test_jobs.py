@@ -155,11 +155,12 @@ def test_transform_contract(spark):
     assert sorted((r["step"], r["record"]) for r in rows(result.failures)) == [("Doubled", '{"n":-1}'), ("Doubled", '{"n":-3}')]
 
 
-def test_document_flow(spark):
+@pytest.mark.parametrize("cut", [False, True])
+def test_document_flow(spark, cut):
     parts = spark.createDataFrame(
         [("a", 1, base64.b64encode(b"{\\rtf NMUH note}").decode(), 1, "x"), ("b", 1, "*", 2, "x")],
         "id string, blob_sequence_num int, binarydoc string, ordinal long, dept string")
-    assembled = Flow([AssembleDocuments()]).run(parts)
+    assembled = Flow([AssembleDocuments()], cut=cut).run(parts)
     texts = assembled.good.select(F.col("id").alias("_id"), F.col("binarydoc").cast("string").alias("body"), "dept")
     flow = Flow([SchemaMap(mapping={"text": "body"}), TextScrub(), NlpRequests()])
     result = flow.run(texts)
