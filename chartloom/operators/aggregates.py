@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chartloom.functions.ids import is_numeric_id
+from chartloom.functions.names import named
 from chartloom.functions.text import strip_space
 from chartloom.operators.records import only
 
@@ -27,9 +28,9 @@ def ids_csv(
     is several bounded rows (``slice``) and not one.  Only digits pass, repeats stay
     unless ``distinct``; a repeat is kept at its first position.
     """
-    text = strip_space(F.col(f"`{field}`").cast("string"))
-    rows = df.filter(is_numeric_id(F.col(f"`{field}`"))).select(
-        *only(df, batch_cols), F.col(order_col).cast("bigint").alias("_pos"), text.alias("_id")
+    text = strip_space(named(field).cast("string"))
+    rows = df.filter(is_numeric_id(named(field))).select(
+        *only(df, batch_cols), named(order_col).cast("bigint").alias("_pos"), text.alias("_id")
     )
     if distinct:
         rows = rows.groupBy(*batch_cols, "_id").agg(F.min("_pos").alias("_pos"))
@@ -42,7 +43,7 @@ def ids_csv(
 
 def terms(df: DataFrame, field: str, size: int | None = None) -> DataFrame:
     """Rows per value, most first: ``key, doc_count``; ``size`` is a top-k report."""
-    counts = df.filter(F.col(f"`{field}`").isNotNull()).groupBy(F.col(f"`{field}`").alias("key")).agg(F.count("*").alias("doc_count"))
+    counts = df.filter(named(field).isNotNull()).groupBy(named(field).alias("key")).agg(F.count("*").alias("doc_count"))
     ordered = counts.orderBy(F.desc("doc_count"), "key")
     return ordered if size is None else ordered.limit(size)
 

@@ -26,6 +26,7 @@ from chartloom.functions.binary import (
     stream_marks,
     strip_markers,
 )
+from chartloom.functions.names import named
 from chartloom.operators.lzw import unpacked
 from chartloom.operators.records import only
 
@@ -107,20 +108,20 @@ def assemble_documents(
 def assemble_blobs(df: DataFrame, id_col: str = "id", **options: object) -> tuple[DataFrame, DataFrame]:
     """(assembled documents, failed ones with ``error``); see ``assemble_documents``."""
     documents = assemble_documents(df, id_col, **options)
-    failed = documents.filter(F.col("error").isNotNull()).select(id_col, "error")
+    failed = documents.filter(F.col("error").isNotNull()).select(named(id_col), "error")
     return documents.filter(F.col("error").isNull()).drop("error"), failed
 
 
 def _parts(df: DataFrame, id_col: str, seq_col: str, bin_col: str, ordinal_col: str, kept: list[str]) -> DataFrame:
     """Working columns; other columns travel in the struct ``rest``."""
-    seq = F.col(f"`{seq_col}`") if seq_col in df.columns else F.lit(None).cast("bigint")
-    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)] or [F.lit(None).cast("string").alias("c0")]
+    seq = named(seq_col) if seq_col in df.columns else F.lit(None).cast("bigint")
+    rest = [named(c).alias(f"c{i}") for i, c in enumerate(kept)] or [F.lit(None).cast("string").alias("c0")]
     return df.select(
-        F.col(f"`{id_col}`").alias("id"),
+        named(id_col).alias("id"),
         seq.isNotNull().alias("has_seq"),
         seq.try_cast("bigint").alias("seq"),
-        F.col(f"`{ordinal_col}`").alias("ordinal"),
-        F.col(f"`{bin_col}`").alias("bin"),
+        named(ordinal_col).alias("ordinal"),
+        named(bin_col).alias("bin"),
         F.lit(1).cast("bigint").alias("copies"),
         F.struct(*rest).alias("rest"),
     ).withColumn("pos", F.coalesce(F.col("seq"), F.col("ordinal").cast("bigint")))
@@ -260,7 +261,7 @@ def resolve_documents(df: DataFrame, bin_col: str = "binarydoc", lzw_label: str
     own = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
     df = df.select(*only(df, [c for c in df.columns if c != "error"]), own.alias("_error"))
     others = only(df, [c for c in df.columns if c != bin_col])
-    searched = _search(df.select(*others, F.col(bin_col).alias("_raw")), others, "_raw")
+    searched = _search(df.select(*others, named(bin_col).alias("_raw")), others, "_raw")
     embedded = F.coalesce("_pdf", "_rtf")
     note = F.concat_ws(
         "; ",
@@ -310,7 +311,7 @@ def _search(df: DataFrame, keep: list, col: str) -> DataFrame:
     clean = F.col("_clean")
     pdf0, pdf1 = stream_marks(clean, *PDF)
     rtf0, rtf1 = stream_marks(clean, *RTF)
-    marked = df.select(*keep, col, strip_markers(F.col(col)).alias("_clean")).select(
+    marked = df.select(*keep, col, strip_markers(named(col)).alias("_clean")).select(
         *keep, col, "_clean", pdf0.alias("_p0"), pdf1.alias("_p1"), rtf0.alias("_r0"), rtf1.alias("_r1")
     )
     pdf, pdf_open = cut_stream(clean, F.col("_p0"), F.col("_p1"), PDF[1])
@@ -322,7 +323,7 @@ def _search(df: DataFrame, keep: list, col: str) -> DataFrame:
 
 def encode_payload(df: DataFrame, bin_col: str = "binarydoc", mode: str = "base64") -> DataFrame:
     """The payload as one-line base64, or as text with bad bytes replaced."""
-    raw = F.col(bin_col)
+    raw = named(bin_col)
     if mode == "base64":
         shown = base64_text(raw)
     elif mode == "raw":

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from chartloom.functions.dates import EPOCH_MILLIS, parse_first
 from chartloom.functions.geo import geo_string
+from chartloom.functions.names import named
 
 # The date formats of the common schema, in the order tried.
 DATE_FORMATS: tuple[str, ...] = (
@@ -58,7 +59,7 @@ def cast_common(df: DataFrame, type_map: Mapping[str, str], formats: Sequence[st
     """
     return df.select(
         *[
-            (_cast(F.col(f"`{f.name}`"), f.dataType, type_map[f.name], formats) if f.name in type_map else F.col(f"`{f.name}`")).alias(f.name)
+            (_cast(named(f.name), f.dataType, type_map[f.name], formats) if f.name in type_map else named(f.name)).alias(f.name)
             for f in df.schema.fields
         ]
     )
@@ -72,5 +73,5 @@ def cast_dates_by_name(df: DataFrame, name_pattern: re.Pattern[str] = DATE_NAME,
 
 def with_keyword(df: DataFrame, col: str, max_chars: int = 256) -> DataFrame:
     """Add ``<col>_keyword``: the text itself unless it is too long for a keyword."""
-    text = F.col(f"`{col}`")
+    text = named(col)
     return df.withColumn(f"{col}_keyword", F.when(F.length(text) <= max_chars, text))

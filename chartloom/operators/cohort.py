@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from chartloom.functions.dates import age_and_death, is_bad_date, parse_date, ts_to_int
 from chartloom.functions.ids import clean_id
 from chartloom.functions.labels import norm_gender, norm_label, title_case
+from chartloom.functions.names import named
 from chartloom.operators.lookups import map_codes
 from chartloom.operators.records import part_of, union_all
 
 
 def _meta(meta_col: str, name: str) -> Column:
-    return F.col(meta_col)[name]
+    return named(meta_col)[name]
 
 
 def split_affirmed(df: DataFrame, meta_col: str = "meta_anns") -> tuple[DataFrame, DataFrame]:
@@ -71,13 +72,13 @@ def cui_patient_facts(
     combined on the map side and never lands in one join task.  Document ids are
     compared as text.
     """
-    seconds = epoch_seconds(F.col(f"`{ts_col}`"), annotations.schema[ts_col].dataType) if ts_col else F.lit(None).cast("bigint")
+    seconds = epoch_seconds(named(ts_col), annotations.schema[ts_col].dataType) if ts_col else F.lit(None).cast("bigint")
     mentions = annotations.select(
-        F.col(f"`{doc_col}`").cast("string").alias("doc"), F.col(f"`{cui_col}`").alias("cui"), seconds.alias("s")
+        named(doc_col).cast("string").alias("doc"), named(cui_col).alias("cui"), seconds.alias("s")
     )
     # 0 is the "not set" value of a mention time.
     per_doc = mentions.groupBy("doc", "cui").agg(F.count("*").alias("n"), F.min(F.nullif("s", F.lit(0))).alias("s"))
-    known = doc2ptt.select(F.col(f"`{doc_col}`").cast("string").alias("doc"), F.col(f"`{patient_col}`").alias("patient"))
+    known = doc2ptt.select(named(doc_col).cast("string").alias("doc"), named(patient_col).alias("patient"))
     return per_doc.join(known, "doc").groupBy("cui", "patient").agg(F.sum("n").alias("n"), F.min("s").alias("first_seen"))
 
 
@@ -112,14 +113,14 @@ def to_nested_map(
     hot key whole.  The parts of a key have no inner key in common: their union
     is the full map.  ``df`` is read twice; pass a stored table when it is costly.
     """
-    sizes = df.groupBy(outer).agg(F.ceil(F.count("*") / max_entries).cast("bigint").alias("_parts"))
+    sizes = df.groupBy(named(outer).alias(outer)).agg(F.ceil(F.count("*") / max_entries).cast("bigint").alias("_parts"))
     # Size rows are one per outer key; Spark broadcasts them when they measure small.
-    spread = df.join(sizes, outer).withColumn("part", part_of(F.col(inner), F.col("_parts")))
-    entry = F.struct(F.col(inner).cast("string").alias("key"), F.col(value).alias("value"))
+    spread = df.join(sizes, outer).withColumn("part", part_of(named(inner), F.col("_parts")))
+    entry = F.struct(named(inner).cast("string").alias("key"), named(value).alias("value"))
     # Stated, because the join leaves rows partitioned by the outer key alone, which
     # the grouping would accept: all parts of a hot key would share one task.
-    spread = spread.repartition(F.col(outer), F.col("part"))
-    return spread.groupBy(outer, "part").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("entries"))
+    spread = spread.repartition(named(outer), F.col("part"))
+    return spread.groupBy(named(outer).alias(outer), "part").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("entries"))
 
 
 @dataclass(frozen=True)
@@ -142,7 +143,7 @@ def _date(df: DataFrame, name: str, fmt: str, epoch_default: bool) -> tuple[Colu
     if name not in df.columns:
         absent = parse_date(F.lit(None).cast("string"), epoch_default=epoch_default)
         return absent, F.lit(False)
-    dtype, col = df.schema[name].dataType, F.col(f"`{name}`")
+    dtype, col = df.schema[name].dataType, named(name)
     if isinstance(dtype, (T.DateType, T.TimestampNTZType, T.TimestampType)):
         return col.cast("timestamp_ntz"), F.lit(False)
     parsed = parse_date(col, fmt, epoch_millis=isinstance(dtype, T.IntegralType), epoch_default=epoch_default)
@@ -157,7 +158,7 @@ def death_column(df: DataFrame, cols: PatientColumns, when: str = "absent") -> s
     if cols.death not in df.columns:
         return cols.death_backup or cols.death
     if when == "null" and cols.death_backup in df.columns:
-        return F.coalesce(F.col(f"`{cols.death}`"), F.col(f"`{cols.death_backup}`"))
+        return F.coalesce(named(cols.death), named(cols.death_backup))
     return cols.death
 
 
@@ -205,15 +206,15 @@ def _patient_rows(records: DataFrame, cols: PatientColumns, epoch_default: bool,
     dob, bad_dob = _date(records, cols.birth, cols.date_format, epoch_default)
     dod, bad_dod = _date(records, death, cols.date_format, False)
     has = records.columns
-    return records.filter(F.col(f"`{cols.patient}`").isNotNull()).select(
-        clean_id(F.col(f"`{cols.patient}`")).alias("patient"),
-        (norm_label(F.col(f"`{cols.ethnicity}`")) if cols.ethnicity in has else F.lit("other")).alias("ethnicity"),
-        (norm_gender(F.col(f"`{cols.gender}`")) if cols.gender in has else F.lit("Unknown")).alias("sex"),
+    return records.filter(named(cols.patient).isNotNull()).select(
+        clean_id(named(cols.patient)).alias("patient"),
+        (norm_label(named(cols.ethnicity)) if cols.ethnicity in has else F.lit("other")).alias("ethnicity"),
+        (norm_gender(named(cols.gender)) if cols.gender in has else F.lit("Unknown")).alias("sex"),
         dob.alias("dob"),
         dod.alias("dod"),
         (bad_dob | bad_dod).alias("bad"),
-        (F.col(f"`{cols.document}`") if cols.document in has else F.lit(None)).cast("string").alias("docid"),
-        F.col(f"`{cols.ordinal}`").alias("ordinal"),
+        (named(cols.document) if cols.document in has else F.lit(None)).cast("string").alias("docid"),
+        named(cols.ordinal).alias("ordinal"),
     )
 
 

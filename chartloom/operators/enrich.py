@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.functions.geo import wkt_point
+from chartloom.functions.names import named
 from chartloom.operators.records import only
 
 ServiceCall = Callable[[pd.DataFrame], pd.DataFrame]
@@ -76,7 +77,7 @@ def apply_text_model(df: DataFrame, col: str, make_model: Callable[[], Callable[
     """
     if col not in df.columns:
         return df
-    text = F.col(f"`{col}`")
+    text = named(col)
     n = F.greatest(F.ceil(F.length(text) / char_limit).cast("int"), F.lit(1))
     slices = F.transform(F.sequence(F.lit(0), n - 1), lambda i: text.substr(i * char_limit + 1, F.lit(char_limit)))
 
@@ -94,7 +95,7 @@ def apply_text_model(df: DataFrame, col: str, make_model: Callable[[], Callable[
 
     # A later filter on the text must not make the model run twice.
     answers = run.asNondeterministic()(F.when(text.isNotNull(), slices))
-    return df.select(*[(F.array_join(answers, "") if c == col else F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return df.select(*[(F.array_join(answers, "") if c == col else named(c)).alias(c) for c in df.columns])
 
 
 def assign_location(df: DataFrame, id_col: str, boxes: Sequence[tuple[str, float, float, float, float]], seed: int = 0) -> DataFrame:
@@ -107,7 +108,7 @@ def assign_location(df: DataFrame, id_col: str, boxes: Sequence[tuple[str, float
         raise ValueError("no boxes given")
 
     def fraction(salt: str) -> Column:
-        digest = F.md5(F.concat(F.col(f"`{id_col}`").cast("string"), F.lit(f"/{salt}/{seed}")))
+        digest = F.md5(F.concat(named(id_col).cast("string"), F.lit(f"/{salt}/{seed}")))
         return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
     box = F.array(*[

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.ids import annotation_id
+from chartloom.functions.names import named
 from chartloom.operators.records import only
 
 
@@ -19,8 +20,8 @@ def not_yet_processed(df: DataFrame, ledger: DataFrame, id_col: Column | str, le
     The ledger is reduced to distinct ids first, on the map side too, which is
     also the partitioning the join needs.
     """
-    done = ledger.select(F.col(ledger_col).cast("string").alias("_id")).filter("_id IS NOT NULL").distinct()
-    key = id_col if isinstance(id_col, Column) else F.col(f"`{id_col}`")
+    done = ledger.select(named(ledger_col).cast("string").alias("_id")).filter("_id IS NOT NULL").distinct()
+    key = id_col if isinstance(id_col, Column) else named(id_col)
     return df.withColumn("_id", key.cast("string")).join(done, "_id", "left_anti").drop("_id")
 
 
@@ -30,23 +31,23 @@ def fetch_by_ids(df: DataFrame, ids: DataFrame, id_col: str, order_col: str | No
     ``order_col`` brings a document's rows together in sequence.  The sort is by
     range of id and sequence, so a document with very many rows takes several tasks.
     """
-    wanted = ids.select(F.col(id_col).cast("string").alias("_id")).distinct()
-    rows = df.withColumn("_id", F.col(f"`{id_col}`").cast("string")).join(wanted, "_id", "left_semi")
+    wanted = ids.select(named(id_col).cast("string").alias("_id")).distinct()
+    rows = df.withColumn("_id", named(id_col).cast("string")).join(wanted, "_id", "left_semi")
     if order_col is not None:
-        rows = rows.orderBy("_id", order_col)
+        rows = rows.orderBy("_id", named(order_col))
     return rows.drop("_id")
 
 
 def latest_by_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """The row with the highest ``order_col`` of each key (combined map-side)."""
-    row = F.max_by(F.struct(*only(df, df.columns)), F.col(order_col)).alias("_row")
-    return df.groupBy(F.col(key).alias("_key")).agg(row).select(*[F.col("_row")[c].alias(c) for c in df.columns])
+    row = F.max_by(F.struct(*only(df, df.columns)), named(order_col)).alias("_row")
+    return df.groupBy(named(key).alias("_key")).agg(row).select(*[F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def upsert(target: DataFrame, updates: DataFrame, key: str, order_col: str) -> DataFrame:
     """Target rows without an update, and the last update of each key."""
     fresh = latest_by_key(updates, key, order_col)
-    kept = target.join(fresh.select(key), key, "left_anti").select(*only(target, target.columns))
+    kept = target.join(fresh.select(named(key)), key, "left_anti").select(*only(target, target.columns))
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -61,12 +62,12 @@ def incremental(df: DataFrame, key: str, last: Any = None) -> tuple[DataFrame, D
     ``last`` is a literal of the column's type, so the filter is pushed into the scan.
     """
     if last is None:
-        return df, df.agg(F.max(key).alias("high_water"))
+        return df, df.agg(F.max(named(key)).alias("high_water"))
     # A wall-clock time goes in as text: a literal would be taken for a moment in
     # the session's time zone.
     value = F.lit(str(last) if isinstance(last, datetime.datetime) else last).cast(df.schema[key].dataType)
-    rows = df.filter(F.col(key) > value)
-    return rows, rows.agg(F.coalesce(F.max(key), value).alias("high_water"))
+    rows = df.filter(named(key) > value)
+    return rows, rows.agg(F.coalesce(F.max(named(key)), value).alias("high_water"))
 
 
 def limit_batch(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:

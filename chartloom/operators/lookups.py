@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions.binary import base64_text
 from chartloom.functions.geo import geo_string
+from chartloom.functions.names import named
 from chartloom.functions.text import file_stem
 from chartloom.operators.records import only, row_hash
 
@@ -21,7 +22,7 @@ def lookup(df: DataFrame, key: Column, table: DataFrame, table_key: str) -> Data
     """Left join to a table that is unique on ``table_key``; null keys never match."""
     place = F.concat(F.lit("\x00"), row_hash(df).cast("string"))
     keyed = df.withColumn("_key", F.coalesce(key, place))
-    side = table.filter(F.col(table_key).isNotNull()).withColumnRenamed(table_key, "_key")
+    side = table.filter(named(table_key).isNotNull()).withColumnRenamed(table_key, "_key")
     return keyed.join(side, "_key", "left").drop("_key")
 
 
@@ -42,12 +43,12 @@ def add_geolocation(
     postcode or no match gives null; coordinates that are not numbers give null
     and mark the row as an error.
     """
-    latest = places.groupBy(F.col(key_col).alias("_place")).agg(
-        F.max_by(F.struct(F.col(lat_col).alias("lat"), F.col(lon_col).alias("lon")), ordinal_col).alias("_at")
+    latest = places.groupBy(named(key_col).alias("_place")).agg(
+        F.max_by(F.struct(named(lat_col).alias("lat"), named(lon_col).alias("lon")), named(ordinal_col)).alias("_at")
     )
     table = latest.select("_place", F.lit(True).alias("_hit"), geo_string(F.col("_at.lat"), F.col("_at.lon")).alias("_geo"))
-    code = F.replace(F.col(f"`{postcode_col}`").cast("string"), F.lit(" "), F.lit(""))
-    key = F.when(F.col(f"`{postcode_col}`").cast("string") != "", code)
+    code = F.replace(named(postcode_col).cast("string"), F.lit(" "), F.lit(""))
+    key = F.when(named(postcode_col).cast("string") != "", code)
     kept = [c for c in df.columns if c != out_col]
     joined = lookup(df, key, table, "_place")
     return joined.select(
@@ -57,10 +58,10 @@ def add_geolocation(
 
 def map_codes(df: DataFrame, col: str, codes: DataFrame, code_col: str = "code", label_col: str = "label") -> DataFrame:
     """Replace values by their label; a value without one stays."""
-    table = codes.groupBy(F.col(code_col).alias("_code")).agg(F.max(label_col).alias("_label"))
-    joined = lookup(df, F.col(f"`{col}`"), table, "_code")
+    table = codes.groupBy(named(code_col).alias("_code")).agg(F.max(named(label_col)).alias("_label"))
+    joined = lookup(df, named(col), table, "_code")
     return joined.select(
-        *[(F.coalesce("_label", F.col(f"`{col}`")) if c == col else F.col(f"`{c}`")).alias(c) for c in df.columns]
+        *[(F.coalesce("_label", named(col)) if c == col else named(c)).alias(c) for c in df.columns]
     )
 
 
@@ -85,10 +86,10 @@ ENTITIES = (
 
 def patient_encounters(patients: DataFrame, encounters: DataFrame) -> DataFrame:
     """Patients joined to their encounters, columns renamed; absent ones are left out."""
-    people = patients.select(*[F.col(c).alias(n) for c, n in PATIENT_VIEW.items() if c in patients.columns])
+    people = patients.select(*[named(c).alias(n) for c, n in PATIENT_VIEW.items() if c in patients.columns])
     visits = encounters.select(
         F.col("patient").alias("patient_id"),
-        *[F.col(c).alias(n) for c, n in ENCOUNTER_VIEW.items() if c in encounters.columns],
+        *[named(c).alias(n) for c, n in ENCOUNTER_VIEW.items() if c in encounters.columns],
     )
     names = [*people.columns, *[c for c in visits.columns if c != "patient_id"]]
     return people.join(visits, "patient_id").select(*names)
@@ -127,12 +128,12 @@ def join_metadata(
     files without metadata are dropped; missing metadata values become empty.
     """
     keyed = files.select(
-        F.col(folder_col), file_stem(F.col("file_name")).alias(id_col), base64_text(F.col("content")).alias("binarydoc")
+        named(folder_col), file_stem(F.col("file_name")).alias(id_col), base64_text(F.col("content")).alias("binarydoc")
     )
-    meta = metadata.withColumn(id_col, F.col(id_col).cast("string"))
+    meta = metadata.withColumn(id_col, named(id_col).cast("string"))
     names = [c for c in meta.columns if c not in (folder_col, "binarydoc", "text")]
     joined = meta.join(keyed, [folder_col, id_col])
-    return joined.select(folder_col, *[F.col(f"`{c}`") for c in names], "binarydoc", F.lit("").alias("text")).na.fill("")
+    return joined.select(folder_col, *[named(c) for c in names], "binarydoc", F.lit("").alias("text")).na.fill("")
 
 
 def annotation_star(
@@ -147,10 +148,10 @@ def annotation_star(
     The keys of the schema: annotation to document by ``document_key``, to model by
     ``model_id_used``, meta annotation to annotation by ``annotation_id``.
     """
-    ann = annotations.select(*[F.col(f"`{c}`").alias(c if c in (document_key, "model_id_used") else f"ann_{c}") for c in annotations.columns])
+    ann = annotations.select(*[named(c).alias(c if c in (document_key, "model_id_used") else f"ann_{c}") for c in annotations.columns])
     meta = meta_annotations.select(
-        F.col("annotation_id").alias("ann_id"), *[F.col(c).alias(f"meta_{c}") for c in meta_annotations.columns if c != "annotation_id"]
+        F.col("annotation_id").alias("ann_id"), *[named(c).alias(f"meta_{c}") for c in meta_annotations.columns if c != "annotation_id"]
     )
-    used = models.select(F.col("id").alias("model_id_used"), *[F.col(c).alias(f"model_{c}") for c in models.columns if c != "id"])
-    docs = documents.select(*[F.col(c).alias(c if c == document_key else f"doc_{c}") for c in documents.columns])
+    used = models.select(F.col("id").alias("model_id_used"), *[named(c).alias(f"model_{c}") for c in models.columns if c != "id"])
+    docs = documents.select(*[named(c).alias(c if c == document_key else f"doc_{c}") for c in documents.columns])
     return docs.join(ann, document_key).join(meta, "ann_id").join(used, "model_id_used")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.functions.jsonsafe import scalar_text
+from chartloom.functions.names import named
 
 # The parts of a rendered item, in order.
 ITEM_KEYS: tuple[str, ...] = ("label", "valueText", "valueNum", "valueDate", "comment")
@@ -153,5 +154,5 @@ def map_schema(
 ) -> DataFrame:
     """Rename, compose and nest the columns of ``df`` as ``mapping`` says."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    columns = _compile(fields, lambda n: F.col(f"`{n}`"), mapping, preserve_unmapped, frozenset(first_non_empty))
+    columns = _compile(fields, lambda n: named(n), mapping, preserve_unmapped, frozenset(first_non_empty))
     return df.select(*[c.alias(n) for n, c in columns.items()])

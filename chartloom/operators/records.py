@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.functions.jsonsafe import json_safe_column
+from chartloom.functions.names import named
 from chartloom.session import checkpoint_folder
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -17,7 +18,7 @@ _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 def only(df: DataFrame, names: Iterable[str]) -> list[Column]:
     """Columns by exact name (a dot in a name is part of the name)."""
-    return [F.col(f"`{n}`") for n in names]
+    return [named(n) for n in names]
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -41,13 +42,13 @@ def rest_struct(df: DataFrame, without: Sequence[str]) -> Column:
 def json_safe(df: DataFrame) -> DataFrame:
     """Every column as JSON text would carry it."""
     return df.select(
-        *[json_safe_column(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
+        *[json_safe_column(named(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
     )
 
 
 def json_column(df: DataFrame) -> Column:
     """The record as one JSON object: compact, nulls kept, non-ASCII kept."""
-    fields = [json_safe_column(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
+    fields = [json_safe_column(named(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
     return F.to_json(F.struct(*fields), _KEEP_NULLS)
 
 
@@ -70,7 +71,7 @@ def explode_records(df: DataFrame, records_col: str) -> DataFrame:
     """One row per element of an array of objects, its fields as columns."""
     names = df.schema[records_col].dataType.elementType.names
     item = F.col("_record")
-    return df.select(F.explode(records_col).alias("_record")).select(*[item[n].alias(n) for n in names])
+    return df.select(F.explode(named(records_col)).alias("_record")).select(*[item[n].alias(n) for n in names])
 
 
 def with_ordinal(df: DataFrame, order_by: Sequence[str], name: str = "ordinal", partitions: int | None = None) -> DataFrame:

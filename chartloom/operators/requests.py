@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.functions.binary import base64_text, decode_base64
+from chartloom.functions.names import named
 from chartloom.operators.records import json_column, only, rest_struct
 
 
 def to_nlp_request(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``text`` (empty when missing) and ``footer`` with all other columns."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")) if text_col in df.columns else F.lit("")
+    text = F.coalesce(named(text_col).cast("string"), F.lit("")) if text_col in df.columns else F.lit("")
     return df.select(text.alias("text"), rest_struct(df, [text_col]).alias("footer"))
 
 
@@ -26,14 +27,14 @@ def to_ocr_request(df: DataFrame, bin_col: str = "binarydoc", mode: str = "base6
     encoded already and need ``raw``.
     """
     kind = _payload_kind(df, bin_col, mode)
-    payload = base64_text(F.col(bin_col)) if kind == "base64" else F.col(bin_col)
+    payload = base64_text(named(bin_col)) if kind == "base64" else named(bin_col)
     return df.select(payload.alias("binary_data"), rest_struct(df, [bin_col]).alias("footer"))
 
 
 def binary_to_base64(df: DataFrame, bin_col: str = "binarydoc", mode: str = "base64") -> DataFrame:
     """The binary column as base64 text (or untouched), moved to first place."""
     kind = _payload_kind(df, bin_col, mode)
-    payload = base64_text(F.col(bin_col)) if kind == "base64" else F.col(bin_col)
+    payload = base64_text(named(bin_col)) if kind == "base64" else named(bin_col)
     return df.select(payload.alias(bin_col), *only(df, [c for c in df.columns if c != bin_col]))
 
 
@@ -59,13 +60,13 @@ def unwrap_hit(df: DataFrame, wrappers: Sequence[str] = ("fields", "_source")) -
     names = list(dict.fromkeys(plain + [n for w in present for n in inner[w]]))
 
     def value(name: str) -> Column:
-        own = F.col(f"`{name}`") if name in plain else F.lit(None)
+        own = named(name) if name in plain else F.lit(None)
         if not any(name in inner[w] for w in present):
             return own
         branches = None
         for w in present:
-            found = F.col(w)[name] if name in inner[w] else F.lit(None)
-            branches = F.when(F.col(w).isNotNull(), found) if branches is None else branches.when(F.col(w).isNotNull(), found)
+            found = named(w)[name] if name in inner[w] else F.lit(None)
+            branches = F.when(named(w).isNotNull(), found) if branches is None else branches.when(named(w).isNotNull(), found)
         return branches.otherwise(own)
 
     return df.select(*[value(n).alias(n) for n in names])
@@ -81,9 +82,9 @@ def hits_to_request(
     records = unwrap_hit(df)
     if id_col not in records.columns:
         raise ValueError(f"no id column {id_col!r} in {records.columns}")
-    ok, invalid = split_valid(records, F.length(F.col(text_col)) >= min_chars)
+    ok, invalid = split_valid(records, F.length(named(text_col)) >= min_chars)
     requests = ok.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest_struct(ok, [text_col]).alias("footer")
+        named(id_col).alias("id"), named(text_col).alias("text"), rest_struct(ok, [text_col]).alias("footer")
     )
     return requests, invalid.withColumn("error", F.lit(f"text shorter than {min_chars} characters"))
 
@@ -101,7 +102,7 @@ def extract_payload(df: DataFrame, bin_col: str = "binarydoc", mode: str = "base
     """
     if mode not in ("base64", "raw"):
         raise ValueError(f"mode must be 'base64' or 'raw', not {mode!r}")
-    payload = decode_base64(F.col(bin_col)) if mode == "base64" else F.col(bin_col).cast("binary")
+    payload = decode_base64(named(bin_col)) if mode == "base64" else named(bin_col).cast("binary")
     others = [_attribute_text(df, c).alias(c) for c in df.columns if c != bin_col]
     return df.select(payload.alias("content"), *others)
 
@@ -111,7 +112,7 @@ def to_attributes(df: DataFrame, content_col: str) -> DataFrame:
     names = [c for c in df.columns if c != content_col]
     pairs = [x for c in names for x in (F.lit(c), _attribute_text(df, c))]
     return df.select(
-        F.col(content_col).cast("string").alias("content"),
+        named(content_col).cast("string").alias("content"),
         F.create_map(*pairs).alias("attributes"),
         F.array(*[F.lit(c) for c in df.columns]).alias("attribute_list"),
     )
@@ -120,8 +121,8 @@ def to_attributes(df: DataFrame, content_col: str) -> DataFrame:
 def _attribute_text(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(F.col(name))
-    return F.col(name).cast("string")
+        return F.to_json(named(name))
+    return named(name).cast("string")
 
 
 def request_batches(df: DataFrame, batch_size: int = 1000, max_chars: int = 2_000_000) -> DataFrame:

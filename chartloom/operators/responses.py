@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.functions.ids import annotation_id
+from chartloom.functions.names import named
 from chartloom.functions.text import is_blank
 from chartloom.operators.records import only
 
@@ -36,7 +37,7 @@ def _empty_object(dtype: T.DataType | None) -> Column:
 def parse_ocr(df: DataFrame, text_col: str = "text", result_col: str = "result") -> DataFrame:
     """One row per extraction response; footer columns win over same names."""
     result_type = df.schema[result_col].dataType
-    result = F.col(result_col)
+    result = named(result_col)
     names = _fields(result_type)
     types = {f.name: f.dataType for f in result_type.fields}
     out: dict[str, Column] = {}
@@ -55,10 +56,10 @@ def parse_ocr(df: DataFrame, text_col: str = "text", result_col: str = "result")
 
 def _documents(df: DataFrame, result_col: str, info_col: str | None) -> DataFrame:
     """Explode the results of each response: columns ``doc`` and ``info``."""
-    info = F.col(info_col) if info_col else F.lit(None).cast("string")
+    info = named(info_col) if info_col else F.lit(None).cast("string")
     if isinstance(df.schema[result_col].dataType, T.ArrayType):
-        return df.select(info.alias("info"), F.explode(result_col).alias("doc"))
-    return df.filter(F.col(result_col).isNotNull()).select(info.alias("info"), F.col(result_col).alias("doc"))
+        return df.select(info.alias("info"), F.explode(named(result_col)).alias("doc"))
+    return df.filter(named(result_col).isNotNull()).select(info.alias("info"), named(result_col).alias("doc"))
 
 
 def _annotation_map(doc: Column, doc_type: T.StructType) -> Column:
@@ -200,9 +201,9 @@ def flatten_annotations(
 
 def merge_ocr(source: DataFrame, ocr: DataFrame, key: str, result_col: str = "result", ocr_key: Column | None = None) -> DataFrame:
     """Source columns plus ``text``, ``ocr_metadata`` and ``ocr_timestamp``."""
-    result = F.col(result_col)
+    result = named(result_col)
     answers = ocr.select(
-        (ocr_key if ocr_key is not None else F.col(key)).alias(key),
+        (ocr_key if ocr_key is not None else named(key)).alias(key),
         result["text"].alias("text"),
         result["metadata"].alias("ocr_metadata"),
         result["timestamp"].alias("ocr_timestamp"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from chartloom.functions.names import named
 from chartloom.functions.text import CLINICAL_SCRUB_RULES, has_term, scrub
 
 
@@ -14,10 +14,10 @@ def scrub_text(df: DataFrame, col: str = "text", rules: Iterable[tuple[str, str]
     """Apply ordered substitutions to one column; a frame without it is unchanged."""
     if col not in df.columns:
         return df
-    scrubbed = scrub(F.col(f"`{col}`"), rules)
-    return df.select(*[(scrubbed if c == col else F.col(f"`{c}`")).alias(c) for c in df.columns])
+    scrubbed = scrub(named(col), rules)
+    return df.select(*[(scrubbed if c == col else named(c)).alias(c) for c in df.columns])
 
 
 def match_text(df: DataFrame, field: str, terms: Sequence[str]) -> DataFrame:
     """Rows whose text has one of the terms as a whole word."""
-    return df.filter(has_term(F.col(f"`{field}`"), terms))
+    return df.filter(has_term(named(field), terms))

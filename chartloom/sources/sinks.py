@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.functions.names import named
 from chartloom.operators.cohort import to_nested_map
 from chartloom.operators.ledger import upsert
 from chartloom.operators.records import json_column, part_of, to_ndjson
@@ -24,8 +25,8 @@ def dict_json(df: DataFrame, key: str, value: str, parts: int = 1) -> DataFrame:
     big one takes more parts, each holding the keys of one hash range; no key is
     in two parts, so reading all of them gives the one dictionary.
     """
-    entry = F.struct(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))
-    part = part_of(F.col(key), F.lit(parts))
+    entry = F.struct(named(key).cast("string").alias("k"), named(value).alias("v"))
+    part = part_of(named(key), F.lit(parts))
     grouped = df.groupBy(part.alias("part")).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("m"))
     return grouped.select("part", F.to_json("m", {"ignoreNullFields": "false"}).alias("value"))
 
@@ -39,8 +40,8 @@ def write_dict_json(df: DataFrame, key: str, value: str, path: str, max_entries:
 def dict_jsonl(df: DataFrame, outer: str, inner: str, value: str, max_entries: int = 100_000) -> DataFrame:
     """JSON lines ``{outer: {inner: value}}``; a hot outer key takes several lines."""
     nested = to_nested_map(df, outer, inner, value, max_entries)
-    line = F.create_map(F.col(outer).cast("string"), F.col("entries"))
-    return nested.select(F.col(outer), "part", F.to_json(line, {"ignoreNullFields": "false"}).alias("value"))
+    line = F.create_map(named(outer).cast("string"), F.col("entries"))
+    return nested.select(named(outer), "part", F.to_json(line, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_dict_jsonl(df: DataFrame, outer: str, inner: str, value: str, path: str, max_entries: int = 100_000) -> None:

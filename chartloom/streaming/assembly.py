@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from chartloom.functions.names import named
+
 _OUT = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("payload", T.BinaryType()),
@@ -111,10 +113,10 @@ def stream_assemble_blobs(
     too, so such a query belongs on a trigger with an interval.
     """
     parts = df.select(
-        F.col(id_col).cast("string").alias("id"),
-        F.col(seq_col).cast("bigint").alias("seq"),
-        F.col(bin_col).cast("string").alias("bin"),
-        F.col(total_col).cast("bigint").alias("total"),
+        named(id_col).cast("string").alias("id"),
+        named(seq_col).cast("bigint").alias("seq"),
+        named(bin_col).cast("string").alias("bin"),
+        named(total_col).cast("bigint").alias("total"),
     )
     nameless = F.col("id").isNull() | (F.col("id") == "")
     # Parts without an id may be very many; they never meet in one group.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from chartloom.functions.names import named
 from chartloom.operators.cohort import epoch_seconds, split_affirmed
 from chartloom.plans.transform import Flow
 from chartloom.sources.records import Schema
@@ -112,11 +113,11 @@ def stream_cohort(
     """
     mentions, _ = split_affirmed(annotations, meta_col)
     rows = mentions.select(
-        F.col(doc_col).cast("string").alias("doc"),
-        F.col(cui_col).alias("cui"),
-        F.nullif(epoch_seconds(F.col(ts_col), annotations.schema[ts_col].dataType), F.lit(0)).alias("s"),
+        named(doc_col).cast("string").alias("doc"),
+        named(cui_col).alias("cui"),
+        F.nullif(epoch_seconds(named(ts_col), annotations.schema[ts_col].dataType), F.lit(0)).alias("s"),
     )
-    known = doc2ptt.select(F.col(doc_col).cast("string").alias("doc"), "patient")
+    known = doc2ptt.select(named(doc_col).cast("string").alias("doc"), "patient")
     return rows.join(known, "doc").groupBy("cui", "patient").agg(F.count("*").alias("n"), F.min("s").alias("first_seen"))
 
 

@@ -400,3 +400,19 @@ def test_locations_are_stable_and_inside(spark):
         lon, lat = map(float, r["gen_location"][7:-1].split())
         _, a, b, c, d = boxes[r["area"] == "s"]
         assert a <= lat <= b and c <= lon <= d
+
+
+def test_names_with_dots(spark):
+    """Stored annotations carry dotted names; a dot is part of the name."""
+    df = mentions(spark, [mention(1, "a", "2020-01-01T00:00:00")]).toDF("meta.docid", "nlp.cui", "time.stamp", "nlp.meta_anns")
+    known = spark.createDataFrame([("1", "p")], ["meta.docid", "patient.id"])
+    facts = cui_patient_facts(affirmed(df, "nlp.meta_anns"), known, "nlp.cui", "meta.docid", "time.stamp", "patient.id")
+    assert rows(facts) == [{"cui": "a", "patient": "p", "n": 1, "first_seen": 1577836800}]
+    dotted = spark.createDataFrame([("k", "x", 1)], ["a.id", "b.text", "at.n"])
+    assert rows(to_nlp_request(dotted, "b.text")) == [{"text": "x", "footer": {"a.id": "k", "at.n": 1}}]
+    assert rows(upsert(dotted, dotted.withColumn("at.n", F.lit(2).cast("long")), "a.id", "at.n"))[0]["at.n"] == 2
+    assert rows(to_nested_map(dotted, "a.id", "b.text", "at.n"))[0]["entries"] == {"x": 1}
+    assert rows(terms(dotted, "a.id")) == [{"key": "k", "doc_count": 1}]
+    assert rows(map_schema(dotted, {"t": ["a.id", "b.text"]}, preserve_unmapped=False)) == [{"t": "k\nx"}]
+    assert rows(fetch_by_ids(dotted, dotted, "a.id", "at.n")) == rows(dotted)
+    assert rows(incremental(dotted, "at.n", 0)[1]) == [{"high_water": 1}]

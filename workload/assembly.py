@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from chartloom.functions import base64_text, strip_markers
 from chartloom.operators import assemble_blobs, encode_payload, resolve_payload
 from chartloom.operators.lzw import WIDER_AFTER
+from chartloom.plans import Flow, NlpRequests, SchemaMap, TextScrub
 from workload import query
+from workload.casting import scrub_sql
 from workload.inputs import PARTS_SQL, parts, spread, table
 
 _SHAPE = """
@@ -174,3 +176,25 @@ def stripped(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", strip_markers(wrapped).alias("binarydoc"))
     raw = encode_payload(rows.withColumn("kept", F.col("binarydoc")), mode="raw")
     return raw.select("doc_id", F.md5("kept").alias("digest"), base64_text(F.col("kept")).alias("encoded"), F.col("binarydoc").alias("raw"))
+
+
+@query("document_flow", f"""WITH {PARTS_SQL}, whole AS (SELECT doc_id, lang, {_PLAIN} AS text FROM fate WHERE error IS NULL)
+SELECT CAST(doc_id AS VARCHAR) AS id, {scrub_sql("text")} AS text, upper(lang) AS dept FROM whole
+WHERE length({scrub_sql("text")}) >= 50""")
+def document_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts to documents to scrubbed requests, as a chain of steps."""
+    whole, _ = assemble_blobs(parts(spark, sf))
+    notes = whole.select("id", F.col("binarydoc").cast("string").alias("body"), F.upper("lang").alias("lang"))
+    mapping = {"_id": "id", "text": "body", "dept": ["lang"]}
+    flow = Flow([SchemaMap(mapping=mapping, preserve_unmapped=False), TextScrub(), NlpRequests(min_chars=50)])
+    return flow.run(notes).good.select(F.col("id").cast("string").alias("id"), "text", "footer.dept")
+
+
+@query("document_flow_failures", f"""WITH {PARTS_SQL}, whole AS (SELECT doc_id, lang, {_PLAIN} AS text FROM fate WHERE error IS NULL)
+SELECT 'NlpRequests' AS step, 'text shorter than 50 characters' AS error, CAST(doc_id AS VARCHAR) AS id FROM whole
+WHERE length({scrub_sql("text")}) < 50""")
+def document_flow_failures(spark: SparkSession, sf: str) -> DataFrame:
+    whole, _ = assemble_blobs(parts(spark, sf))
+    notes = whole.select(F.col("id").alias("_id"), F.col("binarydoc").cast("string").alias("text"))
+    failures_ = Flow([TextScrub(), NlpRequests(min_chars=50)]).run(notes).failures
+    return failures_.select("step", "error", F.get_json_object("record", "$._id").alias("id"))

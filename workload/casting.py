@@ -60,13 +60,13 @@ def keywords(spark: SparkSession, sf: str) -> DataFrame:
     return with_keyword(table(spark, sf, "pages").select("page_id", "url"), "url", 40)
 
 
-def _scrub_sql(column: str) -> str:
+def scrub_sql(column: str) -> str:
     for pattern, replacement in CLINICAL_SCRUB_RULES:
         column = f"regexp_replace({column}, '{pattern}', '{replacement}', 'gi')"
     return column
 
 
-@query("scrubbed_text", f"SELECT doc_id, {_scrub_sql('text')} AS text FROM documents")
+@query("scrubbed_text", f"SELECT doc_id, {scrub_sql('text')} AS text FROM documents")
 def scrubbed(spark: SparkSession, sf: str) -> DataFrame:
     return scrub_text(spread(spark, sf, "documents").select("doc_id", "text"))
 

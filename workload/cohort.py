@@ -17,6 +17,7 @@ from chartloom.operators import (
     split_affirmed,
     to_nested_map,
 )
+from chartloom.plans import CohortResult, build_cohort
 from chartloom.sources.sinks import dict_json, dict_jsonl
 from workload import query
 from workload.inputs import ANNOTATIONS_SQL, PATIENTS_SQL, annotations, doc2ptt, patients
@@ -141,3 +142,26 @@ SELECT '{{' || string_agg('"' || patient || '":"' || sex || '"', ',' ORDER BY pa
 FROM table_ GROUP BY {PART_OF.format(key='patient', parts='16')}""")
 def patient_sex_artefact(spark: SparkSession, sf: str) -> DataFrame:
     return dict_json(patient_dims(patients(spark, sf), _as_of())["sex"], "patient", "sex", parts=16).select("value")
+
+
+def _built(spark: SparkSession, sf: str) -> CohortResult:
+    """The whole job: annotations as search hits, documents mapped by the patient records."""
+    mentions = annotations(spark, sf)
+    hits = mentions.select(F.struct(*mentions.columns).alias("_source"))
+    return build_cohort(patients(spark, sf), hits, _as_of())
+
+
+_BUILT = f"""{ANNOTATIONS_SQL}, {PATIENTS_SQL}, built AS (
+  SELECT cui, patient, count(*) AS n, min(CAST(round_even(epoch_us(ts) / 1e6, 0) AS BIGINT)) AS first_seen
+  FROM affirmed JOIN raw ON raw.docid = CAST(affirmed.docid AS VARCHAR) WHERE NOT bad GROUP BY cui, patient)"""
+
+
+@query("cohort_build_facts", f"WITH {_BUILT} SELECT * FROM built")
+def built_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return _built(spark, sf).facts
+
+
+@query("cohort_build_failures", f"""WITH {ANNOTATIONS_SQL}
+SELECT ann_id, 'no Time' AS error FROM checked WHERE is_patient AND is_present AND NOT has_time""")
+def built_failures(spark: SparkSession, sf: str) -> DataFrame:
+    return _built(spark, sf).failed.select("ann_id", "error")

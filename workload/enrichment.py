@@ -6,7 +6,6 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chartloom.operators import apply_text_model, assign_location, enrich
 from workload import query

@@ -22,7 +22,7 @@ from chartloom.streaming import (
 )
 from workload import query
 from workload.assembly import PARTS_SQL
-from workload.casting import _scrub_sql
+from workload.casting import scrub_sql
 from workload.cohort import ANNOTATIONS_SQL
 from workload.inputs import doc2ptt, shape_annotations, shape_parts, table
 from workload.scratch import scratch
@@ -53,8 +53,8 @@ def stream_routed(spark: SparkSession, sf: str) -> DataFrame:
     return read_batches(spark, f"{out}/failed").select("ann_id", "error")
 
 
-@query("stream_flow", f"""SELECT CAST(doc_id AS VARCHAR) AS id, {_scrub_sql('text')} AS text, lang FROM documents
-WHERE length({_scrub_sql('text')}) >= 200""")
+@query("stream_flow", f"""SELECT CAST(doc_id AS VARCHAR) AS id, {scrub_sql('text')} AS text, lang FROM documents
+WHERE length({scrub_sql('text')}) >= 200""")
 def stream_flow(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch(spark, "flow")
     rows = stream(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("_id"), "text", "lang")
