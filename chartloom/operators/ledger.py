@@ -40,8 +40,13 @@ def fetch_by_ids(df: DataFrame, ids: DataFrame, id_col: str, order_col: str | No
 
 def latest_by_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """The row with the highest ``order_col`` of each key (combined map-side)."""
-    row = F.max_by(F.struct(*only(df, df.columns)), named(order_col)).alias("_row")
-    return df.groupBy(named(key).alias("_key")).agg(row).select(*[F.col("_row")[c].alias(c) for c in df.columns])
+    others = [c for c in df.columns if c != key]
+    # Inside a struct a null order sorts first; bare, it would hide the row.
+    row = F.max_by(F.struct(*only(df, others or [key])), F.struct(named(order_col))).alias("_row")
+    latest = df.groupBy(named(key).alias("_key")).agg(row)
+    # The key is the grouping column itself: whoever needs keys only gets a plain
+    # distinct, without the rows.
+    return latest.select(*[(F.col("_key") if c == key else F.col("_row")[c]).alias(c) for c in df.columns])
 
 
 def upsert(target: DataFrame, updates: DataFrame, key: str, order_col: str) -> DataFrame:

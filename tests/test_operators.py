@@ -310,6 +310,8 @@ def test_ledger(spark):
     target = spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], "k string, v int, at int")
     updates = spark.createDataFrame([("b", 2, 1), ("b", 3, 2), ("c", 4, 1)], "k string, v int, at int")
     assert {r["k"]: r["v"] for r in rows(upsert(target, updates, "k", "at"))} == {"a": 1, "b": 3, "c": 4}
+    undated = spark.createDataFrame([("d", 5, None), ("e", 6, None), ("e", 7, 1)], "k string, v int, at int")
+    assert {r["k"]: r["v"] for r in rows(upsert(target, undated, "k", "at"))} == {"a": 1, "b": 1, "d": 5, "e": 7}
     again = upsert(upsert(target, updates, "k", "at"), updates, "k", "at")
     assert sorted(map(str, rows(again))) == sorted(map(str, rows(upsert(target, updates, "k", "at"))))
     assert [r["v"] for r in rows(fetch_by_ids(updates, spark.createDataFrame([("b",), ("b",)], "k string"), "k", "at"))] == [2, 3]
