@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,12 @@ DIGIT = 16
 SLOT_ROWS = 200_000
 
 
+#: A cut may be off by this part of its cell's weight.
+FINE = 4096
+#: Beyond all coordinates, which are scaled to 32 bits.
+END = 2**33
+
+
 @dataclass
 class Cell:
     """A part of the data that gets ``shards`` shards, the first of which is ``first``."""
@@ -26,8 +32,27 @@ class Cell:
     shards: int
 
 
+@dataclass
+class _Plan:
+    """Where a cell is to be cut: ``goal`` is the weight before the cut, ``rest`` what is still undecided."""
+
+    cell: int
+    dim: int
+    goal: int
+    weight: int
+    rest: int = -1
+    digits: list[int] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.rest = self.weight
+
+    def cut(self) -> tuple[int, int, int, int, int]:
+        d = [*self.digits, 0, 0, 0, 0, 0, 0]
+        return (self.cell, self.dim, *[d[i] << DIGIT | d[i + 1] for i in (0, 2, 4)])
+
+
 def coordinate(df: DataFrame, name: str) -> Column:
-    """A long that orders a column's values as they are ordered; null comes first.
+    """A long that orders a column's values as they are ordered; null counts as -1.
 
     Text counts by its first six bytes; numbers and times by their value.
     """
@@ -41,53 +66,40 @@ def coordinate(df: DataFrame, name: str) -> Column:
         value = col.cast("long")
     else:
         value = F.round(col.cast("double") * 1000).cast("long")
-    return F.coalesce(value, F.lit(-(2**62)))
+    return F.coalesce(value, F.lit(-1))
 
 
 def assign(points: DataFrame, n_dims: int, n_shards: int) -> DataFrame:
-    """``points`` (coords array<long>, weight, tie array<long>) with a column ``shard``.
-
-    A cell is cut along the dimension that is widest in it, relative to that
-    dimension's whole range, where the weight before the cut comes nearest to its
-    shards' part of the cell's.  A level takes six counting passes, whatever the
-    data; each groups by cell and digit, and only one row per cell comes to the
-    driver.  Cells travel back as a broadcast table of at most ``n_shards`` rows.
-    Rows with equal coordinates are told apart by ``tie``, so that one value that
-    holds a third of all rows is cut like any other.
+    """``points`` (coords, tie, weight) with a column ``shard``.
+
+    A cell is cut along the dimension that is widest in it, at the key where the
+    weight before the cut reaches its shards' part of the cell's.  Only one row per
+    cell comes to the driver, and cells travel back as a broadcast table of at most
+    ``n_shards`` rows.  Rows with equal coordinates are told apart by ``tie``, so
+    that one value that holds a third of all rows is cut like any other.
     """
     spark = points.sparkSession
-    whole = points.agg(*_ranges(n_dims)).first()
-    spans = [max(1, (whole[f"hi{d}"] or 0) - (whole[f"lo{d}"] or 0)) for d in range(n_dims)]
-    cells = {0: Cell(0, n_shards)}
-    placed = points.withColumn("cell", F.lit(0))
-    steps: list[list[tuple]] = []
+    cells, levels = {0: Cell(0, n_shards)}, []
     while any(c.shards > 1 for c in cells.values()):
-        placed = _placed(spark, points, steps)
-        extents = {r["cell"]: r for r in placed.groupBy("cell").agg(*_ranges(n_dims), F.sum("weight").alias("weight")).collect()}
-        open_cells = []
-        for key, cell in cells.items():
-            if cell.shards > 1:
-                seen = extents.get(key)
-                wide = [((seen[f"hi{d}"] - seen[f"lo{d}"]) / spans[d] if seen else 0, -d) for d in range(n_dims)]
-                dim = -max(wide)[1]
-                left = cell.shards // 2
-                goal = (seen["weight"] if seen else 0) * left // cell.shards
-                open_cells.append((key, dim, left, goal))
-        cuts = _cuts(spark, placed, open_cells)
-        steps.append([(key, dim, *cuts[key], cells[key].first) for key, dim, _, _ in open_cells])
-        grown: dict[int, Cell] = {}
+        placed = _placed(spark, points, levels)
+        seen = {r["cell"]: r for r in placed.groupBy("cell").agg(*_ranges(n_dims), F.sum("weight").alias("weight")).collect()}
+        plans, grown, cuts = [], {}, []
         for key, cell in cells.items():
-            if cell.shards == 1:
+            if cell.shards == 1 or key not in seen:
                 grown[2 * key] = cell
-        for key, _, left, _ in open_cells:
-            grown[2 * key] = Cell(cells[key].first, left)
-            grown[2 * key + 1] = Cell(cells[key].first + left, cells[key].shards - left)
-        # Cells that are done keep their rows on the left side of an endless cut.
-        steps[-1] += [(key, 0, 2**63 - 1, 2**63 - 1, 2**63 - 1, cell.first) for key, cell in cells.items() if cell.shards == 1]
+                cuts.append((key, 0, END, 0, 0))  # all rows stay on the left
+                continue
+            row, left = seen[key], cell.shards // 2
+            dim = max(range(n_dims), key=lambda d: (row[f"hi{d}"] - row[f"lo{d}"], -d))  # noqa: B023
+            plans.append(_Plan(key, dim, row["weight"] * left // cell.shards, row["weight"]))
+            grown[2 * key], grown[2 * key + 1] = Cell(cell.first, left), Cell(cell.first + left, cell.shards - left)
+        if not plans:
+            break
+        _find_cuts(spark, placed, plans)
+        levels.append(cuts + [p.cut() for p in plans])
         cells = grown
-    placed = _placed(spark, points, steps)
     first = spark.createDataFrame([(k, c.first) for k, c in cells.items()], "cell long, shard int")
-    return placed.join(F.broadcast(first), "cell").drop("cell")
+    return _placed(spark, points, levels).join(F.broadcast(first), "cell").drop("cell")
 
 
 def _ranges(n_dims: int) -> list[Column]:
@@ -95,46 +107,46 @@ def _ranges(n_dims: int) -> list[Column]:
     return [f(coord(d)).alias(f"{n}{d}") for d in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))]
 
 
-def _placed(spark: SparkSession, points: DataFrame, steps: list[list[tuple]]) -> DataFrame:
+def _key() -> list[Column]:
+    """What rows of a cell are ordered by: the coordinate in the cell's dimension, then the ties."""
+    return [F.get("coords", "dim"), F.get("tie", F.lit(0)), F.get("tie", F.lit(1))]
+
+
+def _placed(spark: SparkSession, points: DataFrame, levels: list[list[tuple]]) -> DataFrame:
     """The cell of each row, by one broadcast table of cuts for each level."""
     out = points.withColumn("cell", F.lit(0).cast("long"))
-    for cuts in steps:
-        table = spark.createDataFrame(cuts, "cell long, dim int, a long, b long, c long, first int")
-        out = out.join(F.broadcast(table), "cell")
-        mine = F.struct(F.get("coords", "dim").alias("a"), F.get("tie", F.lit(0)).alias("b"), F.get("tie", F.lit(1)).alias("c"))
+    for cuts in levels:
+        table = spark.createDataFrame(cuts, "cell long, dim int, a long, b long, c long")
+        mine = F.struct(*[k.alias(n) for k, n in zip(_key(), "abc", strict=True)])
         right = (mine >= F.struct("a", "b", "c")).cast("long")
-        out = out.withColumn("cell", F.col("cell") * 2 + right).drop("dim", "a", "b", "c", "first")
+        out = out.join(F.broadcast(table), "cell").withColumn("cell", F.col("cell") * 2 + right).drop("dim", "a", "b", "c")
     return out
 
 
-def _cuts(spark: SparkSession, placed: DataFrame, open_cells: list[tuple]) -> dict[int, tuple[int, int, int]]:
-    """For each open cell the key at which the weight before it reaches the goal."""
-    state = {key: (dim, goal, ()) for key, dim, _, goal in open_cells}
-    words = 3
-    digits_of = [(w, s) for w in range(words) for s in (((48, 32, 16, 0) if w == 0 else (16, 0)))]
-    for n, (w, shift) in enumerate(digits_of):
-        rows = [(key, dim, goal, *[d for d in found]) for key, (dim, goal, found) in state.items()]
+def _find_cuts(spark: SparkSession, placed: DataFrame, plans: list[_Plan]) -> None:
+    """Fill in the digits of each plan's cut, one counting pass for a digit of all cells.
+
+    Passes end when what may lie on the wrong side is at most 1 / ``FINE`` of each
+    cell; six digits tell all keys apart.
+    """
+    digit = lambda i: F.shiftright(_key()[i // 2], DIGIT * (1 - i % 2)).bitwiseAND(F.lit(2**DIGIT - 1).cast("long"))
+    for n in range(6):
+        waiting = [p for p in plans if p.rest * FINE > p.weight]
+        if not waiting:
+            break
+        rows = [(p.cell, p.dim, p.goal, *p.digits) for p in waiting]
         table = spark.createDataFrame(rows, "cell long, dim int, goal long" + "".join(f", d{i} long" for i in range(n)))
         joined = placed.join(F.broadcast(table), "cell")
-        # The coordinate's sign bit is flipped, so that its digits order as its value does.
-        key = [F.get("coords", "dim").bitwiseXOR(F.lit(-(2**63)).cast("long")), F.get("tie", F.lit(0)), F.get("tie", F.lit(1))]
-        digit = lambda i: F.shiftrightunsigned(key[digits_of[i][0]], digits_of[i][1]).bitwiseAND(F.lit(2**DIGIT - 1).cast("long"))  # noqa: E731, B023
         for i in range(n):
             joined = joined.filter(digit(i) == F.col(f"d{i}"))
-        counted = joined.groupBy("cell", digit(n).alias("digit")).agg(F.sum("weight").alias("w"), F.first("goal").alias("goal"))
+        counted = joined.groupBy("cell", "goal", digit(n).alias("digit")).agg(F.sum("weight").alias("w"))
         order = Window.partitionBy("cell").orderBy("digit")  # at most 65,536 rows of a cell
         upto = counted.withColumn("upto", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        # The first digit whose weight passes the goal holds the cut; past the last one there is none.
-        hit = upto.filter(F.col("upto") > F.col("goal")).groupBy("cell").agg(F.min(F.struct("digit", "upto", "w")).alias("m"))
+        hit = upto.filter("upto > goal").groupBy("cell").agg(F.min(F.struct("digit", "upto", "w")).alias("m"))
         found = {r["cell"]: r["m"] for r in hit.collect()}
-        for cell, (dim, goal, so_far) in state.items():
-            m = found.get(cell)
-            state[cell] = (dim, goal - (m["upto"] - m["w"]), (*so_far, m["digit"])) if m else (dim, goal, (*so_far, 2**DIGIT - 1))
-    out = {}
-    for cell, (_, _, digits) in state.items():
-        a = ((digits[0] << 48 | digits[1] << 32 | digits[2] << 16 | digits[3]) ^ (1 << 63))
-        out[cell] = (a - (1 << 64) if a >= 1 << 63 else a, digits[4] << 16 | digits[5], digits[6] << 16 | digits[7])
-    return out
+        for p in waiting:
+            m = found[p.cell]
+            p.goal, p.rest, p.digits = p.goal - (m["upto"] - m["w"]), m["w"], [*p.digits, m["digit"]]
 
 
 def kd_shards(
@@ -152,7 +164,7 @@ def kd_shards(
     ``tie`` (a long of 32 bits) orders rows with equal metadata; rows that are
     equal in it too are told apart by their number.  The rows' metadata are written
     to the checkpoint folder once; texts are read once and never moved.  A null
-    counts as the least value of its dimension; an empty table gives no rows.
+    counts as -1 in its dimension; an empty table gives no rows.
     Repeated rows each get a slot of their own.
     """
     wide = F.array(*[coordinate(df, c) for c in dims])
@@ -166,7 +178,16 @@ def kd_shards(
     )
     points = cut(points)  # the rows' numbers must stay as they are
     names = [c for c in points.columns if c not in ("coords", "tie1", "tie2")]
-    points = points.select(*names, "coords", F.array("tie1", "tie2").alias("tie"), F.col("size").alias("weight"))
+    whole = points.agg(*_ranges(len(dims))).first()
+    scaled = [
+        F.floor((F.get("coords", F.lit(d)).cast("double") - whole[f"lo{d}"]) / max(1, whole[f"hi{d}"] - whole[f"lo{d}"]) * (2**32 - 1))
+        if whole[f"lo{d}"] is not None
+        else F.lit(0)
+        for d in range(len(dims))
+    ]
+    points = points.select(
+        *names, F.array(*[c.cast("long") for c in scaled]).alias("coords"), F.array("tie1", "tie2").alias("tie"), F.col("size").alias("weight")
+    )
     if n_shards is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         n_shards = max(1, -(-total // target_bytes))
