@@ -50,3 +50,25 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     named = right.withColumnsRenamed({k: f"{k}__r" for k in keys})
     on = [F.expr(f"`{k}` <=> `{k}__r`") for k in keys]
     return left.join(named, on, how).drop(*[f"{k}__r" for k in keys])
+
+
+#: Bits of the map that ``only_wanted`` broadcasts: 262,144 rows of 64 bits, whatever the data.
+MAP_BITS = 1 << 24
+
+
+def only_wanted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of ``df`` whose key may be among the wanted ones, before a join that shuffles them.
+
+    Wanted keys set bits of a map of fixed size, which is broadcast; rows whose bit isn't
+    set go.  Nothing wanted is lost; some other rows stay, the more the fuller the map.
+    """
+
+    def slot(k: Column) -> Column:
+        return F.pmod(F.xxhash64(k), F.lit(MAP_BITS))
+
+    of = slot(F.col(wanted_key))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (of % 64).cast("int"))
+    bits = wanted.groupBy(F.floor(of / 64).alias("map_word")).agg(F.bit_or(bit).alias("map_bits"))
+    marked = df.withColumn("map_slot", slot(key)).withColumn("map_word", F.floor(F.col("map_slot") / 64))
+    hit = F.call_function("shiftright", F.col("map_bits"), (F.col("map_slot") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return marked.join(F.broadcast(bits), "map_word").filter(hit).drop("map_word", "map_slot", "map_bits")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import queries_native, queries_text  # noqa: F401
+from chartloom.llm import queries_native, queries_pairs, queries_text  # noqa: F401
 from chartloom.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
