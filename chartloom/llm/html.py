@@ -57,6 +57,8 @@ FURNITURE_NAMES = frozenset(
     " form login signin signup register subscribe subscription newsletter search searchbox"
     " share sharing social related recommended recommendations teaser copyright hidden".split()
 )
+#: A name that begins so tells how a page is laid out.
+LAYOUT_WORDS = frozenset("has with no without not is".split())
 MARKS = re.compile(r"[.,;:!?…。，、；：！？¿¡«»“”\"()\-–—]")
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -82,6 +84,7 @@ class Block:
     text: str
     link_chars: int
     furniture: bool
+    named: bool
     fused: float = field(default=0.0)
 
 
@@ -93,7 +96,10 @@ def named_furniture(tag: str, attributes: str) -> tuple[bool, frozenset[str]]:
         if name == "role":
             by_tag = by_tag or value in FURNITURE_ROLES
         elif name in ("class", "id"):
-            names.update(FURNITURE_NAMES.intersection(re.split(r"[\s_-]+", value)))
+            for said in value.split():
+                words = re.split(r"[_-]+", said)
+                if words[0] not in LAYOUT_WORDS:
+                    names.update(FURNITURE_NAMES.intersection(words))
         elif name == "hidden" or name == "style" and HIDDEN.search(value) or name == "aria-hidden" and value == "true":
             by_tag = True
     return by_tag, frozenset(names)
@@ -170,7 +176,7 @@ class Page:
                 while up is not None and up.tag:
                     tags.append(up.tag)
                     up = up.parent
-                self.blocks.append(Block(block, "/".join(reversed(tags)), text, self.link_chars, self.owner.furniture))
+                self.blocks.append(Block(block, "/".join(reversed(tags)), text, self.link_chars, self.owner.furniture, self.owner.by_name))
             self.parts = []
         self.link_chars, self.owner = 0, None
 
@@ -267,7 +273,9 @@ def smooth(values: list[float]) -> list[float]:
 
 def main_text(source: str | None, known: dict | None = None) -> str:
     """The main text of a page, blocks joined by an empty line; empty for a null page."""
-    found = [b for b in Page({} if known is None else known).parse(source or "") if not b.furniture]
+    parsed = Page({} if known is None else known).parse(source or "")
+    # Where names leave nothing, one of them was given to the page's whole body.
+    found = [b for b in parsed if not b.furniture] or [b for b in parsed if b.named]
     if not found:
         return ""
     # Where the page marks its article, nothing outside can be content.

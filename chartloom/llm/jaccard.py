@@ -24,7 +24,7 @@ from chartloom.llm.words import Scanner, mix, shingles
 SIZE = 5
 #: Similarity as a fraction of whole numbers, so that a tie is a link.
 SIMILARITY = (4, 5)
-RECALL = 0.99
+RECALL = 0.999
 SEED = 7_919
 #: Text bytes hashed at once.
 BYTES = 1 << 20
