@@ -56,19 +56,32 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 MAP_BITS = 1 << 24
 
 
+def _marked(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``df`` with ``__map_hit``: whether the bit of the row's key is set in the map of wanted keys."""
+
+    def slot(k: Column) -> Column:
+        return F.pmod(F.xxhash64(k), F.lit(MAP_BITS))
+
+    of = slot(F.col(wanted_key))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (of % 64).cast("int"))
+    bits = wanted.groupBy(F.floor(of / 64).alias("__map_word")).agg(F.bit_or(bit).alias("__map_bits"))
+    marked = df.withColumn("__map_slot", slot(key)).withColumn("__map_word", F.floor(F.col("__map_slot") / 64))
+    found = F.call_function("shiftright", F.col("__map_bits"), (F.col("__map_slot") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    joined = marked.join(F.broadcast(bits), "__map_word", "left")
+    return joined.withColumn("__map_hit", F.coalesce(found == 1, F.lit(False))).drop("__map_word", "__map_slot", "__map_bits")
+
+
 def only_wanted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """The rows of ``df`` whose key may be among the wanted ones, before a join that shuffles them.
 
     Wanted keys set bits of a map of fixed size, which is broadcast; rows whose bit isn't
     set go.  Nothing wanted is lost; some other rows stay, the more the fuller the map.
+    Follow it with an inner join: a semi join would be moved below the map.
     """
+    return _marked(df, key, wanted, wanted_key).filter("__map_hit").drop("__map_hit")
 
-    def slot(k: Column) -> Column:
-        return F.pmod(F.xxhash64(k), F.lit(MAP_BITS))
 
-    of = slot(F.col(wanted_key))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (of % 64).cast("int"))
-    bits = wanted.groupBy(F.floor(of / 64).alias("map_word")).agg(F.bit_or(bit).alias("map_bits"))
-    marked = df.withColumn("map_slot", slot(key)).withColumn("map_word", F.floor(F.col("map_slot") / 64))
-    hit = F.call_function("shiftright", F.col("map_bits"), (F.col("map_slot") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    return marked.join(F.broadcast(bits), "map_word").filter(hit).drop("map_word", "map_slot", "map_bits")
+def split_wanted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among the wanted ones, and those whose key isn't; see ``only_wanted``."""
+    marked = _marked(df, key, wanted, wanted_key)
+    return marked.filter("__map_hit").drop("__map_hit"), marked.filter("NOT __map_hit").drop("__map_hit")

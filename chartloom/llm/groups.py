@@ -19,15 +19,13 @@ MAX_ROUNDS = 60
 def shared_key_edges(keyed: DataFrame) -> DataFrame:
     """``src``, ``dst`` (the least id of a key) of all rows ``key``, ``id`` that share a key.
 
-    Keys of one id, nearly all, end at the first aggregate.  Of a key with two rows
-    the aggregate knows both ids already; only larger ones are joined with their ids,
-    and AQE splits a key that has very many.  Rows may be repeated.
+    Keys of one id, nearly all, end at a pre-aggregated count; only rows of shared keys
+    meet again, and AQE splits a key that has very many.  Rows may be repeated.
     """
-    held = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("dst"), F.max("id").alias("src")).filter("dst < src")
-    held = cut(held)
-    large = held.filter("n > 2").select("key", "dst")
-    more = only_wanted(keyed, F.col("key"), large, "key").join(large, "key").filter("id > dst").select(F.col("id").alias("src"), "dst")
-    return held.select("src", "dst").union(more).distinct()
+    held = keyed.groupBy("key").agg(F.min("id").alias("dst"), F.max("id").alias("high")).filter("dst < high")
+    held = cut(held.select("key", "dst"))
+    rest = only_wanted(keyed, F.col("key"), held, "key").join(held, "key").filter("id > dst")
+    return rest.select(F.col("id").alias("src"), "dst").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

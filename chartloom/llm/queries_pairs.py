@@ -20,4 +20,4 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = fuzzylines.drop_repeated_lines(docs)
-    return kept.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("n_chars"), "text")
+    return kept.select("doc_id", "n_dropped", F.char_length("text").cast("long").alias("n_chars"), "text")
