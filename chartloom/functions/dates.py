@@ -42,14 +42,17 @@ def is_bad_date(col: Column, parsed: Column) -> Column:
     return ~is_no_date(col) & parsed.isNull()
 
 
-_DIGITS = {"y": 4, "M": 2, "d": 2, "H": 2, "m": 2, "s": 2}
+_DIGITS = {"y": 4, "M": 2, "d": 2, "H": 2, "m": 2, "s": 2, "S": 3}
+_ZONES = {"XXX": r"(?:Z|[+-]\d{2}:\d{2})", "X": r"(?:Z|[+-]\d{2}(?:\d{2})?)", "Z": r"[+-]\d{4}"}
 
 
 def _shape(fmt: str) -> str | None:
-    """What text in an all-digit format looks like; None for formats with names or zones."""
+    """What text in a format of digits and offsets looks like; None for formats with names."""
     out = ""
     for part in re.finditer(r"'(?P<quoted>[^']*)'|(?P<field>(?P<letter>[A-Za-z])(?P=letter)*)|(?P<mark>.)", fmt):
-        if part["field"]:
+        if part["field"] in _ZONES:
+            out += _ZONES[part["field"]]
+        elif part["field"]:
             if _DIGITS.get(part["letter"]) != len(part["field"]):
                 return None
             out += rf"\d{{{len(part['field'])}}}"
@@ -64,7 +67,7 @@ def parse_first(col: Column, formats: Sequence[str]) -> Column:
     tries = []
     for fmt in formats:
         if fmt == EPOCH_MILLIS:
-            digits = F.when(text.rlike(r"^-?\d{9,}$"), text.try_cast("bigint"))
+            digits = F.when(text.rlike(r"^-?\d+$"), text.try_cast("bigint"))
             tries.append(_from_millis(digits))
         else:
             # A parser that fails throws inside; the shape test spares most of that.

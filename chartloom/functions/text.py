@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,10 +62,20 @@ def file_stem(col: Column) -> Column:
     return F.regexp_replace(col, r"\.[^.]*$", "")
 
 
-def has_term(col: Column, terms: Sequence[str]) -> Column:
-    """True when one of ``terms`` occurs as a whole word, case ignored."""
-    words = F.split(F.lower(col), r"[^\p{L}\p{N}]+")
-    return F.arrays_overlap(words, F.array(*[F.lit(t.lower()) for t in terms]))
+def has_term(col: Column, terms: Sequence[str], every: bool = False) -> Column:
+    """True when one of ``terms`` (all of them with ``every``) occurs in whole words, case ignored.
+
+    Terms are taken apart as the text is: ``x-ray`` and ``chest pain`` are two words
+    each, which have to follow one another.  A term without a word matches nothing.
+    """
+    marks = r"[^\p{L}\p{N}]+"
+
+    def spaced(text: Column) -> Column:
+        return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), marks, " ")
+
+    words = spaced(col)
+    found = [F.contains(words, spaced(F.lit(t))) & (spaced(F.lit(t)) != " ") for t in terms]
+    return reduce(lambda a, b: a & b if every else a | b, found, F.lit(every))
 
 
 def python_float_text(col: Column) -> Column:

@@ -4,43 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartloom.functions.ids import is_numeric_id
 from chartloom.functions.names import named
 from chartloom.functions.text import strip_space
 from chartloom.operators.records import only
+from chartloom.session import checkpoint_folder
 
 
 def ids_csv(
     df: DataFrame,
     field: str,
-    order_col: str,
+    order_col: str | Sequence[str],
     batch_cols: Sequence[str] = (),
     max_ids: int = 100_000,
     distinct: bool = False,
 ) -> DataFrame:
     """Numeric ids as comma-separated text: ``ids_csv, ids_count, ids_len`` per batch.
 
-    ``order_col`` is a whole number, unique within a batch.  A batch is cut into
-    slices of ``max_ids`` consecutive positions, so that the text of a big batch
-    is several bounded rows (``slice``) and not one.  Only digits pass, repeats stay
-    unless ``distinct``; a repeat is kept at its first position.
+    Ids stand in the order of ``order_col``.  A batch is cut into slices of ``max_ids``
+    ids by their counted positions, so that the text of a big batch is several
+    bounded rows (``slice``) and not one; what the order's values are doesn't matter.
+    Only digits pass, repeats stay unless ``distinct``; a repeat is kept at its first
+    position.
+
+    Rows are range partitioned by batch and order, and positions counted from each
+    partition's first row on, so that a batch with a third of all rows is no task's alone.
     """
+    orders = [order_col] if isinstance(order_col, str) else list(order_col)
     text = strip_space(named(field).cast("string"))
     rows = df.filter(is_numeric_id(named(field))).select(
-        *only(df, batch_cols), named(order_col).cast("bigint").alias("_pos"), text.alias("_id")
+        *only(df, batch_cols), F.struct(*[named(c) for c in orders]).alias("_pos"), text.alias("_id")
     )
     if distinct:
         rows = rows.groupBy(*batch_cols, "_id").agg(F.min("_pos").alias("_pos"))
-    rows = rows.withColumn("slice", F.floor(F.col("_pos") / max_ids))
-    listed = rows.groupBy(*batch_cols, "slice").agg(
-        F.expr("listagg(_id, ',') WITHIN GROUP (ORDER BY _pos)").alias("ids_csv"), F.count("*").alias("ids_count")
+    keys = [*only(rows, batch_cols), F.col("_pos"), F.col("_id")]
+    checkpoint_folder(df.sparkSession)
+    dealt = rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy(*batch_cols, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*batch_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*only(counts, batch_cols), "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*batch_cols, "_part").orderBy("_pos", "_id")
+    numbered = dealt.withColumn("_nth", F.row_number().over(inside) - 1)
+    on = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in [*batch_cols, "_part"]]
+    placed = numbered.alias("a").join(starts.alias("b"), on).select(
+        *[F.col(f"a.`{c}`") for c in batch_cols], "_id", (F.col("_start") + F.col("_nth")).alias("_at")
+    )
+    placed = placed.withColumn("slice", F.floor(F.col("_at") / max_ids))
+    listed = placed.groupBy(*only(placed, batch_cols), "slice").agg(
+        F.expr("listagg(_id, ',') WITHIN GROUP (ORDER BY _at)").alias("ids_csv"), F.count("*").alias("ids_count")
     )
     return listed.withColumn("ids_len", F.length("ids_csv").cast("bigint"))
 
 
+def json_records(df: DataFrame, json_col: str, field: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per object of ``{"records": [...]}``: the kept columns, ``position`` and the field as text.
+
+    Text that isn't such an object, and null, hold no records.  ``ids_csv`` takes the
+    result, ordered by the kept columns and ``position``.
+    """
+    shape = T.StructType([T.StructField("records", T.ArrayType(T.StructType([T.StructField(field, T.StringType())])))])
+    parsed = F.from_json(named(json_col), shape)["records"]
+    rows = df.select(*only(df, keep), F.posexplode(parsed).alias("position", "_record"))
+    return rows.select(*only(rows, keep), "position", F.col("_record")[field].alias(field))
+
+
 def terms(df: DataFrame, field: str, size: int | None = None) -> DataFrame:
     """Rows per value, most first: ``key, doc_count``; ``size`` is a top-k report."""
     counts = df.filter(named(field).isNotNull()).groupBy(named(field).alias("key")).agg(F.count("*").alias("doc_count"))

@@ -1,19 +1,22 @@
 """Multi-part binary documents: assembly, checks, payload choice.
 
-Assembly is one grouped aggregation per document, and a document has to fit one
-cell.  Before any payload is grouped, a cheap aggregate (key, count and size, with
-map-side combine) finds the documents with very many parts or bytes.  At most ``total
-bytes / max_bytes + total rows / many_parts`` keys can be among them, so that list
-is small however big the input is.  Those documents take another way: copies of a
-part are merged before the shuffle, then runs of parts are joined, each run in a
-task of its own, and the document is made of its runs.  Only a document that cannot
-fit a cell fails.
+All documents are assembled the same way, whatever their number of parts.  Copies of a
+part are merged first, by document and position, so that neither a part that came a
+million times nor a document of a million parts is one task's; what is left is stored
+once, and everything else reads it from there.  A document's facts (counts, first and
+last position, size) come from an aggregate without payloads.  Payloads of documents that
+passed and fit a cell then meet in order of position, and are joined while they
+stream by: a task holds the document it is at and no other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartloom.functions.binary import (
     PDF,
@@ -29,13 +32,14 @@ from chartloom.functions.binary import (
 from chartloom.functions.names import named
 from chartloom.operators.lzw import unpacked
 from chartloom.operators.records import only
+from chartloom.session import checkpoint_folder
 
 FAIL, KEEP_FIRST, KEEP_LAST = "fail", "keep_first", "keep_last"
 
-MANY_PARTS = 100_000
-RUN = 4096
-# A binary cell holds under 2 GiB, and base64 parts are a third larger than that.
-MAX_BYTES = 1_500_000_000
+# A binary cell holds under 2 GiB.
+MAX_BYTES = 2_000_000_000
+# Assembled bytes and documents that leave a task together.
+OUT_BYTES, OUT_ROWS = 32 << 20, 1000
 
 
 def assemble_documents(
@@ -47,7 +51,6 @@ def assemble_documents(
     dup: str = FAIL,
     encoding: str = "base64",
     require_start: tuple[int, ...] | None = None,
-    many_parts: int = MANY_PARTS,
     max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """One row per document; ``error`` is null for those that could be assembled.
@@ -56,33 +59,27 @@ def assemble_documents(
     document has a sequence number.  The other columns come from the part with
     the lowest ordinal.  Failures, with a null payload: no document id, sequence on
     some parts only or not a whole number, missing payload, duplicate sequence
-    (``dup='fail'``), gap, a start outside ``require_start``, invalid base64, and
-    documents beyond the size of a cell (``max_bytes`` of stored parts).
+    (``dup='fail'``), an ordinal that comes twice where parts have no sequence number,
+    gap, a start outside ``require_start``, invalid base64, and documents of more than
+    ``max_bytes`` decoded bytes, which no cell holds.
 
-    Store this frame when both outcomes are wanted: the two of ``assemble_blobs``
-    shuffle the payloads once each.
+    The parts are read once, here: their merged copies are written to the checkpoint
+    folder, and the frame reads those.
     """
     if dup not in (FAIL, KEEP_FIRST, KEEP_LAST):
         raise ValueError(f"dup must be 'fail', 'keep_first' or 'keep_last', not {dup!r}")
     if encoding not in ("base64", "raw"):
         raise ValueError(f"encoding must be 'base64' or 'raw', not {encoding!r}")
     kept = [c for c in df.columns if c not in (id_col, bin_col, ordinal_col)]
-    parts = _parts(df, id_col, seq_col, bin_col, ordinal_col, kept)
+    parts = _parts(df, id_col, seq_col, bin_col, ordinal_col, kept, encoding)
+    checkpoint_folder(df.sparkSession)
+    merged = _merge_copies(parts, dup).checkpoint()
 
     no_id = F.col("id").isNull() | (F.col("id").cast("string") == "")
-    nameless = parts.filter(no_id).select(F.col("id"), F.lit("missing document id").alias("error"))
-    named = parts.filter(~no_id)
-
-    # Both lists are bounded by the limits, see the module text.
-    big = _big_ids(named, many_parts, max_bytes)
-    normal = named.join(F.broadcast(big), "id", "left_anti")
-    hot = _merge_copies(named.join(F.broadcast(big), "id", "left_semi"), dup)
-    too_big = _big_ids(hot, None, max_bytes)
-    fitting = hot.join(F.broadcast(too_big), "id", "left_anti")
-    oversized = too_big.select("id", F.format_string("%d parts and %d bytes do not fit one cell", "n", "size").alias("error"))
-
-    runs = _single_runs(_decoded(normal, encoding), dup).unionByName(_long_runs(_decoded(fitting, encoding)))
-    documents = _assemble(runs, dup, require_start)
+    nameless = merged.filter(no_id).select(F.col("id"), F.explode(F.array_repeat(F.lit("missing document id"), F.col("n").cast("int"))).alias("error"))
+    named_parts = merged.filter(~no_id)
+    facts = _facts(named_parts, dup, require_start, max_bytes)
+    documents = _joined(named_parts, facts)
     whole = F.col("error").isNull()
 
     def if_whole(col: Column) -> Column:
@@ -93,16 +90,15 @@ def assemble_documents(
         F.col("id").alias(id_col),
         *[F.col("first")[f"c{i}"].alias(c) for i, c in enumerate(kept)],
         payload.alias(bin_col),
-        if_whole(F.col("blob_parts")).alias("blob_parts"),
-        if_whole(F.sequence("seq_min", "seq_max")).alias("blob_sequence"),
-        if_whole(F.col("seq_min")).alias("blob_seq_min"),
-        if_whole(F.col("seq_max")).alias("blob_seq_max"),
+        if_whole(F.col("n_pos")).alias("blob_parts"),
+        if_whole(F.sequence("low", "high")).alias("blob_sequence"),
+        if_whole(F.col("low")).alias("blob_seq_min"),
+        if_whole(F.col("high")).alias("blob_seq_max"),
         F.octet_length(payload).alias("compressed_len"),
         head_hex(payload).alias("compressed_head_hex"),
         "error",
     )
-    others = nameless.unionByName(oversized).select(F.col("id").alias(id_col), "error")
-    return out.unionByName(others, allowMissingColumns=True)
+    return out.unionByName(nameless.select(F.col("id").alias(id_col), "error"), allowMissingColumns=True)
 
 
 def assemble_blobs(df: DataFrame, id_col: str = "id", **options: object) -> tuple[DataFrame, DataFrame]:
@@ -112,141 +108,120 @@ def assemble_blobs(df: DataFrame, id_col: str = "id", **options: object) -> tupl
     return documents.filter(F.col("error").isNull()).drop("error"), failed
 
 
-def _parts(df: DataFrame, id_col: str, seq_col: str, bin_col: str, ordinal_col: str, kept: list[str]) -> DataFrame:
-    """Working columns; other columns travel in the struct ``rest``."""
+def _parts(df: DataFrame, id_col: str, seq_col: str, bin_col: str, ordinal_col: str, kept: list[str], encoding: str) -> DataFrame:
+    """Working columns, payloads decoded; other columns travel in the struct ``rest``."""
     seq = named(seq_col) if seq_col in df.columns else F.lit(None).cast("bigint")
     rest = [named(c).alias(f"c{i}") for i, c in enumerate(kept)] or [F.lit(None).cast("string").alias("c0")]
-    return df.select(
+    stored = named(bin_col)
+    text = stored.cast("string")
+    parts = df.select(
         named(id_col).alias("id"),
         seq.isNotNull().alias("has_seq"),
         seq.try_cast("bigint").alias("seq"),
-        named(ordinal_col).alias("ordinal"),
-        named(bin_col).alias("bin"),
-        F.lit(1).cast("bigint").alias("copies"),
+        named(ordinal_col).cast("bigint").alias("ordinal"),
+        (stored.isNull() | (F.octet_length(stored) == 0)).alias("missing"),
+        (F.when(is_strict_base64(text), decode_base64(text)) if encoding == "base64" else stored.cast("binary")).alias("bytes"),
         F.struct(*rest).alias("rest"),
-    ).withColumn("pos", F.coalesce(F.col("seq"), F.col("ordinal").cast("bigint")))
-
-
-def _big_ids(parts: DataFrame, many_parts: int | None, max_bytes: int) -> DataFrame:
-    sizes = parts.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.octet_length("bin")).alias("size"))
-    big = F.col("size") > max_bytes
-    return sizes.filter(big if many_parts is None else big | (F.col("n") > many_parts))
+    )
+    # Parts without a number are told apart by their ordinal.
+    return parts.withColumn("pos", F.coalesce("seq", "ordinal")).withColumn("bad", F.col("bytes").isNull() & ~F.col("missing"))
 
 
 def _merge_copies(parts: DataFrame, dup: str) -> DataFrame:
-    """One row per part of a document, copies merged map-side first.
+    """One row per document and position, copies merged map-side; ``n`` counts them.
 
     A missing payload among the copies has to stay visible: it fails the document.
     """
     pick = F.max_by if dup == KEEP_LAST else F.min_by
-    merged = parts.groupBy("id", "has_seq", "seq", "pos").agg(
-        pick("bin", "ordinal").alias("bin"),
-        F.min("ordinal").alias("ordinal"),
-        F.sum("copies").alias("copies"),
-        F.min_by("rest", "ordinal").alias("rest"),
-        F.bool_or(_missing(F.col("bin"))).alias("gone"),
-    )
-    merged = merged.withColumn("bin", F.when(~F.col("gone"), F.col("bin")))
-    return merged.select("id", "has_seq", "seq", "ordinal", "bin", "copies", "rest", "pos")
-
-
-def _missing(payload: Column) -> Column:
-    return payload.isNull() | (F.octet_length(payload) == 0)
-
-
-def _decoded(parts: DataFrame, encoding: str) -> DataFrame:
-    """The payload as ``bytes``, and what is wrong with it."""
-    missing = _missing(F.col("bin"))
-    if encoding == "base64":
-        text = F.col("bin").cast("string")
-        parts = parts.withColumn("bytes", F.when(is_strict_base64(text), decode_base64(text)))
-        bad = F.col("bytes").isNull()
-    else:
-        parts = parts.withColumn("bytes", F.col("bin").cast("binary"))
-        bad = F.lit(False)
-    return parts.select("*", missing.alias("missing"), bad.alias("bad")).drop("bin")
-
-
-# A run is one part, or the joined parts of a stretch of positions.  Counts add up.
-_COUNTS = ("n", "n_rows", "n_with_seq", "n_bad_seq", "n_missing", "n_bad", "n_used")
-
-
-def _counts(used: Column) -> list[Column]:
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    flags = {
-        "n_rows": F.lit(True),
-        "n_with_seq": F.col("has_seq"),
-        "n_bad_seq": F.col("has_seq") & F.col("seq").isNull(),
-        "n_missing": F.col("missing"),
-        "n_bad": used & F.col("bad"),
-        "n_used": used,
-    }
-    return [F.col("copies").alias("n"), *[F.when(f, one).otherwise(none).alias(name) for name, f in flags.items()]]
-
-
-def _single_runs(parts: DataFrame, dup: str) -> DataFrame:
-    """One run per part; of repeated positions one is used unless repeats fail."""
-    if dup == FAIL:
-        parts = parts.withColumn("used", F.lit(True))
-    else:
-        # Same partitioning as the aggregation that follows: no shuffle of its own.
-        near = F.lag("pos") if dup == KEEP_FIRST else F.lead("pos")
-        window = Window.partitionBy("id").orderBy("pos", "ordinal")
-        parts = parts.withColumn("used", ~near.over(window).eqNullSafe(F.col("pos")))
-    used = F.col("used")
-    return parts.select(
-        "id", *_counts(used), F.col("pos").alias("low"), F.col("pos").alias("high"), "ordinal", "rest",
-        F.when(used, F.col("bytes")).alias("bytes"), F.lit(False).alias("long"),
-    )
-
-
-def _long_runs(parts: DataFrame) -> DataFrame:
-    """Parts without repeats, joined over stretches of ``RUN`` positions."""
-    rows = parts.select(
-        "id", *_counts(F.lit(True)), "pos", "ordinal", "rest", "bytes", F.floor(F.col("pos") / RUN).alias("stretch")
-    )
-    return rows.groupBy("id", "stretch").agg(
-        *[F.sum(c).alias(c) for c in _COUNTS],
-        F.min("pos").alias("low"),
-        F.max("pos").alias("high"),
-        F.min_by("rest", "ordinal").alias("rest"),
+    order = F.struct(F.col("ordinal"), F.col("bytes"))
+    return parts.groupBy("id", "has_seq", "seq", "pos").agg(
+        pick(F.struct("bytes", "bad"), order).alias("part"),
+        F.min_by("rest", order).alias("rest"),
         F.min("ordinal").alias("ordinal"),
-        F.expr("listagg(bytes, X'') WITHIN GROUP (ORDER BY pos)").alias("bytes"),
-        F.lit(True).alias("long"),
-    ).drop("stretch")
+        F.count("*").alias("n"),
+        F.bool_or("missing").alias("missing"),
+    ).select("id", "has_seq", "seq", "pos", "ordinal", "n", "missing", "rest", F.col("part")["bytes"].alias("bytes"), F.col("part")["bad"].alias("bad"))
 
 
-def _assemble(runs: DataFrame, dup: str, require_start: tuple[int, ...] | None) -> DataFrame:
-    if dup == FAIL:
-        single = F.size(F.collect_set(F.when(~F.col("long"), F.col("low"))))
-        n_pos = single + F.sum(F.when(F.col("long"), F.col("n_used")).otherwise(0))
-    else:
-        n_pos = F.sum("n_used")
-    grouped = runs.groupBy("id").agg(
-        *[F.sum(c).alias(c) for c in _COUNTS],
-        n_pos.alias("n_pos"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
+def _facts(parts: DataFrame, dup: str, require_start: tuple[int, ...] | None, max_bytes: int) -> DataFrame:
+    """id, first, low, high, n_pos and error of each document; no payload is shuffled."""
+    size = F.coalesce(F.octet_length("bytes"), F.lit(0)).cast("bigint")
+    grouped = parts.withColumn("size", size).groupBy("id").agg(
         F.min_by("rest", "ordinal").alias("first"),
-        F.expr("listagg(bytes, X'') WITHIN GROUP (ORDER BY low)").alias("payload"),
+        F.min("pos").alias("pos_low"),
+        F.max("pos").alias("pos_high"),
+        F.count("*").alias("n_pos"),
+        F.sum("size").alias("n_bytes"),
+        F.count_if("has_seq").alias("n_with_seq"),
+        F.count_if(F.col("has_seq") & F.col("seq").isNull()).alias("n_bad_seq"),
+        F.count_if("missing").alias("n_missing"),
+        F.count_if("bad").alias("n_bad"),
+        F.count_if(F.col("has_seq") & (F.col("n") > 1)).alias("n_twice"),
+        F.count_if(~F.col("has_seq") & (F.col("n") > 1)).alias("n_same_ordinal"),
     )
     none_have = F.col("n_with_seq") == 0
-    low = F.when(none_have, F.lit(0).cast("bigint")).otherwise(F.col("low"))
-    high = F.when(none_have, F.col("n_used") - 1).otherwise(F.col("high"))
+    low = F.when(none_have, F.lit(0).cast("bigint")).otherwise(F.col("pos_low"))
+    high = F.when(none_have, F.col("n_pos") - 1).otherwise(F.col("pos_high"))
     error = (
-        F.when((F.col("n_with_seq") > 0) & (F.col("n_with_seq") < F.col("n_rows")), "sequence number on some parts only")
+        F.when(~none_have & (F.col("n_with_seq") < F.col("n_pos")), "sequence number on some parts only")
         .when(F.col("n_missing") > 0, "missing payload in a part")
         .when(F.col("n_bad_seq") > 0, "sequence number is not a whole number")
+        .when(F.col("n_same_ordinal") > 0, "ordinal of a part without sequence number comes twice")
     )
     if dup == FAIL:
-        error = error.when(~none_have & (F.col("n_pos") < F.col("n")), "duplicate sequence number")
-    error = error.when(~none_have & (F.col("high") - F.col("low") + 1 > F.col("n_pos")), "sequence gap")
+        error = error.when(F.col("n_twice") > 0, "duplicate sequence number")
+    error = error.when(~none_have & (F.col("pos_high") - F.col("pos_low") + 1 > F.col("n_pos")), "sequence gap")
     if require_start is not None:
-        error = error.when(~none_have & ~F.col("low").isin(*require_start), "sequence does not start where it should")
+        error = error.when(~none_have & ~F.col("pos_low").isin(*require_start), "sequence does not start where it should")
     error = error.when(F.col("n_bad") > 0, "invalid base64 in a part")
-    return grouped.select(
-        "id", "first", "payload", F.col("n_used").alias("blob_parts"), low.alias("seq_min"), high.alias("seq_max"), error.alias("error")
-    )
+    error = error.when(F.col("n_bytes") > max_bytes, F.format_string("%d parts and %d bytes do not fit one cell", "n_pos", "n_bytes"))
+    return grouped.select("id", "first", low.alias("low"), high.alias("high"), "n_pos", error.alias("error"))
+
+
+def _joined(parts: DataFrame, facts: DataFrame) -> DataFrame:
+    """``facts`` with the ``payload`` of the documents that have no error.
+
+    Facts and parts meet in one exchange by document, sorted by place, facts first;
+    what is joined is written out as soon as the next document begins.
+    """
+    failed = facts.filter(F.col("error").isNotNull()).select("id")
+    good = parts.join(failed, "id", "left_anti").select("id", "pos", "bytes")
+    heads = facts.select("id", F.lit(0).alias("kind"), F.struct("first", "low", "high", "n_pos", "error").alias("fact"))
+    rows = heads.unionByName(good.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    # By a hash of the id: both sides of the union are partitioned by the id already, and
+    # an exchange by the id would be left out, though adaptive reads move either side's rows.
+    met = rows.repartition(F.xxhash64("id")).sortWithinPartitions("id", "kind", "pos").select("id", "kind", "fact", "bytes")
+    schema = T.StructType([met.schema["id"], met.schema["fact"], T.StructField("payload", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: list[pa.RecordBatch] = []
+        payloads: list[bytes | None] = []
+        held: list[bytes] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(heads).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*table.columns, pa.array(payloads, pa.binary())], names=schema.names)
+
+        for batch in batches:
+            kinds = batch.column(1).to_pylist()
+            for i, kind in enumerate(kinds):
+                if kind == 1:
+                    held.append(batch.column(3)[i].as_py())
+                    continue
+                if heads:
+                    payloads.append(b"".join(held))
+                    size += len(payloads[-1])
+                    held = []
+                if size >= OUT_BYTES or len(payloads) >= OUT_ROWS:
+                    yield out()
+                    heads, payloads, size = [], [], 0
+                heads.append(batch.slice(i, 1).select([0, 2]))
+        if heads:
+            payloads.append(b"".join(held))
+            yield out()
+
+    return met.mapInArrow(run, schema).select("id", "fact.*", "payload")
 
 
 def resolve_documents(df: DataFrame, bin_col: str = "binarydoc", lzw_label: str = "cerner_lzw") -> DataFrame:

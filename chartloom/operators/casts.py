@@ -13,12 +13,29 @@ from chartloom.functions.dates import EPOCH_MILLIS, parse_first
 from chartloom.functions.geo import geo_string
 from chartloom.functions.names import named
 
-# The date formats of the common schema, in the order tried.
+# The date notations of the common schema.  No text fits two of them but
+# digits, which are a date of eight digits before they are a number of milliseconds.
 DATE_FORMATS: tuple[str, ...] = (
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd",
     "yyyyMMdd",
+    "yyyy-MM-dd'T'HH",
+    "yyyy-MM-dd'T'HH:mm",
     "yyyy-MM-dd'T'HH:mm:ss",
+    "HH:mm:ss.SSSXXX",
+    "HH:mm",
+    "yyyy/MM/dd",
+    "dd/MM/yyyy",
+    "dd/MM/yyyy HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
+    "'T'HH:mm:ss.SSSXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS",
+    "HHmmss.SSSX",
+    "HHmmssX",
+    "'T'HHmmss.SSSX",
+    "HH:mm:ss",
+    "HH:mm.ss",
+    "HH:mm.ssZ",
     EPOCH_MILLIS,
 )
 
@@ -54,6 +71,8 @@ def _cast(col: Column, dtype: T.DataType, kind: str, formats: Sequence[str]) ->
 def cast_common(df: DataFrame, type_map: Mapping[str, str], formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """Columns to their common type; what cannot be read is null.
 
+    A time of day alone is one of 1970-01-01; a time with an offset becomes the wall
+    clock of the session's time zone.
     Types: date, keyword, text, integer, boolean, scaled_float (factor 100),
     geo_point and nested.
     """

@@ -17,7 +17,15 @@ from chartloom.operators.lookups import map_codes
 from chartloom.operators.records import part_of, union_all
 
 
-def _meta(meta_col: str, name: str) -> Column:
+#: Entries of a map that one cell surely holds.
+MAP_ENTRIES = 5_000_000
+
+
+def _meta(df: DataFrame, meta_col: str, name: str) -> Column:
+    """The meta annotation's value struct; null where the schema doesn't have it."""
+    kind = df.schema[meta_col].dataType
+    if isinstance(kind, T.StructType) and name not in kind.names:
+        return F.lit(None).cast("struct<value:string>")
     return named(meta_col)[name]
 
 
@@ -28,7 +36,7 @@ def split_affirmed(df: DataFrame, meta_col: str = "meta_anns") -> tuple[DataFram
     but ``Future`` (no value is fine).  A missing meta annotation that would have
     been looked at makes the row a failure.
     """
-    subject, presence, time = (_meta(meta_col, n) for n in ("Subject", "Presence", "Time"))
+    subject, presence, time = (_meta(df, meta_col, n) for n in ("Subject", "Presence", "Time"))
     is_patient = F.coalesce(subject["value"] == "Patient", F.lit(False))
     is_present = F.coalesce(presence["value"] == "True", F.lit(False))
     error = (
@@ -104,16 +112,25 @@ def merge_counts(dfs: Sequence[DataFrame], keys: Sequence[str] = ("cui", "patien
 
 
 def to_nested_map(
-    df: DataFrame, outer: str, inner: str, value: str, max_entries: int = 100_000
+    df: DataFrame, outer: str, inner: str, value: str, max_entries: int | None = None
 ) -> DataFrame:
-    """``{outer: {inner: value}}`` as rows ``outer, part, entries``.
-
-    An outer key with more than about ``max_entries`` inner keys is spread over
-    several parts by a hash of the inner key, so that no task holds the map of a
-    hot key whole.  The parts of a key have no inner key in common: their union
-    is the full map.  ``df`` is read twice; pass a stored table when it is costly.
+    """``{outer: {inner: value}}`` as rows ``outer, part, entries``: one row, part 0, per outer key.
+
+    A map has to fit a cell: a key with more than ``MAP_ENTRIES`` inner keys ends the
+    job with an error that names it.  ``max_entries`` asks for another format, in which
+    an outer key with more inner keys than that is spread over several parts by a hash of
+    the inner key, so that no task holds the map of a hot key whole.  The parts of a key
+    have no inner key in common: their union is the full map.  ``df`` is read twice;
+    pass a stored table when it is costly.
     """
-    sizes = df.groupBy(named(outer).alias(outer)).agg(F.ceil(F.count("*") / max_entries).cast("bigint").alias("_parts"))
+    n = F.count("*")
+    if max_entries is None:
+        said = F.concat(named(outer).cast("string"), F.lit(": "), F.col("_n").cast("string"), F.lit(" entries do not fit one map; ask for parts"))
+        counted = df.groupBy(named(outer).alias(outer)).agg(n.alias("_n"))
+        fits = F.when(F.col("_n") > MAP_ENTRIES, F.raise_error(said).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
+        sizes = counted.select(named(outer), fits.alias("_parts"))
+    else:
+        sizes = df.groupBy(named(outer).alias(outer)).agg(F.ceil(n / max_entries).cast("bigint").alias("_parts"))
     # Size rows are one per outer key; Spark broadcasts them when they measure small.
     spread = df.join(sizes, outer).withColumn("part", part_of(named(inner), F.col("_parts")))
     entry = F.struct(named(inner).cast("string").alias("key"), named(value).alias("value"))
@@ -230,8 +247,11 @@ def patient_dims(
 ) -> dict[str, DataFrame]:
     """The patient dimension as key-value frames: sex, ethnicity, dob, dod, age, doc2ptt."""
     table = patient_table(records, as_of, cols, **options)
+    return dims_of(table) | {"doc2ptt": doc_to_patient(records, cols)}
+
+
+def dims_of(table: DataFrame) -> dict[str, DataFrame]:
+    """The dimensions of a patient table; store it first if several of them are written."""
     dated = table.filter("has_dates")
     dims = {name: table.select("patient", name) for name in ("sex", "ethnicity")}
-    dims |= {name: dated.select("patient", name) for name in ("dob", "dod", "age")}
-    dims["doc2ptt"] = doc_to_patient(records, cols)
-    return dims
+    return dims | {name: dated.select("patient", name) for name in ("dob", "dod", "age")}

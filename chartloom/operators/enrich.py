@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chartloom.functions.geo import wkt_point
 from chartloom.functions.names import named
@@ -15,6 +17,12 @@ from chartloom.operators.records import only
 
 ServiceCall = Callable[[pd.DataFrame], pd.DataFrame]
 
+# Whole numbers and flags stay what they are beside a null.
+_NULLABLE = {
+    pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(),
+    pa.bool_(): pd.BooleanDtype(),
+}
+
 
 def enrich(
     df: DataFrame,
@@ -27,9 +35,11 @@ def enrich(
     """Add the answer's columns and ``error`` (null when the call went well).
 
     ``make_client`` runs once per task and returns the call, which takes a frame
-    of ``request_cols`` and returns one row per request in the same order.  A
-    failing batch is retried, then sent record by record, so that one bad record
-    fails alone.  All other columns pass through beside the call untouched.
+    of ``request_cols`` (whole numbers in pandas' nullable types) and returns one row
+    per request in the same order.  A failing batch is retried, then sent record by
+    record, so that one bad record fails alone; an answer that doesn't fit
+    ``response_schema`` is a failure like any other.  Only ``request_cols`` travel to
+    Python: all other columns stay where they are.
 
     The result is one frame on purpose: splitting it in two would send every
     record twice.  Write or checkpoint it, then take it apart with
@@ -39,63 +49,94 @@ def enrich(
     clash = set(answer.names) & set(df.columns)
     if clash:
         raise ValueError(f"answer columns are in the input already: {sorted(clash)}")
-    schema = T.StructType([*df.schema.fields, *answer.fields, T.StructField("error", T.StringType())])
-    names, columns = list(answer.names), list(request_cols)
+    fields = [*answer.fields, T.StructField("error", T.StringType())]
+    shape = to_arrow_type(T.StructType(fields))
+    columns = list(request_cols)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(T.StructType(fields))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         call = make_client()
-        for rows in batches:
-            for start in range(0, len(rows), batch_size):
-                piece = rows.iloc[start : start + batch_size].reset_index(drop=True)
-                yield _answered(call, piece, columns, names, retries)
+        for requests in batches:
+            rows = pa.RecordBatch.from_struct_array(requests).to_pandas(types_mapper=_NULLABLE.get)
+            rows.columns = columns
+            pieces = [_answered(call, rows.iloc[i : i + batch_size].reset_index(drop=True), shape, retries) for i in range(0, len(rows), batch_size)]
+            yield pa.concat_arrays(pieces) if pieces else pa.array([], shape)
 
-    return df.mapInPandas(run, schema)
+    request = F.struct(*[named(c).alias(f"r{i}") for i, c in enumerate(columns)])
+    # Marked so that a later filter doesn't send every record twice.
+    called = df.select(*only(df, [c for c in df.columns if c != "error"]), run.asNondeterministic()(request).alias("_answer"))
+    return called.select(*only(called, called.columns[:-1]), *[F.col("_answer")[f.name].alias(f.name) for f in fields])
 
 
-def _answered(call: ServiceCall, piece: pd.DataFrame, columns: list[str], names: list[str], retries: int) -> pd.DataFrame:
-    failure = ""
+def _answered(call: ServiceCall, piece: pd.DataFrame, shape: pa.StructType, retries: int) -> pa.Array:
+    failure, answers = "", list(shape)[:-1]
     for _ in range(retries + 1):
         try:
-            answer = call(piece[columns])
+            answer = call(piece)
             if len(answer) != len(piece):
                 raise ValueError(f"{len(answer)} answers to {len(piece)} requests")
-            return pd.concat([piece, answer[names].reset_index(drop=True)], axis=1).assign(error=None)
+            got = [pa.Array.from_pandas(answer[f.name], type=f.type) for f in answers]
+            got = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in got]
+            return pa.StructArray.from_arrays([*got, pa.nulls(len(piece), pa.string())], fields=list(shape))
         except Exception as exc:  # the service may raise anything; it becomes a failed row
             failure = f"{type(exc).__name__}: {exc}"
     if len(piece) == 1:
-        return piece.assign(**dict.fromkeys(names), error=failure)
-    singles = [_answered(call, piece.iloc[i : i + 1].reset_index(drop=True), columns, names, 0) for i in range(len(piece))]
-    return pd.concat(singles, ignore_index=True)
+        return pa.array([dict.fromkeys(f.name for f in answers) | {"error": failure}], shape)
+    return pa.concat_arrays([_answered(call, piece.iloc[i : i + 1].reset_index(drop=True), shape, 0) for i in range(len(piece))])
 
 
 def apply_text_model(df: DataFrame, col: str, make_model: Callable[[], Callable[[pd.Series], pd.Series]], char_limit: int = 512) -> DataFrame:
-    """Run a text model over a column; long text goes slice by slice.
+    """Run a text model over a column; long text goes slice by slice.  Adds ``error``.
 
     Text over ``char_limit`` characters is cut into slices of that size (the last
     one shorter), the model runs on each and the answers are joined again.  Slicing
     and joining are native and stay on the row: no shuffle.  Null text stays null.
+    A batch that the model fails on is sent text by text; a text it fails on then
+    becomes null, and ``error`` says why.  A frame without the column is unchanged.
     """
     if col not in df.columns:
         return df
     text = named(col)
     n = F.greatest(F.ceil(F.length(text) / char_limit).cast("int"), F.lit(1))
     slices = F.transform(F.sequence(F.lit(0), n - 1), lambda i: text.substr(i * char_limit + 1, F.lit(char_limit)))
+    schema = T.StructType([T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for batch in batches:
-            flat = batch.explode()
-            present = flat.notna()
-            done = flat.astype(object)
-            if present.any():
-                done[present] = list(model(flat[present].reset_index(drop=True)))
-            joined = done.groupby(level=0, sort=True).agg(list)
-            yield joined.where(batch.notna(), None)
+            try:
+                parts, errors = _modelled(model, batch), pd.Series([None] * len(batch), dtype=object)
+            except Exception:  # one of the texts; each is sent alone
+                singles = [_modelled_alone(model, batch.iloc[i : i + 1].reset_index(drop=True)) for i in range(len(batch))]
+                parts, errors = pd.Series([p for p, _ in singles], dtype=object), pd.Series([e for _, e in singles], dtype=object)
+            yield pd.DataFrame({"parts": parts.reset_index(drop=True), "error": errors})
 
     # A later filter on the text must not make the model run twice.
     answers = run.asNondeterministic()(F.when(text.isNotNull(), slices))
-    return df.select(*[(F.array_join(answers, "") if c == col else named(c)).alias(c) for c in df.columns])
+    done = df.select(*only(df, [c for c in df.columns if c != "error"]), answers.alias("_answer"))
+    joined = F.array_join(F.col("_answer")["parts"], "")
+    return done.select(*[(joined if c == col else named(c)).alias(c) for c in done.columns[:-1]], F.col("_answer")["error"].alias("error"))
+
+
+def _modelled(model: Callable[[pd.Series], pd.Series], batch: pd.Series) -> pd.Series:
+    flat = batch.explode()
+    present = flat.notna()
+    done = flat.astype(object)
+    if present.any():
+        answers = list(model(flat[present].reset_index(drop=True)))
+        if len(answers) != int(present.sum()):
+            raise ValueError(f"{len(answers)} answers to {int(present.sum())} texts")
+        done[present] = [None if a is None else str(a) for a in answers]
+    joined = done.groupby(level=0, sort=True).agg(list)
+    return joined.where(batch.notna(), None)
+
+
+def _modelled_alone(model: Callable[[pd.Series], pd.Series], one: pd.Series) -> tuple[list[str] | None, str | None]:
+    try:
+        return _modelled(model, one).iloc[0], None
+    except Exception as exc:  # a model may raise anything; it becomes a failed row
+        return None, f"{type(exc).__name__}: {exc}"
 
 
 def assign_location(df: DataFrame, id_col: str, boxes: Sequence[tuple[str, float, float, float, float]], seed: int = 0) -> DataFrame:

@@ -8,10 +8,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartloom.functions.ids import annotation_id
 from chartloom.functions.names import named
-from chartloom.operators.records import only
+from chartloom.operators.records import only, row_hash
 
 
 def not_yet_processed(df: DataFrame, ledger: DataFrame, id_col: Column | str, ledger_col: str = "document_id") -> DataFrame:
@@ -39,10 +40,15 @@ def fetch_by_ids(df: DataFrame, ids: DataFrame, id_col: str, order_col: str | No
 
 
 def latest_by_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    """The row with the highest ``order_col`` of each key (combined map-side)."""
+    """The row with the highest ``order_col`` of each key (combined map-side).
+
+    Of rows with an equal order the one with the higher row hash wins, so that a rerun
+    gives the same rows whatever the partitions.  Rows hold text, which Spark's hash
+    aggregate can't keep, so they are sorted by key in each task before they shrink.
+    """
     others = [c for c in df.columns if c != key]
     # Inside a struct a null order sorts first; bare, it would hide the row.
-    row = F.max_by(F.struct(*only(df, others or [key])), F.struct(named(order_col))).alias("_row")
+    row = F.max_by(F.struct(*only(df, others or [key])), F.struct(named(order_col), row_hash(df))).alias("_row")
     latest = df.groupBy(named(key).alias("_key")).agg(row)
     # The key is the grouping column itself: whoever needs keys only gets a plain
     # distinct, without the rows.
@@ -64,15 +70,25 @@ def ledger_rows(annotations: DataFrame, document: Column, annotation: Column) ->
 def incremental(df: DataFrame, key: str, last: Any = None) -> tuple[DataFrame, DataFrame]:
     """(rows above the high-water mark, one-row frame ``high_water`` with the new mark).
 
-    ``last`` is a literal of the column's type, so the filter is pushed into the scan.
+    The new mark is read first, here, and the rows end at it: rows that arrive while a
+    table is read are left for the next run, never skipped.  Marks are literals of the
+    column's type, so the filter is pushed into the scan.  Without ``last`` all rows up
+    to the mark are taken, and those without a key.
     """
-    if last is None:
-        return df, df.agg(F.max(named(key)).alias("high_water"))
-    # A wall-clock time goes in as text: a literal would be taken for a moment in
-    # the session's time zone.
-    value = F.lit(str(last) if isinstance(last, datetime.datetime) else last).cast(df.schema[key].dataType)
-    rows = df.filter(named(key) > value)
-    return rows, rows.agg(F.coalesce(F.max(named(key)), value).alias("high_water"))
+    kind = df.schema[key].dataType
+
+    def literal(value: Any) -> Column:
+        # A wall-clock time goes in as text: a literal would be taken for a moment in
+        # the session's time zone.
+        return F.lit(str(value) if isinstance(value, datetime.datetime) else value).cast(kind)
+
+    rows = df if last is None else df.filter(named(key) > literal(last))
+    newest = rows.agg(F.max(named(key)).cast("string" if isinstance(kind, T.TimestampType) else kind).alias("m")).first()["m"]
+    mark = literal(last if newest is None else newest)
+    if newest is not None:
+        upto = named(key) <= mark
+        rows = rows.filter(upto | named(key).isNull() if last is None else upto)
+    return rows, df.sparkSession.range(1).select(mark.alias("high_water"))
 
 
 def limit_batch(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:

@@ -19,10 +19,10 @@ from chartloom.operators.records import only, row_hash
 
 
 def lookup(df: DataFrame, key: Column, table: DataFrame, table_key: str) -> DataFrame:
-    """Left join to a table that is unique on ``table_key``; null keys never match."""
+    """Left join to a table that is unique on ``table_key``; keys compare as text, null keys never match."""
     place = F.concat(F.lit("\x00"), row_hash(df).cast("string"))
-    keyed = df.withColumn("_key", F.coalesce(key, place))
-    side = table.filter(named(table_key).isNotNull()).withColumnRenamed(table_key, "_key")
+    keyed = df.withColumn("_key", F.coalesce(key.cast("string"), place))
+    side = table.filter(named(table_key).isNotNull()).withColumn(table_key, named(table_key).cast("string")).withColumnRenamed(table_key, "_key")
     return keyed.join(side, "_key", "left").drop("_key")
 
 
@@ -57,11 +57,19 @@ def add_geolocation(
 
 
 def map_codes(df: DataFrame, col: str, codes: DataFrame, code_col: str = "code", label_col: str = "label") -> DataFrame:
-    """Replace values by their label; a value without one stays."""
-    table = codes.groupBy(named(code_col).alias("_code")).agg(F.max(named(label_col)).alias("_label"))
+    """Replace values by their label; a value without one stays.
+
+    Codes of any type compare as text; where labels are of another type than the
+    column, the column becomes text.
+    """
+    table = codes.groupBy(named(code_col).cast("string").alias("_code")).agg(F.max(named(label_col)).alias("_label"))
+    if table.schema["_label"].dataType == df.schema[col].dataType:
+        label, own = F.col("_label"), named(col)
+    else:
+        label, own = F.col("_label").cast("string"), named(col).cast("string")
     joined = lookup(df, named(col), table, "_code")
     return joined.select(
-        *[(F.coalesce("_label", named(col)) if c == col else named(c)).alias(c) for c in df.columns]
+        *[(F.coalesce(label, own) if c == col else named(c)).alias(c) for c in df.columns]
     )
 
 
@@ -125,11 +133,13 @@ def join_metadata(
     """File payloads with the metadata row of the same folder and file stem.
 
     ``files`` has ``folder, file_name, content``.  Metadata without a file and
-    files without metadata are dropped; missing metadata values become empty.
+    files without metadata are dropped; missing metadata values become empty.  Of
+    files of a folder with the same stem the last by name counts.
     """
-    keyed = files.select(
-        named(folder_col), file_stem(F.col("file_name")).alias(id_col), base64_text(F.col("content")).alias("binarydoc")
+    last = files.groupBy(named(folder_col), file_stem(F.col("file_name")).alias(id_col)).agg(
+        F.max_by("content", "file_name").alias("content")
     )
+    keyed = last.select(named(folder_col), id_col, base64_text(F.col("content")).alias("binarydoc"))
     meta = metadata.withColumn(id_col, named(id_col).cast("string"))
     names = [c for c in meta.columns if c not in (folder_col, "binarydoc", "text")]
     joined = meta.join(keyed, [folder_col, id_col])

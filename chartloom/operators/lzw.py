@@ -26,6 +26,8 @@ from chartloom.functions.binary import BLOB_MARKERS, PDF, RTF
 RESTART, END, FIRST_ENTRY = 256, 257, 258
 WIDER_AFTER = (254, 766, 1790, 3838)
 _BLOCK = 16_384
+# Decoded bytes of one payload, and of the payloads that leave a task together.
+MAX_DECODED, OUT_BYTES = 1_000_000_000, 32 << 20
 
 
 def _codes(data: np.ndarray, bit: int, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +48,8 @@ def _codes(data: np.ndarray, bit: int, first: int) -> tuple[np.ndarray, np.ndarr
     return (window >> (24 - (begins & 7) - widths)) & ((1 << widths) - 1), ends
 
 
-def lzw_decode(payload: bytes) -> bytes:
-    """Decode one payload; raises ``ValueError`` on a broken stream."""
+def lzw_decode(payload: bytes, most: int = MAX_DECODED) -> bytes:
+    """Decode one payload; raises ``ValueError`` on a broken stream, or one that decodes to over ``most`` bytes."""
     data = np.frombuffer(payload + b"\0\0\0", dtype=np.uint8).astype(np.int64)
     out = bytearray()
     starts: list[int] = []  # output position of each code since the restart
@@ -57,6 +59,8 @@ def lzw_decode(payload: bytes) -> bytes:
         marks = np.flatnonzero((codes == RESTART) | (codes == END))
         n = int(marks[0]) if len(marks) else len(codes)
         _expand(codes[:n].tolist(), starts, out)
+        if len(out) > most:
+            raise ValueError(f"decodes to more than {most} bytes")
         if len(marks):
             if codes[n] == END:
                 return bytes(out)
@@ -133,10 +137,20 @@ _NOTHING: dict[str, object] = dict.fromkeys(_UNPACKED.names)
 
 @F.pandas_udf(_UNPACKED)
 def _unpack_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    # A frame is sent on as soon as it is large, however many payloads came in together.
+    def frame(rows: list[dict[str, object]]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=_UNPACKED.names).astype({"decompressed_len": "Int64"})
+
     for batch in batches:
-        rows = [_NOTHING if p is None else unpack(bytes(p)) for p in batch]
-        frame = pd.DataFrame(rows, columns=_UNPACKED.names)
-        yield frame.astype({"decompressed_len": "Int64"})
+        rows, size = [], 0
+        for p in batch:
+            rows.append(_NOTHING if p is None else unpack(bytes(p)))
+            size += len(rows[-1]["payload"] or b"")
+            if size >= OUT_BYTES:
+                yield frame(rows)
+                rows, size = [], 0
+        if rows:
+            yield frame(rows)
 
 
 # Marked so that a filter on the result is not pushed below the call, which would

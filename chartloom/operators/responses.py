@@ -34,8 +34,23 @@ def _empty_object(dtype: T.DataType | None) -> Column:
     return F.create_map().cast("map<string,string>")
 
 
+def _over(out: dict[str, Column], types: dict[str, T.DataType], name: str, value: Column, dtype: T.DataType) -> Column:
+    """A footer value over an earlier one of the same name, which shows where the footer has none.
+
+    Records of one frame share their columns, so a footer without the key and one with a
+    null look alike; either leaves the earlier value.  Unlike types meet as text.
+    """
+    if name not in out:
+        types[name] = dtype
+        return value
+    if types.get(name) == dtype:
+        return F.coalesce(value, out[name])
+    types[name] = T.StringType()
+    return F.coalesce(value.cast("string"), out[name].cast("string"))
+
+
 def parse_ocr(df: DataFrame, text_col: str = "text", result_col: str = "result") -> DataFrame:
-    """One row per extraction response; footer columns win over same names."""
+    """One row per extraction response; footer values win over same names."""
     result_type = df.schema[result_col].dataType
     result = named(result_col)
     names = _fields(result_type)
@@ -49,8 +64,10 @@ def parse_ocr(df: DataFrame, text_col: str = "text", result_col: str = "result")
     out[text_col] = F.coalesce(_field(result, result_type, "text"), F.lit(""))
     out["success"] = F.coalesce(_field(result, result_type, "success", "boolean"), F.lit(False))
     out["timestamp"] = _field(result, result_type, "timestamp")
-    for name in _fields(types.get("footer")):
-        out[name] = result["footer"][name]
+    known = {text_col: types.get("text", T.StringType()), "success": T.BooleanType(), "timestamp": types.get("timestamp", T.StringType())}
+    known["metadata"] = types.get("metadata", T.MapType(T.StringType(), T.StringType()))
+    for f in types["footer"].fields if "footer" in types else []:
+        out[f.name] = _over(out, known, f.name, result["footer"][f.name], f.dataType)
     return df.select(*[c.alias(n) for n, c in out.items()])
 
 
@@ -70,7 +87,7 @@ def _annotation_map(doc: Column, doc_type: T.StructType) -> Column:
 def parse_nlp(df: DataFrame, id_col: str = "_id", result_col: str = "result", info_col: str | None = "model_info") -> DataFrame:
     """One row per annotation: service, time, annotation fields, footer fields.
 
-    A later group wins where names meet.  ``annotation_id`` is added when the
+    A later group wins where names meet and it has a value.  ``annotation_id`` is added when the
     footer has ``id_col``.  Documents without annotations give no rows.
     """
     docs = _documents(df, result_col, info_col)
@@ -84,10 +101,10 @@ def parse_nlp(df: DataFrame, id_col: str = "_id", result_col: str = "result", in
         F.explode(_annotation_map(doc, doc_type)).alias("ann_id", "ann"),
     )
     out: dict[str, Column] = {"service_model": F.col("info"), "timestamp": F.col("ts")}
-    for name in _fields(slim.schema["ann"].dataType):
-        out[name] = F.col("ann")[name]
-    for name in _fields(footer_type):
-        out[name] = F.col("footer")[name]
+    known = {"service_model": slim.schema["info"].dataType, "timestamp": slim.schema["ts"].dataType}
+    for group, kind in (("ann", slim.schema["ann"].dataType), ("footer", footer_type)):
+        for f in kind.fields if isinstance(kind, T.StructType) else []:
+            out[f.name] = _over(out, known, f.name, F.col(group)[f.name], f.dataType)
     if id_col in _fields(footer_type):
         out["annotation_id"] = annotation_id(F.col("footer")[id_col], F.col("ann_id"))
     return slim.select(*[c.alias(n) for n, c in out.items()])
@@ -106,7 +123,8 @@ def parse_deid(
 ) -> DataFrame:
     """One row per de-identified document.
 
-    Checked in this order: a successful result with blank text follows
+    Checked in this order: a successful result with blank text (there, but without a
+    character; a result without any text is no such one) follows
     ``empty_text``; a result without annotations is restored when it was
     successful and ``no_annotations`` says so, else dropped; anything else is
     emitted.  A restored row is the footer, the text in ``document_text_col`` and
@@ -122,7 +140,7 @@ def parse_deid(
     annotations = _annotation_map(doc, doc_type)
     bare = F.coalesce(F.size(annotations), F.lit(0)) <= 0
     status = (
-        F.when(success & is_blank(text), F.lit(EMPTY_TEXT_STATUS if empty_text == RESTORE else DROP))
+        F.when(success & text.isNotNull() & is_blank(text), F.lit(EMPTY_TEXT_STATUS if empty_text == RESTORE else DROP))
         .when(bare & success, F.lit(NO_ANNOTATIONS_STATUS if no_annotations == RESTORE else DROP))
         .when(bare, F.lit(DROP))
     )
@@ -165,17 +183,16 @@ def flatten_annotations(
     ``meta.<id_col>``.  ``keyed`` responses hold a map by annotation id, a document
     id in the footer and their own time; ``listed`` ones hold a list, and take the
     id and the processing time from ``record_metadata``.  An annotation with any
-    type of ``ignore_types`` is left out.
+    type of ``ignore_types`` is left out.  Documents without an id give no rows here;
+    ``unidentified_documents`` has them.
     """
     if kind not in ("keyed", "listed"):
         raise ValueError(f"kind must be 'keyed' or 'listed', not {kind!r}")
     docs = _documents(df, result_col, info_col)
     doc, doc_type = F.col("doc"), docs.schema["doc"].dataType
     footer_names = _fields(doc_type["footer"].dataType) if "footer" in _fields(doc_type) else []
-    if kind == "keyed":
-        document, stamp = doc["footer"][id_col], doc["timestamp"]
-    else:
-        document, stamp = doc["record_metadata"]["id"], doc["record_metadata"]["nlp_processing_date"]
+    document = _document_id(doc, kind, id_col)
+    stamp = doc["timestamp"] if kind == "keyed" else doc["record_metadata"]["nlp_processing_date"]
     is_map = isinstance(doc_type["annotations"].dataType, T.MapType)
     exploded = (F.explode if is_map else F.posexplode)(doc["annotations"]).alias("ann_id", "ann")
     extra = [f for f in include_footer if f in footer_names]
@@ -199,6 +216,17 @@ def flatten_annotations(
     return rows.select(*[c.alias(n) for n, c in out.items()])
 
 
+def _document_id(doc: Column, kind: str, id_col: str) -> Column:
+    return doc["footer"][id_col] if kind == "keyed" else doc["record_metadata"]["id"]
+
+
+def unidentified_documents(df: DataFrame, kind: str = "keyed", id_col: str = "_id", result_col: str = "result", info_col: str = "model_info") -> DataFrame:
+    """The documents whose annotations ``flatten_annotations`` can't name: ``doc``, ``info``, ``error``."""
+    docs = _documents(df, result_col, info_col)
+    missing = _document_id(F.col("doc"), kind, id_col).isNull()
+    return docs.filter(missing).select("doc", "info", F.lit("annotated document without an id").alias("error"))
+
+
 def merge_ocr(source: DataFrame, ocr: DataFrame, key: str, result_col: str = "result", ocr_key: Column | None = None) -> DataFrame:
     """Source columns plus ``text``, ``ocr_metadata`` and ``ocr_timestamp``."""
     result = named(result_col)

@@ -18,6 +18,6 @@ def scrub_text(df: DataFrame, col: str = "text", rules: Iterable[tuple[str, str]
     return df.select(*[(scrubbed if c == col else named(c)).alias(c) for c in df.columns])
 
 
-def match_text(df: DataFrame, field: str, terms: Sequence[str]) -> DataFrame:
-    """Rows whose text has one of the terms as a whole word."""
-    return df.filter(has_term(named(field), terms))
+def match_text(df: DataFrame, field: str, terms: Sequence[str], every: bool = False) -> DataFrame:
+    """Rows whose text has one of the terms, or with ``every`` all of them, in whole words."""
+    return df.filter(has_term(named(field), terms, every))

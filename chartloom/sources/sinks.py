@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.names import named
-from chartloom.operators.cohort import to_nested_map
+from chartloom.operators.cohort import MAP_ENTRIES, to_nested_map
 from chartloom.operators.ledger import upsert
 from chartloom.operators.records import json_column, part_of, to_ndjson
 from chartloom.sources.records import require_avro
@@ -31,20 +31,28 @@ def dict_json(df: DataFrame, key: str, value: str, parts: int = 1) -> DataFrame:
     return grouped.select("part", F.to_json("m", {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_dict_json(df: DataFrame, key: str, value: str, path: str, max_entries: int = 1_000_000) -> None:
-    """Write ``{key: value}`` objects of at most about ``max_entries`` keys each."""
-    parts = -(-max(df.count(), 1) // max_entries)  # one number
+def write_dict_json(df: DataFrame, key: str, value: str, path: str, max_entries: int | None = None) -> None:
+    """Write one ``{key: value}`` object.
+
+    More than ``MAP_ENTRIES`` keys don't fit one: that is an error, before anything is
+    written.  ``max_entries`` asks for parts: objects of at most about so many keys each,
+    which add up to the whole.
+    """
+    n = df.count()  # one number
+    if max_entries is None and n > MAP_ENTRIES:
+        raise ValueError(f"{n} keys do not fit one object; ask for parts with max_entries")
+    parts = 1 if max_entries is None else -(-max(n, 1) // max_entries)
     dict_json(df, key, value, parts).select("value").write.mode("overwrite").text(path)
 
 
-def dict_jsonl(df: DataFrame, outer: str, inner: str, value: str, max_entries: int = 100_000) -> DataFrame:
-    """JSON lines ``{outer: {inner: value}}``; a hot outer key takes several lines."""
+def dict_jsonl(df: DataFrame, outer: str, inner: str, value: str, max_entries: int | None = None) -> DataFrame:
+    """JSON lines ``{outer: {inner: value}}``, one per outer key; with ``max_entries`` a hot key takes several, see ``to_nested_map``."""
     nested = to_nested_map(df, outer, inner, value, max_entries)
     line = F.create_map(named(outer).cast("string"), F.col("entries"))
     return nested.select(named(outer), "part", F.to_json(line, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_dict_jsonl(df: DataFrame, outer: str, inner: str, value: str, path: str, max_entries: int = 100_000) -> None:
+def write_dict_jsonl(df: DataFrame, outer: str, inner: str, value: str, path: str, max_entries: int | None = None) -> None:
     """Write the lines of ``dict_jsonl``."""
     dict_jsonl(df, outer, inner, value, max_entries).select("value").write.mode("overwrite").text(path)
 
@@ -70,8 +78,12 @@ def write_upsert(target: DataFrame, updates: DataFrame, key: str, order_col: str
 
 
 def write_failures(failed: DataFrame, path: str, step: str = "") -> None:
-    """Failed records beside the main output: ``step, error, record`` (JSON)."""
-    failure_rows(failed, step).write.mode("append").json(path)
+    """Failed records beside the main output: ``step, error, record`` (JSON), in a folder of the step's own.
+
+    A rerun of the step overwrites what it wrote before; ``spark.read.json(path)`` reads
+    the failures of all steps.
+    """
+    failure_rows(failed, step).write.mode("overwrite").json(f"{path.rstrip('/')}/of_step={step or 'none'}")
 
 
 def failure_rows(failed: DataFrame, step: str = "") -> DataFrame:

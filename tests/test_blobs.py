@@ -65,11 +65,11 @@ def test_start_rule(spark):
 
 
 @pytest.mark.parametrize("dup", ["fail", "keep_first", "keep_last"])
-def test_hot_documents_take_the_other_way(spark, dup):
+def test_hot_part(spark, dup):
     """A document with a third of all rows: copies of one part, merged before the shuffle."""
     rows = [("hot", "1", b64(b"a%d" % i), i, None) for i in range(400)] + [("hot", "2", b64(b"z"), 1000, None)]
     rows += [(f"d{i}", "1", b64(b"x"), 2000 + i, None) for i in range(800)]
-    good, failed = run(spark, rows, dup=dup, many_parts=50)
+    good, failed = run(spark, rows, dup=dup)
     assert len(good) == 800 + (dup != "fail")
     if dup == "fail":
         assert failed == {"hot": "duplicate sequence number"}
@@ -79,7 +79,7 @@ def test_hot_documents_take_the_other_way(spark, dup):
 
 
 @pytest.mark.parametrize("dup", ["fail", "keep_last"])
-def test_many_parts_are_joined_in_runs(spark, dup):
+def test_many_parts(spark, dup):
     """A document of very many parts is whole, byte for byte, and so are its checks."""
     n = 10_000
     parts = [("many", str(i), b64(b"%d," % i), i, "first" if i == 5 else None) for i in range(5, n)]
@@ -87,7 +87,7 @@ def test_many_parts_are_joined_in_runs(spark, dup):
     free = [("free", None, b64(b"%d," % i), 7 * i, None) for i in range(9000)]
     bad = [("bad", str(i), b64(b"x") if i != 8000 else "*", i, None) for i in range(9000)]
     small = [(f"d{i}", "1", b64(b"x"), i, None) for i in range(100)]
-    good, failed = run(spark, parts + gap + free + bad + small, dup=dup, many_parts=1000)
+    good, failed = run(spark, parts + gap + free + bad + small, dup=dup)
     assert bytes(good["many"].binarydoc) == b"".join(b"%d," % i for i in range(5, n)) and good["many"].note == "first"
     assert (good["many"].blob_parts, good["many"].blob_seq_min, good["many"].blob_seq_max) == (n - 5, 5, n - 1)
     assert bytes(good["free"].binarydoc) == b"".join(b"%d," % i for i in range(9000)) and good["free"].blob_seq_max == 8999
@@ -97,7 +97,23 @@ def test_many_parts_are_joined_in_runs(spark, dup):
 def test_document_beyond_a_cell(spark):
     rows = [("big", str(i), b64(b"abc"), i, None) for i in range(60)] + [("ok", "1", b64(b"abc"), 100, None)]
     good, failed = run(spark, rows, max_bytes=100)
-    assert list(good) == ["ok"] and failed == {"big": "60 parts and 240 bytes do not fit one cell"}
+    assert list(good) == ["ok"] and failed == {"big": "60 parts and 180 bytes do not fit one cell"}
+
+
+def test_parts_without_numbers_are_never_merged(spark):
+    """Parts in record order are told apart by their ordinal; a repeated ordinal is a failure, not a copy."""
+    rows = [("free", None, b64(x), i, None) for i, x in enumerate((b"AA", b"AA", b"BB"))]
+    rows += [("same", None, b64(b"AA"), 1, None), ("same", None, b64(b"BB"), 1, None), ("same", None, b64(b"CC"), 2, None)]
+    for dup in ("fail", "keep_first", "keep_last"):
+        good, failed = run(spark, rows, dup=dup)
+        assert bytes(good["free"].binarydoc) == b"AAAABB"
+        assert failed == {"same": "ordinal of a part without sequence number comes twice"}
+
+
+def test_parts_are_read_once(spark, tmp_path):
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(str(tmp_path / "parts"))
+    good, failed = assemble_blobs(spark.read.parquet(str(tmp_path / "parts")))
+    assert good.inputFiles() == [] == failed.inputFiles()
 
 
 def test_split_and_assemble_is_identity(spark):

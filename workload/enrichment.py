@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chartloom.operators import apply_text_model, assign_location, enrich
 from workload import query
-from workload.inputs import spread, table
+from workload.inputs import table
 
 
 def _word_counter():  # noqa: ANN202
@@ -27,7 +27,7 @@ def _word_counter():  # noqa: ANN202
 SELECT doc_id, lang, CASE WHEN doc_id % 97 <> 0 THEN len(regexp_extract_all(text, '[a-z]+')) END AS n_words,
   CASE WHEN doc_id % 97 = 0 THEN 'RuntimeError: cannot read this one' END AS error FROM documents""")
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
     return enrich(docs, _word_counter, ["doc_id", "text"], "n_words long", batch_size=20, retries=1).drop("text")
 
 
@@ -42,7 +42,7 @@ def _masker():  # noqa: ANN202
 SELECT doc_id, array_to_string(list_transform(generate_series(0, greatest(CAST(ceil(length(text) / 512.0) AS BIGINT) - 1, 0)),
   lambda i: regexp_replace(substr(text, i * 512 + 1, 512), '[0-9]', '#', 'g') || '|'), '') AS text FROM documents""")
 def masked(spark: SparkSession, sf: str) -> DataFrame:
-    return apply_text_model(spread(spark, sf, "documents").select("doc_id", "text"), "text", _masker)
+    return apply_text_model(table(spark, sf, "documents").select("doc_id", "text"), "text", _masker).drop("error")
 
 
 BOXES = [("north", 54.0, 55.5, -2.5, -1.0), ("south", 50.5, 51.75, -1.25, 0.25), ("isles", 57.0, 58.0, -7.5, -6.25)]

@@ -71,14 +71,15 @@ def mark(spark: SparkSession, sf: str) -> DataFrame:
     return incremental(table(spark, sf, "orders"), "o_orderkey", 100)[1]
 
 
-BATCH = 500
+BATCH = 5
 
 
 @query("ids_as_csv", f"""
-SELECT p_brand, CAST(p_partkey // {BATCH} AS BIGINT) AS slice, string_agg(id, ',' ORDER BY p_partkey) AS ids_csv,
+SELECT p_brand, CAST((nth - 1) // {BATCH} AS BIGINT) AS slice, string_agg(id, ',' ORDER BY p_partkey) AS ids_csv,
   count(*) AS ids_count, length(string_agg(id, ',' ORDER BY p_partkey)) AS ids_len
-FROM (SELECT p_brand, p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'x' || p_size WHEN 3 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS id FROM part)
-WHERE regexp_full_match(id, '[0-9]+') GROUP BY ALL""")
+FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth
+      FROM (SELECT p_brand, p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'x' || p_size WHEN 3 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS id FROM part)
+      WHERE regexp_full_match(id, '[0-9]+')) GROUP BY ALL""")
 def csv_ids(spark: SparkSession, sf: str) -> DataFrame:
     size, key = F.col("p_size").cast("string"), F.col("p_partkey")
     raw = F.when(key % 4 == 1, F.concat(F.lit("x"), size)).when(key % 4 != 3, F.concat(F.lit(" "), size, F.lit("\t")))
@@ -87,9 +88,10 @@ def csv_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("ids_as_csv_distinct", f"""
-SELECT p_brand, CAST(pos // {BATCH} AS BIGINT) AS slice, string_agg(id, ',' ORDER BY pos) AS ids_csv, count(*) AS ids_count,
+SELECT p_brand, CAST((nth - 1) // {BATCH} AS BIGINT) AS slice, string_agg(id, ',' ORDER BY pos) AS ids_csv, count(*) AS ids_count,
   length(string_agg(id, ',' ORDER BY pos)) AS ids_len
-FROM (SELECT p_brand, CAST(p_size AS VARCHAR) AS id, min(p_partkey) AS pos FROM part GROUP BY ALL) GROUP BY ALL""")
+FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY pos) AS nth
+      FROM (SELECT p_brand, CAST(p_size AS VARCHAR) AS id, min(p_partkey) AS pos FROM part GROUP BY ALL)) GROUP BY ALL""")
 def csv_ids_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return ids_csv(table(spark, sf, "part"), "p_size", "p_partkey", ["p_brand"], max_ids=BATCH, distinct=True)
 

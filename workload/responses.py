@@ -103,7 +103,7 @@ answers AS (
     CASE WHEN doc_id % 9 = 0 THEN 0 ELSE len(regexp_extract_all(text, '[A-Z][a-z]+')) END AS n
   FROM documents),
 judged AS (
-  SELECT *, CASE WHEN success AND coalesce(trim(answer, ' ' || chr(10)), '') = '' THEN 'blank' WHEN n = 0 AND success THEN 'bare'
+  SELECT *, CASE WHEN success AND trim(answer, ' ' || chr(10)) = '' THEN 'blank' WHEN n = 0 AND success THEN 'bare'
                  WHEN n = 0 THEN 'gone' ELSE 'whole' END AS kind
   FROM answers)
 """
