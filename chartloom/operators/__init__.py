@@ -1,6 +1,6 @@
 """DataFrame to DataFrame operators."""
 
-from chartloom.operators.aggregates import bucket_ledger, ids_csv, terms, with_metrics
+from chartloom.operators.aggregates import bucket_ledger, ids_csv, json_records, terms, with_metrics
 from chartloom.operators.blobs import (
     assemble_blobs,
     assemble_documents,
@@ -15,6 +15,7 @@ from chartloom.operators.cohort import (
     cui_patient_counts,
     cui_patient_facts,
     cui_patient_first_seen,
+    dims_of,
     doc_to_patient,
     merge_counts,
     patient_dims,
@@ -56,19 +57,26 @@ from chartloom.operators.requests import (
     to_ocr_request,
     unwrap_hit,
 )
-from chartloom.operators.responses import flatten_annotations, merge_ocr, parse_deid, parse_nlp, parse_ocr
+from chartloom.operators.responses import (
+    flatten_annotations,
+    merge_ocr,
+    parse_deid,
+    parse_nlp,
+    parse_ocr,
+    unidentified_documents,
+)
 from chartloom.operators.textops import match_text, scrub_text
 
 __all__ = [
     "PatientColumns", "add_geolocation", "affirmed", "annotation_star", "apply_text_model", "assemble_blobs", "assemble_documents",
     "assign_location", "binary_to_base64", "bucket_ledger", "cast_common", "cast_dates_by_name",
-    "cui_patient_counts", "cui_patient_facts", "cui_patient_first_seen", "doc_to_patient", "encode_payload",
+    "cui_patient_counts", "cui_patient_facts", "cui_patient_first_seen", "dims_of", "doc_to_patient", "encode_payload",
     "enrich", "entity_view", "entity_views", "explode_records", "extract_payload", "fetch_by_ids",
     "flatten_annotations", "hits_to_request", "ids_csv", "incremental", "ingest_counts", "join_metadata",
-    "json_safe", "latest_by_key", "ledger_rows", "limit_batch", "lookup", "map_codes", "map_schema",
+    "json_records", "json_safe", "latest_by_key", "ledger_rows", "limit_batch", "lookup", "map_codes", "map_schema",
     "match_text", "merge_counts", "merge_ocr", "not_yet_processed", "parse_deid", "parse_nlp", "parse_ocr",
     "patient_dims", "patient_encounters", "patient_table", "render_items", "request_batches",
     "resolve_documents", "resolve_payload", "scrub_text", "split_affirmed", "split_valid", "terms", "to_attributes",
-    "to_ndjson", "to_nested_map", "to_nlp_request", "to_ocr_request", "union_all", "unwrap_hit", "upsert",
+    "to_ndjson", "to_nested_map", "to_nlp_request", "to_ocr_request", "unidentified_documents", "union_all", "unwrap_hit", "upsert",
     "with_keyword", "with_metrics", "with_ordinal",
 ]

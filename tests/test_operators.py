@@ -27,9 +27,11 @@ from chartloom.operators import (
     ids_csv,
     incremental,
     join_metadata,
+    json_records,
     limit_batch,
     map_codes,
     map_schema,
+    match_text,
     merge_counts,
     not_yet_processed,
     parse_deid,
@@ -46,6 +48,7 @@ from chartloom.operators import (
     to_nlp_request,
     to_ocr_request,
     union_all,
+    unidentified_documents,
     unwrap_hit,
     upsert,
     with_metrics,
@@ -155,7 +158,7 @@ def answer(i, text="t", success=True, annotations=True, footer=True):
 def test_annotations(spark):
     df = from_json(spark, [{"model_info": {"name": "m"}, "result": [answer(1), answer(2, annotations=False), answer(3, footer=False)]}, {"result": []}], NLP)
     got = rows(parse_nlp(df))
-    assert [(r["cui"], r["doc"], r["annotation_id"]) for r in got] == [("c", "foot", "1_7"), ("c", None, None)]
+    assert [(r["cui"], r["doc"], r["annotation_id"]) for r in got] == [("c", "foot", "1_7"), ("c", "ann", None)]
     assert got[0]["service_model"] == {"name": "m"}
 
 
@@ -330,7 +333,12 @@ def test_ids_csv(spark):
     df = spark.createDataFrame([(" 7 ", 1), ("x", 2), (None, 3), ("5", 4), ("7", 5), ("1.0", 6)], "id string, pos int")
     assert rows(ids_csv(df, "id", "pos")) == [{"slice": 0, "ids_csv": "7,5,7", "ids_count": 3, "ids_len": 5}]
     assert rows(ids_csv(df, "id", "pos", distinct=True))[0]["ids_csv"] == "7,5"
-    assert sorted((r["slice"], r["ids_csv"]) for r in rows(ids_csv(df, "id", "pos", max_ids=5))) == [(0, "7,5"), (1, "7")]
+    assert sorted((r["slice"], r["ids_csv"]) for r in rows(ids_csv(df, "id", "pos", max_ids=2))) == [(0, "7,5"), (1, "7")]
+    sparse = spark.range(5).select(F.col("id").cast("string").alias("id"), (F.col("id") * 1_000_000).alias("pos"))
+    assert [r["ids_csv"] for r in rows(ids_csv(sparse, "id", "pos"))] == ["0,1,2,3,4"]
+    text = spark.createDataFrame([(1, '{"records": [{"id": 7}, {"x": 1}, {"id": "5"}]}'), (2, "broken"), (3, None), (4, "{}")], "at int, j string")
+    from_json_text = json_records(text, "j", "id", ["at"])
+    assert rows(ids_csv(from_json_text, "id", ["at", "position"])) == [{"slice": 0, "ids_csv": "7,5", "ids_count": 2, "ids_len": 3}]
 
 
 def test_terms_and_metrics(spark):
@@ -386,6 +394,108 @@ def make_upper():
     return lambda texts: "[" + texts.str.upper() + "]"
 
 
+def make_odd_client():
+    def call(batch):
+        odd = batch["id"] == 3
+        return batch.assign(size=["long" if o else 1 for o in odd])[["size"]]
+
+    return call
+
+
+def test_enrich_leaves_other_columns_alone(spark):
+    """64-bit ids beside a null stay what they are, and an answer of the wrong type fails alone."""
+    big = 9007199254740993
+    df = spark.createDataFrame([(3, big, (big + 2,)), (4, None, (None,)), (5, big + 4, None)], "id long, key long, footer struct<n:long>").coalesce(1)
+    got = {r["id"]: r for r in rows(enrich(df, make_odd_client, ["id", "key"], "size long", retries=0))}
+    assert [got[i]["key"] for i in (3, 4, 5)] == [big, None, big + 4] and got[3]["footer"] == {"n": big + 2}
+    assert [got[i]["size"] for i in (3, 4, 5)] == [None, 1, 1] and "ArrowInvalid" in got[3]["error"] and got[4]["error"] is None
+
+
+def make_moody():
+    def model(texts):
+        if texts.str.contains("bad").any():
+            raise ValueError("no")
+        return texts.str.upper()
+
+    return model
+
+
+def test_text_model_fails_alone(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, "a bad one"), (3, None), (4, "x")], "id int, t string").coalesce(1)
+    got = {r["id"]: (r["t"], r["error"]) for r in rows(apply_text_model(df, "t", make_moody, char_limit=100))}
+    assert got == {1: ("ABC", None), 2: (None, "ValueError: no"), 3: (None, None), 4: ("X", None)}
+
+
+def test_codes_of_any_type_and_phrases(spark):
+    codes = spark.createDataFrame([(1, "one"), (2, "two")], "code int, label string")
+    df = spark.createDataFrame([(1, 1), (2, 3), (3, None)], "id int, v int")
+    assert {r["id"]: r["v"] for r in rows(map_codes(df, "v", codes))} == {1: "one", 2: "3", 3: None}
+    texts = spark.createDataFrame([(1, "An X-ray of the chest."), (2, "Chest pain!"), (3, "pain in the chest"), (4, None)], "id int, t string")
+    found = lambda *terms, **how: [r["id"] for r in rows(match_text(texts, "t", terms, **how).orderBy("id"))]
+    assert found("x-ray") == [1] and found("chest pain") == [2] and found("pain", "ray") == [1, 2, 3] and found("pain", "chest", every=True) == [2, 3]
+    assert found("-") == [] and found("hest") == []
+
+
+def test_ties_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([("k", i, 1) for i in range(50)], "k string, v int, at int")
+    target = df.limit(0)
+    assert len({rows(upsert(target, df.repartition(n), "k", "at"))[0]["v"] for n in (1, 2, 3, 5, 7)}) == 1
+
+
+def test_a_mark_ends_the_rows(spark):
+    rows_, mark = incremental(spark.createDataFrame([(1,), (5,), (None,)], "at int"), "at")
+    assert sorted(r["at"] or 0 for r in rows(rows_)) == [0, 1, 5] and rows(mark) == [{"high_water": 5}]
+    assert "<= 5" in rows_._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_last_file_of_a_stem(spark):
+    files = spark.createDataFrame([("/a", "x.pdf", bytearray(b"1")), ("/a", "x.txt", bytearray(b"2"))], "folder string, file_name string, content binary")
+    meta = spark.createDataFrame([("/a", "x", "n")], "folder string, file_name_id_no_ext string, note string")
+    assert [r["binarydoc"] for r in rows(join_metadata(files, meta))] == ["Mg=="]
+
+
+def test_meta_annotations_that_no_record_has(spark):
+    df = spark.createDataFrame([(1, (("Patient",), ("True",)))], "id int, meta_anns struct<Subject:struct<value:string>,Presence:struct<value:string>>")
+    good, failed = split_affirmed(df)
+    assert rows(good) == [] and [r["error"] for r in rows(failed)] == ["no Time"]
+
+
+def test_one_line_per_key_or_an_error(spark, monkeypatch):
+    from chartloom.operators import cohort
+
+    df = spark.createDataFrame([("c", str(i), i) for i in range(6)], "c string, p string, n int")
+    assert len(rows(to_nested_map(df, "c", "p", "n"))) == 1
+    monkeypatch.setattr(cohort, "MAP_ENTRIES", 5)
+    with pytest.raises(Exception, match="6 entries do not fit one map"):
+        rows(to_nested_map(df, "c", "p", "n"))
+
+
+def test_documents_without_an_id(spark):
+    schema = """model_info struct<service_model:string,service_version:string>,
+      result array<struct<timestamp:string,footer:struct<docid:int>,annotations:map<string,struct<id:int>>>>"""
+    df = from_json(spark, [{"result": [{"footer": {"docid": 5}, "annotations": {"a": {"id": 9}}}, {"footer": {}, "annotations": {"b": {"id": 8}}}, {}]}], schema)
+    assert len(rows(flatten_annotations(df, "keyed", "docid"))) == 1
+    assert [r["error"] for r in rows(unidentified_documents(df, "keyed", "docid"))] == ["annotated document without an id"] * 2
+
+
+def test_all_date_notations(spark):
+    day, noon = dt.datetime(2020, 12, 31), dt.datetime(2020, 12, 31, 10, 15, 16)
+    texts = {
+        "2020-12-31 10:15:16": noon, "2020-12-31": day, "20201231": day, "2020-12-31T10": noon.replace(minute=0, second=0),
+        "2020-12-31T10:15": noon.replace(second=0), "2020-12-31T10:15:16": noon, "10:15:16.123Z": dt.datetime(1970, 1, 1, 10, 15, 16, 123000),
+        "10:15": dt.datetime(1970, 1, 1, 10, 15), "2020/12/31": day, "31/12/2020": day, "31/12/2020 10:15": noon.replace(second=0),
+        "2020-12-31T10:15:16.123Z": noon.replace(microsecond=123000), "2020-12-31T10:15:16.123+01:00": noon.replace(hour=9, microsecond=123000),
+        "T10:15:16.123Z": dt.datetime(1970, 1, 1, 10, 15, 16, 123000), "2020-12-31T10:15:16.123": noon.replace(microsecond=123000),
+        "101516.123Z": dt.datetime(1970, 1, 1, 10, 15, 16, 123000), "101516Z": dt.datetime(1970, 1, 1, 10, 15, 16),
+        "T101516.123Z": dt.datetime(1970, 1, 1, 10, 15, 16, 123000), "10:15:16": dt.datetime(1970, 1, 1, 10, 15, 16),
+        "10:15.16": dt.datetime(1970, 1, 1, 10, 15, 16), "10:15.16+0000": dt.datetime(1970, 1, 1, 10, 15, 16), "86400000": dt.datetime(1970, 1, 2),
+        "1609409716123": noon.replace(microsecond=123000), "soon": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "visit_date string")
+    got = rows(df.select("visit_date", F.col("visit_date").alias("t")).transform(lambda d: cast_dates_by_name(d)))
+    assert {r["t"]: r["visit_date"] for r in got} == texts
+
+
 def test_text_model_keeps_the_tail(spark):
     df = spark.createDataFrame([(1, "abcdefgh"), (2, "ab"), (3, None), (4, ""), (5, "abc"), (6, "abcd")], "id int, t string")
     got = {r["id"]: r["t"] for r in rows(apply_text_model(df, "t", make_upper, char_limit=3))}
