@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from chartloom.llm.common import cut, only_wanted
 
 #: Members of a group that one task compares with as many others.
 BLOCK = 1024
+#: Edges that are worth a task, and the tasks a graph gets at least.
+TASK_EDGES, LEAST_TASKS = 100_000, 8
 #: Rounds after which something must be wrong: each at least halves what is left.
 MAX_ROUNDS = 60
 
@@ -33,22 +35,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Stars in turn: first every larger neighbour of a node is tied to the node's least
     neighbour, then every node and its smaller neighbours to the least of them.  The
-    number of rounds grows with the logarithm of a component's size.  A round is
-    two joins and a few pre-aggregated shuffles of pairs of numbers, and is cut by a
-    checkpoint; the driver sees a count and a checksum.  Edges of a hub are split by
-    AQE's skew join.
+    number of rounds grows with the logarithm of a component's size; edges that are
+    stars already take one.  A round is two joins and a few pre-aggregated shuffles of
+    pairs of numbers, and is cut by a checkpoint; the driver sees a count and a
+    checksum.  Edges of a hub are split by AQE's skew join.  Tasks are as many as the
+    edges are worth, so that a small graph doesn't leave thousands of tiny files.
     """
     now = cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    seen = None
+    seen = _summary(now)
     for _ in range(MAX_ROUNDS):
+        tasks = max(LEAST_TASKS, seen["n"] // TASK_EDGES)
+        now = now.coalesce(tasks)
         both = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"))
-        large = both.join(least, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src <> dst").distinct()
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("m", "src").alias("m"))
+        large = both.join(least, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src <> dst")
+        down = large.coalesce(tasks).distinct()
         bottom = down.groupBy("src").agg(F.min("dst").alias("m"))
         small = down.join(bottom, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src <> dst")
-        now = cut(small.union(bottom.select("src", F.col("m").alias("dst"))).distinct())
-        found = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("x")).first()
+        now = cut(small.union(bottom.select("src", F.col("m").alias("dst"))).coalesce(tasks).distinct().coalesce(tasks))
+        found = _summary(now)
         if seen == found:
             break
         seen = found
@@ -57,6 +62,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("src").alias("id"), F.col("dst").alias("component")).union(now.select("dst", "dst").distinct())
 
 
+def _summary(edges: DataFrame) -> Row:
+    return edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("x")).first()
+
+
 def in_blocks(grouped: DataFrame, block: int = BLOCK) -> DataFrame:
     """``grouped`` (id, component) with the number of ``blocks`` that its component is dealt in."""
     sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
