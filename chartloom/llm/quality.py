@@ -141,6 +141,16 @@ def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("quality", let(measures(df[text_col]), _verdict))
 
 
+def keep_good(df: DataFrame, text_col: str = "text", out_col: str = "quality") -> DataFrame:
+    """The rows of ``judge`` that are kept, with its struct as ``out_col``.
+
+    Not a filter on its column: that would be moved below it, and every text be judged
+    twice.
+    """
+    good = F.filter(F.array(let(measures(df[text_col]), _verdict)), lambda q: q["kept"])
+    return df.select(*[df[c] for c in df.columns if c != out_col], F.explode(good).alias(out_col))
+
+
 def _verdict(m: Column) -> Column:
     words, lines = m["words"], m["lines"]
     base_failed = (words["n_words"] < MIN_WORDS) | (words["n_repeat_words"] * 100 > words["n_words"] * MAX_REPEAT)

@@ -59,4 +59,5 @@ def test_odd_documents(spark, sf):
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
         stage(spark, docs, sf).count()
+    assert {r["quality"] for r in pipeline.quality_rules(spark, docs, sf).collect()} == {1}
     assert sorted(r["doc_id"] for r in pipeline.document_dedup(spark, docs.filter("doc_id IN (3, 4)"), sf).collect()) == [3]
