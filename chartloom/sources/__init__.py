@@ -6,6 +6,7 @@ from chartloom.sources.records import (
     decode_with_fallback,
     read_avro,
     read_csv,
+    read_encoded_json,
     read_json_records,
     read_ndjson,
     read_parquet,
@@ -26,7 +27,7 @@ from chartloom.sources.tables import read_high_water, read_table, write_high_wat
 
 __all__ = [
     "POSTCODE_COLUMNS", "decode_with_fallback", "dict_json", "dict_jsonl", "list_documents", "read_avro",
-    "read_csv", "read_documents", "read_high_water", "read_json_records", "read_ndjson", "read_parquet",
+    "read_csv", "read_encoded_json", "read_documents", "read_high_water", "read_json_records", "read_ndjson", "read_parquet",
     "read_postcodes", "read_table", "write_avro", "write_dict_json", "write_dict_jsonl", "write_failures",
     "write_high_water", "write_ndjson", "write_split", "write_upsert",
 ]

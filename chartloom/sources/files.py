@@ -42,6 +42,7 @@ def read_documents(
     folder_pattern: str = FOLDER_PATTERN,
     metadata_schema: Schema | None = None,
     sep: str = "|",
+    encoding: str = "UTF-8",
     id_col: str = "file_name_id_no_ext",
     pseudo: bool = False,
     ledger: DataFrame | None = None,
@@ -49,7 +50,7 @@ def read_documents(
 ) -> DataFrame:
     """Documents of a tree as rows with a base64 payload.
 
-    ``with_metadata`` joins the metadata files of the same folder by file stem.
+    ``with_metadata`` joins the metadata files of the same folder (in ``encoding``) by file stem.
     ``files_only`` gives ``folder, document_Id, binarydoc, document_Fields_text``, plus
     ``document_Pseudo_Id`` on request.  ``ledger`` (``folder, document_id``) names the
     files that are done.  ``max_files`` bounds one run: the first files by path,
@@ -80,9 +81,11 @@ def read_documents(
             columns.append(pseudo_id(F.concat_ws("/", "folder", stem)).alias("document_Pseudo_Id"))
         return files.select(*columns)
 
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*csv*").option("sep", sep).option("header", True)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*csv*").option("sep", sep).option("header", True).option("encoding", encoding)
     metadata = (reader.schema(metadata_schema) if metadata_schema is not None else reader).csv(root)
-    folder = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"), "/[^/]*$", "")
+    # This path is URL-encoded (but for a plus), the one of the documents is plain.
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_replace(F.regexp_replace(plain, "^file:/+", "/"), "/[^/]*$", "")
     metadata = metadata.select("*", folder.alias("folder"))
     return join_metadata(files, metadata, id_col)
 

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartloom.functions.names import named
+
 Schema = str | T.StructType
 
+UNREADABLE = "_unreadable"
+
 # The columns of the postcode lookup file, which has no header.
 POSTCODE_COLUMNS: tuple[str, ...] = (
     "postcode", "status", "usertype", "easting", "northing", "positional_quality_indicator", "country", "latitude",
@@ -23,30 +27,74 @@ _CP1252 = "€�‚ƒ„…†‡ˆ‰Š‹Œ�Ž��‘’“”•–—˜
 
 def read_json_records(
     spark: SparkSession, path: str | Sequence[str], schema: Schema | None = None, name_glob: str | None = None
-) -> DataFrame:
-    """Files that hold one object or an array of objects: one row per object.
-
-    A file is one parse unit, read by one task; big exports belong in NDJSON.
-    Files that are neither give no rows.  ``name_glob`` picks files by name in a
-    whole folder tree.  Pass a schema for big inputs: inferring one reads them all.
+) -> tuple[DataFrame, DataFrame]:
+    """Files that hold one object or an array of objects: (one row per object, unreadable files).
+
+    A file is one parse unit, read by one task; big exports belong in NDJSON.  A file
+    that is neither, or has a value that doesn't fit the schema anywhere, fails whole:
+    its ``path``, ``text``, what could be read of it (``record``) and ``error``.
+    ``name_glob`` picks files by name in a whole folder tree.  Pass a schema for big
+    inputs: inferring one reads them all.
     """
-    return _json(spark, path, schema, name_glob, multi_line=True)
+    good, failed = _json(spark, path, schema, name_glob, multi_line=True)
+    # All rows of a broken array carry its text: one is enough.
+    whole = failed.groupBy("path").agg(F.first("text").alias("text"), F.max("record").alias("record"), F.first("error").alias("error"))
+    return good, whole
 
 
 def read_ndjson(
     spark: SparkSession, path: str | Sequence[str], schema: Schema | None = None, name_glob: str | None = None
-) -> DataFrame:
-    """One JSON object per line; blank lines are skipped."""
+) -> tuple[DataFrame, DataFrame]:
+    """One JSON object per line: (records, unreadable lines); blank lines are skipped.
+
+    An unreadable line, or one with a value that doesn't fit the schema, is a row ``path,
+    text, record, error``, where ``record`` has what could be read of it.
+    """
     return _json(spark, path, schema, name_glob, multi_line=False)
 
 
-def _json(spark: SparkSession, path: str | Sequence[str], schema: Schema | None, name_glob: str | None, multi_line: bool) -> DataFrame:
-    reader = spark.read.option("multiLine", multi_line).option("mode", "DROPMALFORMED")
+def _json(
+    spark: SparkSession, path: str | Sequence[str], schema: Schema | None, name_glob: str | None, multi_line: bool
+) -> tuple[DataFrame, DataFrame]:
+    reader = spark.read.option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", UNREADABLE)
     if name_glob is not None:
         reader = reader.option("pathGlobFilter", name_glob).option("recursiveFileLookup", True)
     if schema is not None:
-        reader = reader.schema(schema)
-    return reader.json(path if isinstance(path, str) else list(path))
+        shape = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        reader = reader.schema(T.StructType([*shape.fields, T.StructField(UNREADABLE, T.StringType())]))
+    rows = reader.json(path if isinstance(path, str) else list(path))
+    if UNREADABLE not in rows.columns:  # inferred, and everything could be read
+        rows = rows.withColumn(UNREADABLE, F.lit(None).cast("string"))
+    fields = [c for c in rows.columns if c != UNREADABLE]
+    read = F.to_json(F.struct(*[named(c) for c in fields])) if fields else F.lit(None).cast("string")
+    # The test of what was read is always true; Spark refuses to read unreadable text and nothing else.
+    failed = rows.filter(F.col(UNREADABLE).isNotNull() & read.isNotNull()).select(
+        F.col("_metadata.file_path").alias("path"), F.col(UNREADABLE).alias("text"), read.alias("record"),
+        F.lit("not JSON, or not of the schema").alias("error"),
+    )
+    return rows.filter(F.col(UNREADABLE).isNull()).drop(UNREADABLE), failed
+
+
+def read_encoded_json(
+    spark: SparkSession, path: str, schema: Schema, charsets: Sequence[str] = ("utf-8", "windows-1252"), name_glob: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Like ``read_json_records`` for files in any of several charsets, the first that fits each.
+
+    A file that none of them fits, or that isn't an object or array of objects, fails.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", name_glob) if name_glob else reader).load(path)
+    shape = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    marked = T.StructType([*shape.fields, T.StructField(UNREADABLE, T.StringType())])
+    text = decode_with_fallback(F.col("content"), charsets)
+    parsed = files.select("path", text.alias("text")).withColumn(
+        "records", F.from_json("text", T.ArrayType(marked), {"columnNameOfCorruptRecord": UNREADABLE})
+    )
+    bad = F.col("records").isNull() | F.exists("records", lambda r: r.isNull() | r[UNREADABLE].isNotNull())
+    error = F.when(F.col("text").isNull(), "no charset fits").otherwise("not JSON, or not of the schema")
+    failed = parsed.filter(bad).select("path", "text", F.to_json("records").alias("record"), error.alias("error"))
+    good = parsed.filter(~bad).select(F.explode("records").alias("r")).select("r.*").drop(UNREADABLE)
+    return good, failed
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Assembly of documents whose parts arrive in different batches.
 
 Parts wait in keyed state, one entry per sequence number.  A document is emitted
-when ``total`` different parts are there; with a time limit, a processing-time timer
+when ``total`` different parts are there; a part that comes again as it was is passed over, one
+that comes with other bytes fails the document; with a time limit, a processing-time timer
 sends what stays incomplete to the failures.
 """
 
@@ -51,14 +52,12 @@ class _Assembler(StatefulProcessor):
                 if seq != seq or seq is None or expected != expected or expected is None:
                     error = "part without a sequence number or total"
                 elif self.parts.containsKey((int(seq),)):
-                    error = "duplicate sequence number"
+                    # The same part delivered again is no conflict.
+                    if self.parts.getValue((int(seq),))[0] != text:
+                        error = "duplicate sequence number"
                 else:
                     total = int(expected)
                     self.parts.updateValue((int(seq),), (text,))
-                if error is not None:
-                    break
-            if error is not None:
-                break  # the document is lost: leave its other rows unread
         held = sorted(k[0] for k in self.parts.keys())
         if error is None and total is not None and len(held) >= total:
             yield self._whole(key[0], held)

@@ -29,6 +29,7 @@ from chartloom.sources import (
     read_avro,
     read_csv,
     read_documents,
+    read_encoded_json,
     read_high_water,
     read_json_records,
     read_ndjson,
@@ -60,10 +61,52 @@ def test_json_units(spark, tmp_path):
     (tmp_path / "none.json").write_text("5")
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "ann_part.json").write_text('[{"a": 9}]')
-    assert sorted(r["a"] for r in rows(read_json_records(spark, str(tmp_path), "a int"))) == [1, 2, 3]
-    assert rows(read_json_records(spark, str(tmp_path), "a int", name_glob="*ann*")) == [{"a": 9}]
+    (tmp_path / "typed.json").write_text('[{"a": 4}, {"a": "x"}, {"a": 5}]')
+    good, failed = read_json_records(spark, str(tmp_path), "a int")
+    assert sorted(r["a"] for r in rows(good)) == [1, 2, 3]
+    assert {r["path"].rsplit("/", 1)[1]: r["text"] for r in rows(failed)} == {"none.json": "5", "typed.json": '[{"a": 4}, {"a": "x"}, {"a": 5}]'}
+    assert rows(read_json_records(spark, str(tmp_path), "a int", name_glob="*ann*")[0]) == [{"a": 9}]
     (tmp_path / "sub" / "l.ndjson").write_text('{"a": 1}\n\n{"a": 2}\n')
-    assert [r["a"] for r in rows(read_ndjson(spark, str(tmp_path / "sub" / "l.ndjson"), "a int"))] == [1, 2]
+    assert [r["a"] for r in rows(read_ndjson(spark, str(tmp_path / "sub" / "l.ndjson"), "a int")[0])] == [1, 2]
+    (tmp_path / "sub" / "bad.ndjson").write_text('{"a": 1}\n{"a": \n{"a": "x"}\n{"a": 4}\n')
+    good, failed = read_ndjson(spark, str(tmp_path / "sub" / "bad.ndjson"), "a int")
+    assert [r["a"] for r in rows(good)] == [1, 4] and sorted(r["text"] for r in rows(failed)) == ['{"a": ', '{"a": "x"}']
+
+
+def test_json_in_several_charsets(spark, tmp_path):
+    for name, data in (("u", '[{"a": "é"}]'.encode()), ("w", '{"a": "é€"}'.encode("cp1252")), ("x", b'{"a": "\x81"}'), ("y", b"[1")):
+        (tmp_path / f"{name}.json").write_bytes(data)
+    good, failed = read_encoded_json(spark, str(tmp_path), "a string")
+    assert sorted(r["a"] for r in rows(good)) == ["é", "é€"]
+    assert {r["path"][-6:]: r["error"] for r in rows(failed)} == {"x.json": "no charset fits", "y.json": "not JSON, or not of the schema"}
+
+
+def test_folders_with_odd_names(spark, tmp_path):
+    for day in ("my docs/2022/08/01", "50%+é/2022/08/02"):
+        folder = tmp_path / day
+        folder.mkdir(parents=True)
+        (folder / "a.pdf").write_bytes(day.encode())
+        (folder / "metadata.csv").write_bytes("file_name_id_no_ext|dept\na|Ä\n".encode("latin-1"))
+    got = rows(read_documents(spark, str(tmp_path), encoding="iso-8859-1"))
+    assert sorted(base64.b64decode(r["binarydoc"]).decode() for r in got) == ["50%+é/2022/08/02", "my docs/2022/08/01"]
+    assert {r["dept"] for r in got} == {"Ä"}
+
+
+def test_failures_of_a_rerun(spark, tmp_path):
+    df = spark.createDataFrame([("a", "e")], "k string, error string")
+    for step in ("one", "two", "one"):
+        write_failures(df, str(tmp_path / "f"), step)
+    assert sorted(r["step"] for r in rows(spark.read.json(str(tmp_path / "f")))) == ["one", "two"]
+
+
+def test_a_payload_that_decodes_to_too_much():
+    from chartloom.operators.lzw import lzw_decode
+    from workload.assembly import lzw_encode
+
+    packed = lzw_encode(b"a" * 200_000)
+    assert len(lzw_decode(packed)) == 200_000
+    with pytest.raises(ValueError, match="more than 1000 bytes"):
+        lzw_decode(packed, 1000)
 
 
 def test_csv_and_postcodes(spark, tmp_path):
@@ -246,7 +289,7 @@ def test_stream_assembly_over_several_batches(spark, tmp_path, rocksdb):
 
     part_file(spark, source, [("a", 2, "lo", 2), ("b", 1, "x", 1), ("c", 1, "1", 3), ("g", 1, "x", 2), (None, 1, "q", 1), ("", 1, "q", 1)])
     drain()
-    part_file(spark, source, [("a", 1, "hel", 2), ("c", 1, "1", 3), ("g", 3, "x", 2), ("b", 2, "late", 1)])
+    part_file(spark, source, [("a", 1, "hel", 2), ("a", 2, "lo", 2), ("c", 1, "other", 3), ("g", 3, "x", 2), ("b", 2, "late", 1)])
     drain()
     good = {r["id"]: bytes(r["payload"]) for r in rows(read_batches(spark, f"{out}/good"))}
     assert good == {"a": b"hello", "b": b"x"}

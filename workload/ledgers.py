@@ -152,4 +152,27 @@ FROM orders""")
 def round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "ndjson")
     write_ndjson(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"), path)
-    return read_ndjson(spark, path, "o_orderkey bigint, o_totalprice double, o_orderdate string, o_orderpriority string")
+    return read_ndjson(spark, path, "o_orderkey bigint, o_totalprice double, o_orderdate string, o_orderpriority string")[0]
+
+
+def _damaged(spark: SparkSession, sf: str) -> str:
+    """Documents as lines of JSON, some cut short, some with text where a number belongs."""
+    doc, path = F.col("doc_id"), scratch(spark, "damaged")
+    line = F.to_json(F.struct("doc_id", F.when(doc % 11 == 0, F.lit("many")).otherwise(F.col("n_chars").cast("string")).alias("n_chars")))
+    number = F.regexp_replace(line, r'"n_chars":"(\d+)"', r'"n_chars":$1')
+    lines = F.when(doc % 7 == 0, F.expr("substring(line, 1, length(line) - 3)")).otherwise(F.col("line"))
+    table(spark, sf, "documents").select("doc_id", number.alias("line")).select(lines.alias("value")).write.text(path)
+    return path
+
+
+@query("damaged_lines_read", "SELECT doc_id, n_chars FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0")
+def damaged_good(spark: SparkSession, sf: str) -> DataFrame:
+    return read_ndjson(spark, _damaged(spark, sf), "doc_id bigint, n_chars bigint")[0]
+
+
+@query("damaged_lines_failed", """
+SELECT CASE WHEN doc_id % 7 = 0 THEN substr(line, 1, length(line) - 3) ELSE line END AS text, 'not JSON, or not of the schema' AS error
+FROM (SELECT doc_id, '{"doc_id":' || doc_id || ',"n_chars":' || CASE WHEN doc_id % 11 = 0 THEN '"many"' ELSE CAST(n_chars AS VARCHAR) END || '}' AS line
+      FROM documents) WHERE doc_id % 7 = 0 OR doc_id % 11 = 0""")
+def damaged_failed(spark: SparkSession, sf: str) -> DataFrame:
+    return read_ndjson(spark, _damaged(spark, sf), "doc_id bigint, n_chars bigint")[1].select("text", "error")
