@@ -98,7 +98,7 @@ def assign(points: DataFrame, n_dims: int, n_shards: int) -> DataFrame:
         _find_cuts(spark, placed, plans)
         levels.append(cuts + [p.cut() for p in plans])
         cells = grown
-    first = spark.createDataFrame([(k, c.first) for k, c in cells.items()], "cell long, shard int")
+    first = _rows(spark, [(k, c.first) for k, c in cells.items()], ["cell long", "shard int"])
     return _placed(spark, points, levels).join(F.broadcast(first), "cell").drop("cell")
 
 
@@ -107,6 +107,12 @@ def _ranges(n_dims: int) -> list[Column]:
     return [f(coord(d)).alias(f"{n}{d}") for d in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))]
 
 
+def _rows(spark: SparkSession, rows: list[tuple], fields: list[str]) -> DataFrame:
+    """A few rows of numbers as literals: unlike ``createDataFrame`` it takes no Python on executors."""
+    made = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(r, map(str.split, fields), strict=True)]) for r in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*made)))
+
+
 def _key() -> list[Column]:
     """What rows of a cell are ordered by: the coordinate in the cell's dimension, then the ties."""
     return [F.get("coords", "dim"), F.get("tie", F.lit(0)), F.get("tie", F.lit(1))]
@@ -116,7 +122,7 @@ def _placed(spark: SparkSession, points: DataFrame, levels: list[list[tuple]]) -
     """The cell of each row, by one broadcast table of cuts for each level."""
     out = points.withColumn("cell", F.lit(0).cast("long"))
     for cuts in levels:
-        table = spark.createDataFrame(cuts, "cell long, dim int, a long, b long, c long")
+        table = _rows(spark, cuts, ["cell long", "dim int", "a long", "b long", "c long"])
         mine = F.struct(*[k.alias(n) for k, n in zip(_key(), "abc", strict=True)])
         right = (mine >= F.struct("a", "b", "c")).cast("long")
         out = out.join(F.broadcast(table), "cell").withColumn("cell", F.col("cell") * 2 + right).drop("dim", "a", "b", "c")
@@ -135,7 +141,7 @@ def _find_cuts(spark: SparkSession, placed: DataFrame, plans: list[_Plan]) -> No
         if not waiting:
             break
         rows = [(p.cell, p.dim, p.goal, *p.digits) for p in waiting]
-        table = spark.createDataFrame(rows, "cell long, dim int, goal long" + "".join(f", d{i} long" for i in range(n)))
+        table = _rows(spark, rows, ["cell long", "dim int", "goal long", *[f"d{i} long" for i in range(n)]])
         joined = placed.join(F.broadcast(table), "cell")
         for i in range(n):
             joined = joined.filter(digit(i) == F.col(f"d{i}"))
