@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -88,7 +89,39 @@ def compare_groups(members: DataFrame, compare: Callable[[pa.Table, bool], pa.Ta
         (F.col("mine") > F.col("other")).cast("int").alias("side"),
     )
 
-    def run(rows: pa.Table) -> pa.Table:
+    where = ["component", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # one pair of blocks at most, whose end isn't read yet
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            ends = _ends(held[-1:], rows, where)
+            low, found = 0, []
+            for end in ends:
+                found.append(_compared(pa.concat_tables([*held, rows.slice(low, end - low)])))
+                held, low = [], end
+            if low < len(rows):
+                held.append(rows.slice(low))
+            if found:
+                yield from pa.concat_tables(found).combine_chunks().to_batches()
+        if held:
+            yield from _compared(pa.concat_tables(held)).to_batches()
+
+    def _compared(rows: pa.Table) -> pa.Table:
         return compare(rows, rows.column("low")[0].as_py() != rows.column("high")[0].as_py())
 
-    return met.groupBy("component", "low", "high").applyInArrow(run, schema)
+    # Sorted partitions are read as one stream: most groups are pairs, too small for a batch each.
+    return met.repartition(*where).sortWithinPartitions(*where).mapInArrow(run, schema)
+
+
+def _ends(held: list[pa.Table], rows: pa.Table, where: list[str]) -> list[int]:
+    """Places in ``rows`` that another group begins at; 0 where it begins after the rows held."""
+    if not len(rows):
+        return []
+    new = np.zeros(len(rows), dtype=bool)
+    for name in where:
+        values = rows.column(name).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+        if held:
+            new[0] |= held[-1].column(name)[-1].as_py() != values[0]
+    return np.flatnonzero(new).tolist()
