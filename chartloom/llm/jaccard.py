@@ -193,9 +193,11 @@ def near_duplicates(
     recall: float = RECALL,
     rows: int = 5,
 ) -> DataFrame:
-    """One row per row of ``df``: its id, ``class_id``, ``n_links``, ``n_copies`` and ``text_key``.
+    """One row per row of ``df``: its id, ``class_id``, ``n_links``, ``n_copies``, ``text_key`` and ``class_key``.
 
-    ``class_id`` is the least document id of the texts connected by links;
+    ``class_id`` is the least document id of the texts connected by links; unlike texts
+    without an id, or with the same one, share it, so ``class_key`` is what tells classes
+    apart: the least 128 bits of the class's n-gram sets, null for a text without words;
     ``n_links`` counts the different n-gram sets whose Jaccard similarity with the
     text's is ``similarity`` or more, ``n_copies`` the rows with the same set
     (itself included); ``text_key`` is the text's 64-bit hash, which tells rows with
@@ -236,10 +238,15 @@ def near_duplicates(
         classes.join(links, "id", "left").join(joined, "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
     )
-    ids = placed.groupBy("component").agg(F.min(id_).alias("class_id"))
-    known = placed.join(ids, "component").select("k1", "k2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    with_words = filled.join(known, ["k1", "k2"]).select(id_, "class_id", "n_links", "n_copies", key)
-    bare = signed.filter("n_grams = 0").select(id_, F.col(id_).alias("class_id"), F.lit(0).cast("long"), F.lit(1).cast("long"), key)
+    ids = placed.groupBy("component").agg(F.min(id_).alias("class_id"), F.min(F.struct("k1", "k2")).alias("class_key"))
+    known = placed.join(ids, "component").select(
+        "k1", "k2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "class_key"
+    )
+    with_words = filled.join(known, ["k1", "k2"]).select(id_, "class_id", "n_links", "n_copies", key, "class_key")
+    bare = signed.filter("n_grams = 0").select(
+        id_, F.col(id_).alias("class_id"), F.lit(0).cast("long"), F.lit(1).cast("long"), key,
+        F.lit(None).cast("struct<k1: bigint, k2: bigint>"),
+    )
     return with_words.union(bare).withColumnsRenamed({id_: id_col, key: "text_key"})
 
 
@@ -248,12 +255,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
     Rows without words all stay.
     """
-    found = near_duplicates(df, id_col, text_col, **options)
+    found = near_duplicates(df, id_col, text_col, **options).filter("class_key IS NOT NULL")
     key, lone = free_name(df, "text_key"), free_name(df, "no_words")
     bare = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
     marked = df.withColumn(key, F.xxhash64(df[text_col])).withColumn(lone, bare)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("text_key"))
-    best = found.groupBy("class_id").agg(F.min(order).alias("best")).select(
+    best = found.groupBy("class_key").agg(F.min(order).alias("best")).select(
         F.col("best")[id_col].alias(id_col), F.col("best")["text_key"].alias(key)
     ).distinct()
     stay = join_same(marked.filter(~F.col(lone)), best, [id_col, key]).dropDuplicates([id_col, key])

@@ -95,6 +95,22 @@ def test_edge_rows(spark):
     assert jaccard.keep_one(df).columns == df.columns
 
 
+def test_classes_apart_whatever_their_ids(spark):
+    rows = [(None, "red green blue cyan pink"), (None, "one two three four five"), (None, "one two, three FOUR five"), (None, "a b c"), (None, " - "), (None, None)]
+    rows += [(1, "north south east west up"), (1, "spring summer autumn winter rain"), (1, "..."), (1, "north south east west up")]
+    rows += [(i, text) for i in range(2, 12) for text in (f"text number {chr(95 + i)} of some", "." * i)]
+    rows += [(0, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ours(df) == brute(rows)
+    best = {}
+    for doc, text in rows:
+        best.setdefault(grams(text), []).append(doc)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(df).collect()]
+    assert sorted((grams(t) for _, t in kept if grams(t)), key=str) == sorted((g for g in best if g), key=str)
+    assert sorted(str(r) for r in kept if not grams(r[1])) == sorted(str(r) for r in rows if not grams(r[1]))
+    assert (0, "a b c") in kept and (None, "a b c") not in kept
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)]
