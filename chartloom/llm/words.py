@@ -38,6 +38,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in UTF-8 bytes, of the characters of scripts that put no blanks between words.
+
+    Thai, Lao and Tibetan (U+0E00-0FFF), Myanmar (1000-109F), Khmer (1780-17FF), Chinese and Japanese
+    (2E80-9FFF, without Hangul's letters 3130-318F; F900-FAFF; FF66-FF9F; from 20000 on).
+    """
+    at = np.flatnonzero(data >= 0xE0)
+    if not len(at):
+        return at, at
+    lead = data[at]
+    one, two = (data[np.minimum(at + k, len(data) - 1)] for k in (1, 2))
+    point = (lead & 0xF).astype(np.int64) << 12 | (one & 0x3F).astype(np.int64) << 6 | two & 0x3F
+    three = lead < 0xF0
+    is_in = np.zeros(len(at), dtype=bool)
+    for low, high in ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x3190, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F)):
+        is_in |= three & (point >= low) & (point <= high)
+    is_in |= (lead == 0xF0) & (one >= 0xA0)
+    return at[is_in], np.minimum(at + np.where(three, 3, 4), len(data))[is_in]
+
+
+def _split(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with the characters of scripts without blanks cut out of them."""
+    first, after = unspaced(data)
+    if not len(first):
+        return starts, ends
+    after = np.minimum(after, ends[np.searchsorted(starts, first, side="right") - 1])
+    cut = np.unique(np.concatenate([starts, first, after[data[np.minimum(after, len(data) - 1)] != 0]]))
+    end = ends[np.searchsorted(starts, cut, side="right") - 1]
+    return cut, np.minimum(end, np.append(cut[1:], len(data)))
+
+
 class _Powers:
     """Powers of an odd number and of its inverse, modulo 2**64."""
 
@@ -76,13 +107,16 @@ class Scanner:
     def __init__(self) -> None:
         self.powers = _Powers()
 
-    def scan(self, texts: list[bytes | None]) -> Words:
+    def scan(self, texts: list[bytes | None], characters: bool = False) -> Words:
+        """``characters``: each character of a script without blanks is a word of its own."""
         held = [t or b"" for t in texts]
         data = FOLDED[np.frombuffer(b"\n".join(held) + b"\n", dtype=np.uint8)] if held else np.zeros(0, np.uint8)
         lengths = np.array([len(t) + 1 for t in held], dtype=np.int64)
         offsets = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64)
         edge = np.diff((data != 0).view(np.int8), prepend=np.int8(0), append=np.int8(0))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if characters:
+            starts, ends = _split(data, starts, ends)
         cuts = np.searchsorted(starts, np.append(offsets, len(data)))
         counts = np.diff(cuts)
         owner = np.repeat(np.arange(len(held)), counts)
