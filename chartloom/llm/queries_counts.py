@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.llm import divergence
+from chartloom.llm import divergence, hadamard
 from chartloom.llm.common import LOWER, UPPER, table
 from chartloom.llm.registry import query
 
@@ -47,3 +47,46 @@ FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
 @query("op12_source_divergence", AUDIT_SQL)
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def _codes_sql() -> str:
+    parts, entries = hadamard.PARTS, hadamard.ENTRIES
+    rounds = []
+    for k in range(hadamard.ROUNDS + 1):
+        rounds.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT row, part, unnest(first) FROM (
+    SELECT row, part, min({{'error': error, 'entry': entry}}) AS first FROM (
+      SELECT p.row, p.part, c.entry, list_sum(list_transform(list_zip(p.v, c.v), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS HUGEINT))) AS error
+      FROM parts p JOIN c{k} c USING (part)) GROUP BY row, part))""")
+        if k < hadamard.ROUNDS:
+            rounds.append(f"""
+m{k} AS (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY at) AS v FROM (
+    SELECT part, entry, at, sum(x) AS s, count(*) AS n
+    FROM (SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS at FROM parts JOIN a{k} USING (row, part)) GROUP BY ALL)
+  GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m USING (part, entry))""")
+    last = hadamard.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor({hadamard.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT row, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS v FROM (SELECT row, v, unnest(range(0, {parts})) AS part FROM kept)),
+c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM parts WHERE row <= {entries}),{",".join(rounds)},
+book AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, at)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS at FROM c{last})),
+coded AS (
+  SELECT row, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM a{last} GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row), book
+"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("label")
