@@ -62,9 +62,9 @@ a{k} AS MATERIALIZED (
         if k < hadamard.ROUNDS:
             rounds.append(f"""
 m{k} AS (
-  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY at) AS v FROM (
-    SELECT part, entry, at, sum(x) AS s, count(*) AS n
-    FROM (SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS at FROM parts JOIN a{k} USING (row, part)) GROUP BY ALL)
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS v FROM (
+    SELECT part, entry, pos, sum(x) AS s, count(*) AS n
+    FROM (SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS pos FROM parts JOIN a{k} USING (row, part)) GROUP BY ALL)
   GROUP BY part, entry),
 c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m USING (part, entry))""")
     last = hadamard.ROUNDS
@@ -78,8 +78,8 @@ parts AS MATERIALIZED (
   SELECT row, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS v FROM (SELECT row, v, unnest(range(0, {parts})) AS part FROM kept)),
 c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM parts WHERE row <= {entries}),{",".join(rounds)},
 book AS (
-  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, at)) AS codebooks_sha256
-  FROM (SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS at FROM c{last})),
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS pos FROM c{last})),
 coded AS (
   SELECT row, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM a{last} GROUP BY row)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
