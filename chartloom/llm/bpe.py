@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from chartloom.llm.common import ship
+
 #: No pair of neighbours has this rank.
 NONE = 1 << 60
 #: Words of more bytes go by a heap of ranks, whose work doesn't grow with the square.
@@ -181,12 +183,12 @@ def encode_texts(df: DataFrame, vocabulary_path: str, text_col: str = "text", de
     schema = T.StructType([*df.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
     if decoded:
         schema.add("decoded", T.StringType())
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary_path))
+    shared = ship(df.sparkSession, Vocabulary.load(vocabulary_path))
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        tokens = shared.value.tokens
+        vocabulary = shared()
+        encoder, tokens = Encoder(vocabulary), vocabulary.tokens
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartloom.llm.common import cut, fold
+from chartloom.llm.common import cut, fold, ship
 from chartloom.llm.words import Scanner, Words
 
 WINDOW = 10
@@ -218,19 +218,19 @@ def _pass(df: DataFrame, phrases: Phrases, text_col: str, leak: str, clean_col:
     fields = [f for f in df.schema.fields if f.name not in (leak, clean_col)]
     schema = T.StructType([*fields, T.StructField(leak, LEAK)] + ([T.StructField(clean_col, T.StringType())] if clean_col else []))
     kept = [f.name for f in fields]
-    shared = df.sparkSession.sparkContext.broadcast(phrases)
+    shared = ship(df.sparkSession, phrases)
     rows = df.select(*[df[c] for c in kept], *([] if first else [df[leak]]))
     place = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner, known = Scanner(), shared()
         for batch in batches:
             texts = batch.column(place).cast(pa.binary())
             for low, high in _shards(texts):
                 part = batch.slice(low, high - low)
                 held = texts.slice(low, high - low).to_pylist()
                 before = None if first else part.column(len(kept)).to_pylist()
-                yield _answer(scanner, part, held, before, shared.value, len(kept), schema, clean_col is not None)
+                yield _answer(scanner, part, held, before, known, len(kept), schema, clean_col is not None)
 
     return rows.mapInArrow(run, schema)
 

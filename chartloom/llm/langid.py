@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartloom.llm.common import ship
+
 DIMS = 1024
 SEED = 20_011
 UNKNOWN = "und"
@@ -180,11 +182,11 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text") -> DataF
     """
     df = df.drop("lang_pred", "score")
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast(profiles)
+    shared = ship(df.sparkSession, profiles)
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundler, known = Bundler(), shared.value
+        bundler, known = Bundler(), shared()
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
