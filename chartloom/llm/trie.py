@@ -91,10 +91,9 @@ def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "code", s
 
 
 def prefix(code: Column, depth: int) -> Column:
-    """The path from the root to the node of this depth."""
-    if depth == 0:
-        return F.lit(0).cast("long")
-    return F.shiftrightunsigned(code, BITS - depth)
+    """The path from the root to the node of this depth; in two steps, as a shift by all 64 bits is none."""
+    half = (BITS - depth) // 2
+    return F.shiftrightunsigned(F.shiftrightunsigned(code, half), BITS - depth - half)
 
 
 def node_pairs(codes: DataFrame, budget: int = BUDGET, stride: int = STRIDE, leaf: int = LEAF) -> list[tuple[int, DataFrame]]:
