@@ -45,6 +45,7 @@ from chartloom.operators.lookups import (
     patient_encounters,
 )
 from chartloom.operators.mapping import map_schema, render_items
+from chartloom.operators.open_responses import deid_records, has_field, nlp_records, ocr_records, open_fields, read_open_records
 from chartloom.operators.records import explode_records, json_safe, to_ndjson, union_all, with_ordinal
 from chartloom.operators.requests import (
     binary_to_base64,
@@ -70,12 +71,12 @@ from chartloom.operators.textops import match_text, scrub_text
 __all__ = [
     "PatientColumns", "add_geolocation", "affirmed", "annotation_star", "apply_text_model", "assemble_blobs", "assemble_documents",
     "assign_location", "binary_to_base64", "bucket_ledger", "cast_common", "cast_dates_by_name",
-    "cui_patient_counts", "cui_patient_facts", "cui_patient_first_seen", "dims_of", "doc_to_patient", "encode_payload",
+    "cui_patient_counts", "cui_patient_facts", "cui_patient_first_seen", "deid_records", "dims_of", "doc_to_patient", "encode_payload",
     "enrich", "entity_view", "entity_views", "explode_records", "extract_payload", "fetch_by_ids",
-    "flatten_annotations", "hits_to_request", "ids_csv", "incremental", "ingest_counts", "join_metadata",
+    "flatten_annotations", "has_field", "hits_to_request", "ids_csv", "incremental", "ingest_counts", "join_metadata",
     "json_records", "json_safe", "latest_by_key", "ledger_rows", "limit_batch", "lookup", "map_codes", "map_schema",
-    "match_text", "merge_counts", "merge_ocr", "not_yet_processed", "parse_deid", "parse_nlp", "parse_ocr",
-    "patient_dims", "patient_encounters", "patient_table", "render_items", "request_batches",
+    "match_text", "merge_counts", "merge_ocr", "nlp_records", "not_yet_processed", "ocr_records", "open_fields", "parse_deid", "parse_nlp", "parse_ocr",
+    "patient_dims", "patient_encounters", "patient_table", "read_open_records", "render_items", "request_batches",
     "resolve_documents", "resolve_payload", "scrub_text", "split_affirmed", "split_valid", "terms", "to_attributes",
     "to_ndjson", "to_nested_map", "to_nlp_request", "to_ocr_request", "unidentified_documents", "union_all", "unwrap_hit", "upsert",
     "with_keyword", "with_metrics", "with_ordinal",

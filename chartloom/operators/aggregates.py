@@ -61,15 +61,29 @@ def ids_csv(
 
 
 def json_records(df: DataFrame, json_col: str, field: str, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per object of ``{"records": [...]}``: the kept columns, ``position`` and the field as text.
+    """One row per object of a JSON list, or of the list under ``records``: the kept columns, ``position``, the field as text.
 
-    Text that isn't such an object, and null, hold no records.  ``ids_csv`` takes the
-    result, ordered by the kept columns and ``position``.
+    Each element is taken for itself: a number, a text or a list among the objects is
+    passed over and leaves the others whole.  ``position`` counts all elements from 0.
+    The field is the text it is written as (``14.0`` stays such); null where it is null or
+    missing.  Text that is neither list nor such an object, isn't JSON, or is null holds
+    no records.  ``ids_csv`` takes the result, ordered by the kept columns and ``position``.
     """
-    shape = T.StructType([T.StructField("records", T.ArrayType(T.StructType([T.StructField(field, T.StringType())])))])
-    parsed = F.from_json(named(json_col), shape)["records"]
-    rows = df.select(*only(df, keep), F.posexplode(parsed).alias("position", "_record"))
-    return rows.select(*only(rows, keep), "position", F.col("_record")[field].alias(field))
+    text = named(json_col)
+    value = F.try_parse_json(text)
+    # The kinds come from the parsed value, the texts from the JSON itself: parsing drops a number's zeros.
+    bare = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.when(F.ltrim(text).startswith("["), F.array().cast("array<variant>")))
+    kinds = F.coalesce(bare, F.try_variant_get(value, "$.records", "array<variant>"))
+    listed = F.from_json(text, "array<string>")
+    inside = F.from_json(text, "records array<string>")["records"]
+    raws = F.when(bare.isNotNull(), listed).otherwise(inside)
+    rows = df.select(*only(df, keep), kinds.alias("_kinds"), F.posexplode(raws).alias("position", "_raw"))
+    kind = F.schema_of_variant(F.get("_kinds", F.col("position")))
+    # A value with a key twice can't be parsed as a whole; then an element's first character tells.
+    is_object = F.coalesce(kind.startswith("OBJECT"), F.col("_raw").startswith("{"))
+    # Of a key that comes twice the last value counts.
+    held = F.from_json("_raw", T.StructType([T.StructField(field, T.StringType())]))
+    return rows.filter(is_object).select(*only(rows, keep), "position", held[field].alias(field))
 
 
 def terms(df: DataFrame, field: str, size: int | None = None) -> DataFrame:

@@ -128,7 +128,11 @@ def parse_deid(
     ``empty_text``; a result without annotations is restored when it was
     successful and ``no_annotations`` says so, else dropped; anything else is
     emitted.  A restored row is the footer, the text in ``document_text_col`` and
-    a status; in other rows footer values win over same names.
+    a status; in other rows footer values win over same names, where the footer has one.
+
+    **A footer that carries the raw text under the name of ``text_col`` puts it in the
+    place of the de-identified one.**  That is the service's contract; give ``text_col``
+    another name where it must not be.
     """
     for name, value in (("empty_text", empty_text), ("no_annotations", no_annotations)):
         if value not in (DROP, RESTORE):
@@ -148,7 +152,6 @@ def parse_deid(
 
     restored = F.col("status").isNotNull()
     footer_type = doc_type["footer"].dataType if "footer" in _fields(doc_type) else None
-    footer_names = _fields(footer_type)
     shown = annotations if keep_annotations else F.map_filter(annotations, lambda k, v: F.lit(False))
     plain_text = F.coalesce(text, F.lit(""))
     out: dict[str, Column] = {
@@ -157,8 +160,11 @@ def parse_deid(
         text_col: F.when(~restored, plain_text),
         "annotations": F.when(~restored, shown),
     }
-    for name in footer_names:
-        out[name] = doc["footer"][name]
+    known = {"service_model": kept.schema["info"].dataType, "annotations": kept.select(shown.alias("a")).schema["a"].dataType}
+    types = {f.name: f.dataType for f in doc_type.fields}
+    known |= {"timestamp": types.get("timestamp", T.StringType()), text_col: types.get("text", T.StringType())}
+    for f in footer_type.fields if isinstance(footer_type, T.StructType) else []:
+        out[f.name] = _over(out, known, f.name, doc["footer"][f.name], f.dataType)
     own = out.get(document_text_col, F.lit(None).cast("string"))
     out[document_text_col] = F.when(restored, plain_text).otherwise(own)
     out[status_col] = F.col("status")

@@ -41,6 +41,7 @@ def load_all() -> None:
         joins,
         ledgers,
         mapping,
+        open_records,
         requests,
         responses,
         streams,
