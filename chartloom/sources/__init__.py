@@ -1,6 +1,7 @@
 """Readers and writers."""
 
 from chartloom.sources.files import list_documents, read_documents
+from chartloom.sources.json_ranges import read_json_ranges
 from chartloom.sources.records import (
     POSTCODE_COLUMNS,
     decode_with_fallback,
@@ -27,7 +28,7 @@ from chartloom.sources.tables import read_high_water, read_table, write_high_wat
 
 __all__ = [
     "POSTCODE_COLUMNS", "decode_with_fallback", "dict_json", "dict_jsonl", "list_documents", "read_avro",
-    "read_csv", "read_encoded_json", "read_documents", "read_high_water", "read_json_records", "read_ndjson", "read_parquet",
+    "read_csv", "read_encoded_json", "read_documents", "read_high_water", "read_json_ranges", "read_json_records", "read_ndjson", "read_parquet",
     "read_postcodes", "read_table", "write_avro", "write_dict_json", "write_dict_jsonl", "write_failures",
     "write_high_water", "write_ndjson", "write_split", "write_upsert",
 ]

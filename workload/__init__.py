@@ -39,6 +39,7 @@ def load_all() -> None:
         cohort,
         enrichment,
         joins,
+        json_files,
         ledgers,
         mapping,
         open_records,
