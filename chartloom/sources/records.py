@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
+import importlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +24,6 @@ POSTCODE_COLUMNS: tuple[str, ...] = (
     "postcode_district", "postcode_sector", "outcode", "incode",
 )
 
-# Windows-1252 for the bytes 0x80 to 0x9F; U+FFFD marks the unused ones.
-_CP1252 = "€�‚ƒ„…†‡ˆ‰Š‹Œ�Ž��‘’“”•–—˜™š›œ�žŸ"
-
 
 def read_json_records(
     spark: SparkSession, path: str | Sequence[str], schema: Schema | None = None, name_glob: str | None = None
@@ -133,21 +133,57 @@ def require_avro(spark: SparkSession) -> None:
 def decode_with_fallback(col: Column, charsets: Sequence[str] = ("utf-8", "windows-1252")) -> Column:
     """Bytes as text by the first charset that fits; null when none does.
 
-    Native for utf-8, us-ascii, iso-8859-1 and windows-1252.
+    Any charset that Python has: utf-8, us-ascii, iso-8859-1 and all single-byte ones (by
+    their tables) natively; those of several bytes or with states (utf-16, gb18030,
+    shift_jis, iso-2022-jp, ...) by their strict decoders on Arrow batches, for values
+    that no charset before them fits.  A single-byte charset fits nearly everything, so
+    put it last.
     """
-    return F.coalesce(*[_decoded(col, c.lower()) for c in charsets])
+    text = _decoded(col, charsets[0])
+    for charset in charsets[1:]:
+        text = F.coalesce(text, _decoded(F.when(text.isNull(), col), charset))
+    return text
+
+
+#: Stands for a byte without a character in the tables of codecs.
+_NONE = "\ufffe"
+
+
+def _table(charset: str) -> str | None:
+    """The characters of a single-byte charset by byte; None for other kinds."""
+    name = codecs.lookup(charset).name.replace("-", "_")
+    try:
+        module = importlib.import_module(f"encodings.{name}")
+    except ImportError:
+        return None
+    table = getattr(module, "decoding_table", None)
+    return table if isinstance(table, str) else None
 
 
 def _decoded(col: Column, charset: str) -> Column:
-    if charset in ("utf-8", "utf8"):
+    name = codecs.lookup(charset).name
+    if name in ("utf-8", "utf-8-sig"):
         return F.when(F.is_valid_utf8(col.cast("string")), col.cast("string"))
     latin = F.decode(col, "ISO-8859-1")
-    if charset in ("us-ascii", "ascii"):
+    if name == "ascii":
         return F.when(~latin.rlike(r"[^\x00-\x7F]"), latin)
-    if charset in ("iso-8859-1", "latin-1", "latin1"):
+    if name == "iso8859-1":
         return latin
-    if charset in ("windows-1252", "cp1252"):
-        high = "".join(chr(c) for c in range(0x80, 0xA0))
-        unused = "[" + "".join(h for h, c in zip(high, _CP1252) if c == "�") + "]"
-        return F.when(~latin.rlike(unused), F.translate(latin, high, _CP1252))
-    raise ValueError(f"no native decoder for charset {charset!r}")
+    if (table := _table(name)) is not None:
+        table = table.ljust(256, _NONE)
+        moved = [b for b in range(256) if table[b] not in (chr(b), _NONE)]
+        unused = "".join(f"\\x{{{b:X}}}" for b in range(256) if table[b] == _NONE)
+        text = F.translate(latin, "".join(map(chr, moved)), "".join(table[b] for b in moved)) if moved else latin
+        return F.when(~latin.rlike(f"[{unused}]"), text) if unused else F.when(latin.isNotNull(), text)
+
+    def strict(value: bytes | None) -> str | None:
+        try:
+            text = None if value is None else bytes(value).decode(name)
+            return text if text is None else text.encode().decode()  # halves of pairs are no text
+        except UnicodeError:
+            return None
+
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(strict)
+
+    return F.pandas_udf(decode, "string")(col)

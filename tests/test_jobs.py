@@ -26,6 +26,7 @@ from chartloom.plans import (
 )
 from chartloom.sources import (
     POSTCODE_COLUMNS,
+    decode_with_fallback,
     read_avro,
     read_csv,
     read_documents,
@@ -81,6 +82,20 @@ def test_json_in_several_charsets(spark, tmp_path):
     assert {r["path"][-6:]: r["error"] for r in rows(failed)} == {"x.json": "no charset fits", "y.json": "not JSON, or not of the schema"}
 
 
+def test_text_in_any_charset(spark):
+    text = "naïve café 北京 Привет"
+    fits = {"utf-8": text, "utf-16": text, "utf-32": text, "gb18030": text, "koi8-r": "Привет", "cp1251": "Привет", "iso-8859-7": "Αθήνα",
+            "shift_jis": "日本語", "iso-2022-jp": "日本語", "euc-kr": "한국어", "big5": "中文", "cp437": "café ▒", "mac-roman": "café", "utf-7": "é+"}
+    df = spark.createDataFrame([(c, t.encode(c)) for c, t in fits.items()], "charset string, stored binary")
+    read = F.coalesce(*[decode_with_fallback(F.when(F.col("charset") == c, F.col("stored")), [c]) for c in fits])
+    assert {r["charset"]: r["text"] for r in df.select("charset", read.alias("text")).collect()} == fits
+    odd = spark.createDataFrame([(b"\xff",), (b"\xfe\x00",), (None,), (b"",), (b"\x93\xfa\x96\x7b",), (b"caf\xe9",)], "b binary")
+    read = decode_with_fallback(F.col("b"), ["us-ascii", "utf-8", "shift_jis", "cp1253"])
+    assert [r["t"] for r in odd.select(read.alias("t")).collect()] == [None, "ώ\x00", None, "", "日本", "cafι"]
+    with pytest.raises(LookupError):
+        decode_with_fallback(F.col("b"), ["no such charset"])
+
+
 def test_folders_with_odd_names(spark, tmp_path):
     for day in ("my docs/2022/08/01", "50%+é/2022/08/02"):
         folder = tmp_path / day

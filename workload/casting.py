@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +87,23 @@ def decoded(spark: SparkSession, sf: str) -> DataFrame:
     one_byte = ~F.col("text").rlike(r"[^\x00-\x7F -ÿ]")
     stored = F.when(one_byte, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     return table(spark, sf, "documents").select("doc_id", decode_with_fallback(stored).alias("text"))
+
+
+#: The documents' languages can be written in each of these.
+CHARSETS = ("utf-8", "windows-1252", "iso-8859-15", "cp850", "utf-16", "gb18030", "mac-roman")
+
+
+@F.pandas_udf("binary")
+def _encoded(texts: pd.Series, charsets: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else t.encode(c, "replace") for t, c in zip(texts, charsets)])
+
+
+@query("text_in_any_charset", "SELECT doc_id, text FROM documents")
+def any_charset(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document stored in one of several charsets, and read by its name."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    number = F.col("doc_id") % len(CHARSETS)
+    charset = F.coalesce(*[F.when(number == i, F.lit(c)) for i, c in enumerate(CHARSETS)])
+    stored = docs.select("doc_id", charset.alias("charset"), _encoded(F.col("text"), charset).alias("stored"))
+    text = F.coalesce(*[decode_with_fallback(F.when(F.col("charset") == c, F.col("stored")), [c]) for c in CHARSETS])
+    return stored.select("doc_id", text.alias("text"))
