@@ -66,6 +66,7 @@ from chartloom.operators.responses import (
     parse_ocr,
     unidentified_documents,
 )
+from chartloom.operators.textindex import match_indexed, search_index, write_text_index
 from chartloom.operators.textops import match_text, scrub_text
 
 __all__ = [
@@ -75,9 +76,9 @@ __all__ = [
     "enrich", "entity_view", "entity_views", "explode_records", "extract_payload", "fetch_by_ids",
     "flatten_annotations", "has_field", "hits_to_request", "ids_csv", "incremental", "ingest_counts", "join_metadata",
     "json_records", "json_safe", "latest_by_key", "ledger_rows", "limit_batch", "lookup", "map_codes", "map_schema",
-    "match_text", "merge_counts", "merge_ocr", "nlp_records", "not_yet_processed", "ocr_records", "open_fields", "parse_deid", "parse_nlp", "parse_ocr",
+    "match_indexed", "match_text", "merge_counts", "merge_ocr", "nlp_records", "not_yet_processed", "ocr_records", "open_fields", "parse_deid", "parse_nlp", "parse_ocr",
     "patient_dims", "patient_encounters", "patient_table", "read_open_records", "render_items", "request_batches",
-    "resolve_documents", "resolve_payload", "scrub_text", "split_affirmed", "split_valid", "terms", "to_attributes",
+    "resolve_documents", "resolve_payload", "scrub_text", "search_index", "split_affirmed", "split_valid", "terms", "to_attributes",
     "to_ndjson", "to_nested_map", "to_nlp_request", "to_ocr_request", "unidentified_documents", "union_all", "unwrap_hit", "upsert",
-    "with_keyword", "with_metrics", "with_ordinal",
+    "with_keyword", "with_metrics", "with_ordinal", "write_text_index",
 ]

@@ -45,5 +45,6 @@ def load_all() -> None:
         open_records,
         requests,
         responses,
+        stores,
         streams,
     )
