@@ -19,7 +19,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_line_dedup")
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = fuzzylines.drop_repeated_lines(docs)
+    kept = fuzzylines.drop_repeated_lines(docs, fold_digits=False)
     return kept.select("doc_id", "n_dropped", F.char_length("text").cast("long").alias("n_chars"), "text")
 
 
