@@ -1,9 +1,10 @@
 """Assembly of documents whose parts arrive in different batches.
 
-Parts wait in keyed state, one entry per sequence number.  A document is emitted
-when ``total`` different parts are there; a part that comes again as it was is passed over, one
-that comes with other bytes fails the document; with a time limit, a processing-time timer
-sends what stays incomplete to the failures.
+Parts wait in keyed state, one entry for each place, beside one value with what is known
+of the document: how many parts are there, of which kind, from where to where.  A batch
+looks up the parts it brings and no others; all are read once, when the document is whole.
+A document is emitted when ``total`` different parts are there.  With a time limit, a
+processing-time timer sends what stays incomplete to the failures.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from chartloom.functions.names import named
+from chartloom.operators.blobs import FAIL, KEEP_FIRST, KEEP_LAST
 
 _OUT = T.StructType([
     T.StructField("id", T.StringType()),
@@ -27,64 +29,93 @@ _OUT = T.StructType([
     T.StructField("blob_parts", T.LongType()),
     T.StructField("error", T.StringType()),
 ])
-_SEQ = T.StructType([T.StructField("seq", T.LongType())])
-_PART = T.StructType([T.StructField("bin", T.StringType())])
+#: Where a part stands: by its sequence number, or by its ordinal where it has none.
+_PLACE = T.StructType([T.StructField("numbered", T.BooleanType()), T.StructField("at", T.LongType())])
+_PART = T.StructType([T.StructField("bin", T.StringType()), T.StructField("ordinal", T.LongType())])
+_KNOWN = T.StructType([T.StructField(n, T.LongType()) for n in ("numbered", "unnumbered", "low", "high", "total")])
 _DONE = T.StructType([T.StructField("emitted", T.BooleanType())])
 
 
 class _Assembler(StatefulProcessor):
-    def __init__(self, timeout_ms: int | None) -> None:
-        self.timeout_ms = timeout_ms
+    def __init__(self, dup: str, ordered: bool, timeout_ms: int | None, keep_closed_ms: int | None) -> None:
+        self.dup, self.ordered, self.timeout_ms, self.keep_closed_ms = dup, ordered, timeout_ms, keep_closed_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", _SEQ, _PART)
-        self.done = handle.getValueState("done", _DONE)
+        self.parts = handle.getMapState("parts", _PLACE, _PART)
+        self.known = handle.getValueState("known", _KNOWN)
+        # Remembering a closed document for a while is enough to tell its late parts.
+        self.done = handle.getValueState("done", _DONE, self.keep_closed_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        error, total = None, None
         if self.done.exists():
             yield _row(key[0], error="part arrived after the document was closed")
             return
-        fresh = not self.parts.exists()
+        fresh = not self.known.exists()
+        known = dict(zip(_KNOWN.names, (0, 0, None, None, None) if fresh else self.known.get()))
+        error = None
         for batch in rows:
-            for seq, text, expected in zip(batch["seq"], batch["bin"], batch["total"]):
-                if seq != seq or seq is None or expected != expected or expected is None:
-                    error = "part without a sequence number or total"
-                elif self.parts.containsKey((int(seq),)):
-                    # The same part delivered again is no conflict.
-                    if self.parts.getValue((int(seq),))[0] != text:
-                        error = "duplicate sequence number"
-                else:
-                    total = int(expected)
-                    self.parts.updateValue((int(seq),), (text,))
-        held = sorted(k[0] for k in self.parts.keys())
-        if error is None and total is not None and len(held) >= total:
-            yield self._whole(key[0], held)
-        elif error is not None:
+            for seq, ordinal, text, expected in zip(batch["seq"], batch["ordinal"], batch["bin"], batch["total"]):
+                error = self._take(known, _whole(seq), _whole(ordinal), text, _whole(expected)) or error
+        here = known["numbered"] + known["unnumbered"]
+        if error is not None:
             yield _row(key[0], error=error)
+        elif known["total"] is not None and here >= known["total"]:
+            yield self._document(key[0], known)
         else:
+            self.known.update(tuple(known.values()))
             if fresh and self.timeout_ms is not None:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
             return
         self._close()
 
+    def _take(self, known: dict, seq: int | None, ordinal: int | None, text: str | None, total: int | None) -> str | None:
+        """Put a part in its place; what is wrong with it, if anything is."""
+        place = seq if seq is not None else ordinal if self.ordered else None
+        if place is None or total is None:
+            return "part without a sequence number or total"
+        known["total"] = total
+        at = (seq is not None, place)
+        if not self.parts.containsKey(at):
+            self.parts.updateValue(at, (text, ordinal))
+            known["numbered" if at[0] else "unnumbered"] += 1
+            known["low"] = place if known["low"] is None else min(known["low"], place)
+            known["high"] = place if known["high"] is None else max(known["high"], place)
+            return None
+        held, before = self.parts.getValue(at)
+        if held == text:  # the same part delivered again
+            return None
+        if not at[0]:
+            return "ordinal of a part without sequence number comes twice"
+        if self.dup == FAIL:
+            return "duplicate sequence number"
+        new, old = (ordinal, text or ""), (before, held or "")
+        if new < old if self.dup == KEEP_FIRST else new > old:
+            self.parts.updateValue(at, (text, ordinal))
+        return None
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         if not self.done.exists():
             yield _row(key[0], error="parts missing at the time limit")
             self._close()
 
-    def _whole(self, key: str, held: list[int]) -> pd.DataFrame:
-        if held[-1] - held[0] + 1 != len(held):
+    def _document(self, key: str, known: dict) -> pd.DataFrame:
+        if known["numbered"] and known["unnumbered"]:
+            return _row(key, error="sequence number on some parts only")
+        held = {k[1]: v[0] for k, v in self.parts.iterator()}
+        if any(v is None or v == "" for v in held.values()):
+            return _row(key, error="missing payload in a part")
+        if known["numbered"] and known["high"] - known["low"] + 1 != len(held):
             return _row(key, error="sequence gap")
         try:
-            payload = b"".join(base64.b64decode(self.parts.getValue((s,))[0], validate=True) for s in held)
+            payload = b"".join(base64.b64decode(held[at], validate=True) for at in sorted(held))
         except (binascii.Error, ValueError, TypeError):
             return _row(key, error="invalid base64 in a part")
         return _row(key, payload, len(held))
 
     def _close(self) -> None:
         self.parts.clear()
+        self.known.clear()
         self.done.update((True,))
         if self.timeout_ms is not None:
             for timer in list(self.handle.listTimers()):
@@ -94,26 +125,51 @@ class _Assembler(StatefulProcessor):
         pass
 
 
+def _whole(value: Any) -> int | None:
+    return None if value is None or value != value else int(value)
+
+
 def _row(key: str, payload: bytes | None = None, parts: int | None = None, error: str | None = None) -> pd.DataFrame:
     count = pd.array([parts], dtype="Int64")
     return pd.DataFrame({"id": [key], "payload": [payload], "blob_parts": count, "error": [error]})
 
 
 def stream_assemble_blobs(
-    df: DataFrame, id_col: str, seq_col: str, bin_col: str, total_col: str, timeout_ms: int | None = None
+    df: DataFrame,
+    id_col: str,
+    seq_col: str,
+    bin_col: str,
+    total_col: str,
+    timeout_ms: int | None = None,
+    ordinal_col: str | None = None,
+    dup: str = FAIL,
+    keep_closed_ms: int | None = None,
 ) -> DataFrame:
     """``id, payload, blob_parts, error`` as documents complete or run out of time.
 
     ``total_col`` says how many parts a document has.  Needs the RocksDB state
     store; state of one document is spread over map entries, one per part.
 
+    With ``ordinal_col`` a document none of whose parts has a sequence number is put
+    together in the order of its ordinals.  A part that comes again as it was is passed
+    over; one that comes with other bytes fails the document, or with ``dup`` the one with
+    the lowest (``keep_first``) or highest ordinal (``keep_last``) stays, as far as it comes
+    before the document is whole.
+
     Without ``timeout_ms`` incomplete documents wait, and an ``availableNow`` run
     ends when its input does.  With it, timers are checked in batches without data
-    too, so such a query belongs on a trigger with an interval.
+    too, so such a query belongs on a trigger with an interval.  Closed documents are
+    remembered for ``keep_closed_ms``, for ever by default; a part that comes later than
+    that begins a document anew.
     """
+    if dup not in (FAIL, KEEP_FIRST, KEEP_LAST):
+        raise ValueError(f"dup must be 'fail', 'keep_first' or 'keep_last', not {dup!r}")
+    if dup != FAIL and ordinal_col is None:
+        raise ValueError(f"dup={dup!r} needs an ordinal_col: arrival is no order")
     parts = df.select(
         named(id_col).cast("string").alias("id"),
         named(seq_col).cast("bigint").alias("seq"),
+        (named(ordinal_col) if ordinal_col else F.lit(None)).cast("bigint").alias("ordinal"),
         named(bin_col).cast("string").alias("bin"),
         named(total_col).cast("bigint").alias("total"),
     )
@@ -126,9 +182,9 @@ def stream_assemble_blobs(
         F.lit("missing document id").alias("error"),
     )
     whole = parts.filter(~nameless).groupBy("id").transformWithStateInPandas(
-        statefulProcessor=_Assembler(timeout_ms),
+        statefulProcessor=_Assembler(dup, ordinal_col is not None, timeout_ms, keep_closed_ms),
         outputStructType=_OUT,
         outputMode="Append",
-        timeMode="None" if timeout_ms is None else "ProcessingTime",
+        timeMode="None" if timeout_ms is None and keep_closed_ms is None else "ProcessingTime",
     )
     return whole.unionByName(unnamed)

@@ -332,3 +332,67 @@ def test_stream_assembly_time_limit(spark, tmp_path, rocksdb):
     finally:
         query.stop()
     assert [(r["id"], r["error"]) for r in seen] == [("a", "parts missing at the time limit")]
+
+
+ORDERED = "id string, seq long, bin string, total long, ordinal long"
+
+
+def ordered_file(spark, source, parts):
+    made = [(d, s, None if b is None else base64.b64encode(b.encode()).decode(), n, o) for d, s, b, n, o in parts]
+    spark.createDataFrame(made, ORDERED).coalesce(1).write.mode("append").parquet(str(source))
+
+
+@pytest.mark.parametrize("dup", ["fail", "keep_first", "keep_last"])
+def test_stream_assembly_orders_and_copies(spark, tmp_path, rocksdb, dup):
+    source, out = tmp_path / "in", tmp_path / "out"
+
+    def drain():
+        parts = stream_documents(spark, str(source), ORDERED, max_files=1)
+        whole = stream_assemble_blobs(parts, "id", "seq", "bin", "total", ordinal_col="ordinal", dup=dup)
+        run_stream(whole, lambda b: (b.filter("error IS NULL"), b.filter("error IS NOT NULL")), f"{out}/good", f"{out}/failed", f"{out}/state").awaitTermination()
+
+    # c: copies of part 1 in two batches; n: no numbers; m: a number on one part only; e: nothing in a part.
+    ordered_file(spark, source, [("c", 1, "second", 2, 5), ("n", None, "b", 2, 20), ("m", 1, "x", 2, 1), ("e", 1, None, 1, 1), ("t", None, "x", 3, 7)])
+    drain()
+    ordered_file(spark, source, [("c", 1, "first", 2, 3), ("c", 1, "first", 2, 3), ("n", None, "a", 2, 10), ("m", None, "y", 2, 2), ("t", None, "y", 3, 7)])
+    drain()
+    ordered_file(spark, source, [("c", 2, "!", 2, 9), ("n", None, "a", 2, 10)])
+    drain()
+    good = {r["id"]: bytes(r["payload"]).decode() for r in rows(read_batches(spark, f"{out}/good"))}
+    late = "part arrived after the document was closed"
+    failed = sorted((r["id"], r["error"]) for r in rows(read_batches(spark, f"{out}/failed")))
+    want = [("e", "missing payload in a part"), ("m", "sequence number on some parts only"), ("n", late), ("t", "ordinal of a part without sequence number comes twice")]
+    if dup == "fail":
+        assert good == {"n": "ab"} and failed == sorted([*want, ("c", "duplicate sequence number"), ("c", late)])
+    else:
+        assert good == {"n": "ab", "c": "first!" if dup == "keep_first" else "second!"} and failed == want
+
+
+def test_stream_assembly_needs_an_order_for_copies(spark):
+    df = spark.createDataFrame([], ORDERED)
+    with pytest.raises(ValueError, match="ordinal_col"):
+        stream_assemble_blobs(df, "id", "seq", "bin", "total", dup="keep_last")
+    with pytest.raises(ValueError, match="dup"):
+        stream_assemble_blobs(df, "id", "seq", "bin", "total", ordinal_col="ordinal", dup="none")
+
+
+def test_closed_documents_are_forgotten_in_time(spark, tmp_path, rocksdb):
+    source, out = tmp_path / "in", tmp_path / "out"
+    part_file(spark, source, [("a", 1, "x", 1)])
+    parts = stream_documents(spark, str(source), PARTS)
+    whole = stream_assemble_blobs(parts, "id", "seq", "bin", "total", keep_closed_ms=2000)
+    seen = []
+    query = (
+        whole.writeStream.foreachBatch(lambda b, i: seen.extend(rows(b))).option("checkpointLocation", str(out)).trigger(processingTime="1 second").start()
+    )
+    try:
+        for n in (1, 2):
+            until = time.time() + 60
+            while len(seen) < n and time.time() < until:
+                time.sleep(0.5)
+            time.sleep(3)
+            if n == 1:
+                part_file(spark, source, [("a", 1, "x", 1)])
+    finally:
+        query.stop()
+    assert [(r["id"], r["error"]) for r in seen] == [("a", None), ("a", None)]
