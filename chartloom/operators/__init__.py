@@ -18,6 +18,7 @@ from chartloom.operators.cohort import (
     dims_of,
     doc_to_patient,
     merge_counts,
+    nameless_patients,
     patient_dims,
     patient_table,
     split_affirmed,
@@ -76,7 +77,7 @@ __all__ = [
     "enrich", "entity_view", "entity_views", "explode_records", "extract_payload", "fetch_by_ids",
     "flatten_annotations", "has_field", "hits_to_request", "ids_csv", "incremental", "ingest_counts", "join_metadata",
     "json_records", "json_safe", "latest_by_key", "ledger_rows", "limit_batch", "lookup", "map_codes", "map_schema",
-    "match_indexed", "match_text", "merge_counts", "merge_ocr", "nlp_records", "not_yet_processed", "ocr_records", "open_fields", "parse_deid", "parse_nlp", "parse_ocr",
+    "match_indexed", "match_text", "merge_counts", "merge_ocr", "nameless_patients", "nlp_records", "not_yet_processed", "ocr_records", "open_fields", "parse_deid", "parse_nlp", "parse_ocr",
     "patient_dims", "patient_encounters", "patient_table", "read_open_records", "render_items", "request_batches",
     "resolve_documents", "resolve_payload", "scrub_text", "search_index", "split_affirmed", "split_valid", "terms", "to_attributes",
     "to_ndjson", "to_nested_map", "to_nlp_request", "to_ocr_request", "unidentified_documents", "union_all", "unwrap_hit", "upsert",

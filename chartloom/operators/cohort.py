@@ -192,8 +192,8 @@ def patient_table(
     """One row per patient: ``patient, sex, ethnicity, dob, dod, age, has_dates``.
 
     The last record (highest ordinal) of a patient gives sex and ethnicity; the
-    last one whose dates can be read gives the dates and the age.  One shuffle on
-    the patient, combined on the map side.  ``ethnicity_map`` has columns
+    last one whose dates can be read gives the dates and the age.  Records without a
+    patient are ``nameless_patients``.  One shuffle on the patient, combined on the map side.  ``ethnicity_map`` has columns
     ``code, label``.
     """
     rows = _patient_rows(records, cols, epoch_default, death_when)
@@ -202,10 +202,11 @@ def patient_table(
         "patient", "ethnicity", "sex", "bad", "ordinal",
         ts_to_int(F.col("dob")).alias("dob"), ts_to_int(dod).alias("dod"), age.alias("age"),
     )
-    order = F.col("ordinal")
+    # Of equal ordinals the greater values win, so that a rerun gives the same rows.
+    who, dates = ("ethnicity", "sex"), ("dob", "dod", "age")
     latest = rows.groupBy("patient").agg(
-        F.max_by(F.struct("ethnicity", "sex"), order).alias("who"),
-        F.max_by(F.struct("dob", "dod", "age"), F.when(~F.col("bad"), order)).alias("dates"),
+        F.max_by(F.struct(*who), F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", *who))).alias("who"),
+        F.max_by(F.struct(*dates), F.when(~F.col("bad") & F.col("ordinal").isNotNull(), F.struct("ordinal", *dates))).alias("dates"),
     )
     flat = latest.select(
         "patient", "who.sex", "who.ethnicity", "dates.dob", "dates.dod", "dates.age", F.col("dates").isNotNull().alias("has_dates")
@@ -239,7 +240,12 @@ def doc_to_patient(records: DataFrame, cols: PatientColumns = PatientColumns())
     """``docid, patient`` of records with readable dates; the last record of a document wins."""
     rows = _patient_rows(records, cols, False, "absent")
     usable = rows.filter(~F.col("bad") & F.col("docid").isNotNull())
-    return usable.groupBy("docid").agg(F.max_by("patient", "ordinal").alias("patient"))
+    return usable.groupBy("docid").agg(F.max_by("patient", F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", "patient"))).alias("patient"))
+
+
+def nameless_patients(records: DataFrame, cols: PatientColumns = PatientColumns()) -> DataFrame:
+    """The records that no table has, because they name no patient, with ``error``."""
+    return records.filter(named(cols.patient).isNull()).withColumn("error", F.lit("record without a patient"))
 
 
 def patient_dims(

@@ -43,9 +43,10 @@ def add_geolocation(
     postcode or no match gives null; coordinates that are not numbers give null
     and mark the row as an error.
     """
-    latest = places.groupBy(named(key_col).alias("_place")).agg(
-        F.max_by(F.struct(named(lat_col).alias("lat"), named(lon_col).alias("lon")), named(ordinal_col)).alias("_at")
-    )
+    at = F.struct(named(lat_col).alias("lat"), named(lon_col).alias("lon"))
+    # Of equal ordinals the greater place wins, so that a rerun gives the same rows.
+    order = F.when(named(ordinal_col).isNotNull(), F.struct(named(ordinal_col), named(lat_col), named(lon_col)))
+    latest = places.groupBy(named(key_col).alias("_place")).agg(F.max_by(at, order).alias("_at"))
     table = latest.select("_place", F.lit(True).alias("_hit"), geo_string(F.col("_at.lat"), F.col("_at.lon")).alias("_geo"))
     code = F.replace(named(postcode_col).cast("string"), F.lit(" "), F.lit(""))
     key = F.when(named(postcode_col).cast("string") != "", code)

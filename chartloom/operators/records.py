@@ -22,8 +22,8 @@ def only(df: DataFrame, names: Iterable[str]) -> list[Column]:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """A hash of the whole row: stable on a retry, spread evenly (maps cannot be hashed)."""
-    return F.xxhash64(*only(df, [f.name for f in df.schema.fields if not _has_map(f.dataType)]))
+    """A hash of the whole row: stable on a retry, spread evenly; maps, which can't be hashed, by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(named(f.name))) if _has_map(f.dataType) else named(f.name) for f in df.schema.fields])
 
 
 def _has_map(dtype: T.DataType) -> bool:

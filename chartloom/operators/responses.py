@@ -234,7 +234,10 @@ def unidentified_documents(df: DataFrame, kind: str = "keyed", id_col: str = "_i
 
 
 def merge_ocr(source: DataFrame, ocr: DataFrame, key: str, result_col: str = "result", ocr_key: Column | None = None) -> DataFrame:
-    """Source columns plus ``text``, ``ocr_metadata`` and ``ocr_timestamp``."""
+    """Source columns plus ``text``, ``ocr_metadata`` and ``ocr_timestamp``.
+
+    An inner join: a source row without an answer isn't in the result, one with several is there for each.
+    """
     result = named(result_col)
     answers = ocr.select(
         (ocr_key if ocr_key is not None else named(key)).alias(key),

@@ -38,6 +38,7 @@ def load_all() -> None:
         casting,
         cohort,
         enrichment,
+        files,
         joins,
         json_files,
         ledgers,
