@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +35,12 @@ def enrich(
     response_schema: str,
     batch_size: int = 100,
     retries: int = 2,
+    in_flight: int = 1,
+    per_second: float | None = None,
+    backoff: float = 0.0,
+    breaker: int | None = None,
+    pause: float = 30.0,
+    request_key: str | None = None,
 ) -> DataFrame:
     """Add the answer's columns and ``error`` (null when the call went well).
 
@@ -41,6 +51,14 @@ def enrich(
     ``response_schema`` is a failure like any other.  Only ``request_cols`` travel to
     Python: all other columns stay where they are.
 
+    A task keeps up to ``in_flight`` calls under way, in threads, and gives the answers in
+    the order of the rows.  It begins at most ``per_second`` calls a second (the cluster as
+    many times that as it runs tasks) and waits ``backoff`` seconds before the first retry,
+    twice as long before each other.  After ``breaker`` failed calls in a row it calls no
+    more for ``pause`` seconds: rows that come meanwhile fail with an error that says so.
+    Then one call decides.  ``request_key`` names a column that the call gets besides: a hash
+    of the request, the same whenever it is sent, by which a service can tell a repeat.
+
     The result is one frame on purpose: splitting it in two would send every
     record twice.  Write or checkpoint it, then take it apart with
     ``plans.transform.split_failed``.
@@ -53,24 +71,77 @@ def enrich(
     shape = to_arrow_type(T.StructType(fields))
     columns = list(request_cols)
 
+    sent = [named(c).alias(f"r{i}") for i, c in enumerate(columns)]
+    if request_key is not None:
+        sent.append(F.sha2(F.to_json(F.struct(*sent), {"ignoreNullFields": "false"}), 256).alias("key"))
+        columns.append(request_key)
+
     @F.arrow_udf(T.StructType(fields))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        call = make_client()
-        for requests in batches:
-            rows = pa.RecordBatch.from_struct_array(requests).to_pandas(types_mapper=_NULLABLE.get)
-            rows.columns = columns
-            pieces = [_answered(call, rows.iloc[i : i + batch_size].reset_index(drop=True), shape, retries) for i in range(0, len(rows), batch_size)]
-            yield pa.concat_arrays(pieces) if pieces else pa.array([], shape)
-
-    request = F.struct(*[named(c).alias(f"r{i}") for i, c in enumerate(columns)])
+        gate = _Gate(make_client(), per_second, breaker, pause)
+
+        def answer(piece: pd.DataFrame) -> pa.Array:
+            return _answered(gate, piece, shape, retries, backoff)
+
+        with ThreadPoolExecutor(max_workers=in_flight) as pool:
+            for requests in batches:
+                rows = pa.RecordBatch.from_struct_array(requests).to_pandas(types_mapper=_NULLABLE.get)
+                rows.columns = columns
+                pieces: list[pa.Array] = []
+                waiting: deque[Future[pa.Array]] = deque()
+                for i in range(0, len(rows), batch_size):
+                    if len(waiting) == in_flight:
+                        pieces.append(waiting.popleft().result())
+                    waiting.append(pool.submit(answer, rows.iloc[i : i + batch_size].reset_index(drop=True)))
+                pieces += [call.result() for call in waiting]
+                yield pa.concat_arrays(pieces) if pieces else pa.array([], shape)
+
+    request = F.struct(*sent)
     # Marked so that a later filter doesn't send every record twice.
     called = df.select(*only(df, [c for c in df.columns if c != "error"]), run.asNondeterministic()(request).alias("_answer"))
     return called.select(*only(called, called.columns[:-1]), *[F.col("_answer")[f.name].alias(f.name) for f in fields])
 
 
-def _answered(call: ServiceCall, piece: pd.DataFrame, shape: pa.StructType, retries: int) -> pa.Array:
+class _Closed(Exception):
+    """A call that was not made."""
+
+
+class _Gate:
+    """A service's call, with a limit on how often it is begun and a breaker; one for all threads of a task."""
+
+    def __init__(self, call: ServiceCall, per_second: float | None, breaker: int | None, pause: float) -> None:
+        self.call, self.gap, self.breaker, self.pause = call, 1 / per_second if per_second else 0.0, breaker, pause
+        self.lock, self.next_at, self.failed, self.closed_until = threading.Lock(), 0.0, 0, 0.0
+
+    def __call__(self, piece: pd.DataFrame) -> pd.DataFrame:
+        with self.lock:
+            now = time.monotonic()
+            if self.breaker is not None and self.failed >= self.breaker:
+                if now < self.closed_until:
+                    raise _Closed(f"not called: {self.failed} calls in a row had failed")
+                self.closed_until = now + self.pause  # this call is the one that decides
+            self.next_at = max(now, self.next_at) + self.gap
+            wait = self.next_at - self.gap - now
+        if wait > 0:
+            time.sleep(wait)
+        try:
+            answer = self.call(piece)
+        except Exception:
+            with self.lock:
+                self.failed += 1
+                if self.breaker is not None and self.failed == self.breaker:
+                    self.closed_until = time.monotonic() + self.pause
+            raise
+        with self.lock:
+            self.failed = 0
+        return answer
+
+
+def _answered(call: ServiceCall, piece: pd.DataFrame, shape: pa.StructType, retries: int, backoff: float = 0.0) -> pa.Array:
     failure, answers = "", list(shape)[:-1]
-    for _ in range(retries + 1):
+    for n in range(retries + 1):
+        if n and backoff:
+            time.sleep(backoff * 2 ** (n - 1))
         try:
             answer = call(piece)
             if len(answer) != len(piece):
@@ -78,6 +149,9 @@ def _answered(call: ServiceCall, piece: pd.DataFrame, shape: pa.StructType, retr
             got = [pa.Array.from_pandas(answer[f.name], type=f.type) for f in answers]
             got = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in got]
             return pa.StructArray.from_arrays([*got, pa.nulls(len(piece), pa.string())], fields=list(shape))
+        except _Closed as exc:
+            failure = str(exc)
+            return pa.array([dict.fromkeys(f.name for f in answers) | {"error": failure}] * len(piece), shape)
         except Exception as exc:  # the service may raise anything; it becomes a failed row
             failure = f"{type(exc).__name__}: {exc}"
     if len(piece) == 1:

@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chartloom.operators import apply_text_model, assign_location, enrich
 from workload import query
@@ -31,6 +32,38 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
     return enrich(docs, _word_counter, ["doc_id", "text"], "n_words long", batch_size=20, retries=1).drop("text")
 
 
+def _slow_counter():  # noqa: ANN202
+    """Answers late, fails the first time it sees every fifth request, and never answers some."""
+    import threading
+    import time
+
+    seen, lock, words = set(), threading.Lock(), re.compile("[a-z]+")
+
+    def call(batch: pd.DataFrame) -> pd.DataFrame:
+        time.sleep(0.002 * (len(batch) % 3))
+        with lock:
+            new = [k for k in batch["sent"] if k not in seen]
+            seen.update(new)
+        if any(int(k[:8], 16) % 5 == 0 for k in new):
+            raise ConnectionError("try again")
+        if (batch["doc_id"] % 97 == 0).any():
+            raise RuntimeError("cannot read this one")
+        return pd.DataFrame({"n_words": [len(words.findall(t)) for t in batch["text"]], "key": batch["sent"]})
+
+    return call
+
+
+@query("enriched_in_flight", """
+SELECT doc_id, CASE WHEN doc_id % 97 <> 0 THEN len(regexp_extract_all(text, '[a-z]+')) END AS n_words, doc_id % 97 <> 0 AS same_key,
+  CASE WHEN doc_id % 97 = 0 THEN 'RuntimeError: cannot read this one' END AS error FROM documents""")
+def in_flight(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight calls under way at a time; the answer says which request it is for."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    called = enrich(docs, _slow_counter, ["doc_id", "text"], "n_words long, key string", batch_size=7, retries=2, in_flight=8, request_key="sent")
+    mine = F.sha2(F.to_json(F.struct(F.col("doc_id").alias("r0"), F.col("text").alias("r1"))), 256)
+    return called.select("doc_id", "n_words", F.coalesce(F.col("key") == mine, F.lit(False)).alias("same_key"), "error")
+
+
 def _masker():  # noqa: ANN202
     def model(texts: pd.Series) -> pd.Series:
         return texts.str.replace("[0-9]", "#", regex=True) + "|"
