@@ -18,11 +18,16 @@ WINDOW = 8
 # Fixed values of the line rules.
 MARKS = r"[#*$%&|<>~^=_\\{}\[\]@+]"
 SHOUTS = r"[!?][!?]+"
-SENTENCE_MARKS = r"[.!?,;:…。！？؟]"
+# Marks that end or part sentences: Latin, Greek and Cyrillic; Chinese and Japanese; Arabic, Persian and Urdu; Indic;
+# Armenian; Ethiopic; Burmese; Tibetan; Khmer.
+SENTENCE_MARKS = r"[.!?,;:…·。、，！？；：．؟،؛۔।॥։՞՝።፣፤፥፧၊။།༎។៕]"
 SEPARATORS = r" [|»›•·>] | [|»›•·>]$|^[|»›•·>] "
 BOILERPLATE = (
     r"(?i)all rights reserved|cookie|privacy policy|terms of (use|service)|licensed under|released under the"
     r"|click here|sign (in|up)\b|log ?in\b|subscribe|javascript|copyright|©"
+    r"|alle rechte vorbehalten|datenschutzerkl[äÄ]rung|hier klicken"
+    r"|tous droits r[éÉe]serv[éÉe]s|politique de confidentialit[éÉe]|cliquez ici"
+    r"|todos los derechos reservados|pol[íÍi]tica de privacidad|haga clic"
 )
 MARK_SHARE = 15  # per cent of a line's characters
 SHOUT_WORDS = 4  # at least one shout for so many words

@@ -181,3 +181,13 @@ def test_shard_query(spark, sf):
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
         total[r["shard"]] += r["size"]
     assert max(total) - min(total) <= 2 * max(r["size"] for r in got)
+
+
+def test_quality_in_other_scripts(spark):
+    hindi = "यह एक साधारण वाक्य है जिसमें कई शब्द हैं और यह दंड से समाप्त होता है। दूसरा वाक्य भी वैसा ही साधारण है।"
+    arabic = "هذه جملة عادية فيها كلمات كثيرة تكفي لكي تكون طويلة، ثم تأتي جملة أخرى بعدها كما هو معتاد في النصوص الطويلة"
+    german = "Alle Rechte vorbehalten durch den Verlag und seine Partner im Inland und im Ausland."
+    plain = "Der Brief kam am Morgen, und alle lasen ihn mit Freude am runden Tisch im Garten."
+    got = judged(spark, [f"{hindi}\n{hindi[:-1]} फिर।", f"{arabic}\n{arabic} أيضا", f"{plain}\n{german}", f"{plain}\nTous droits réservés, 2020\n{plain} Oui."])
+    assert [r["n_removed_lines"] for r in got] == [0, 0, 1, 1]
+    assert got[0]["lost_chars"] == got[1]["lost_chars"] == 0
