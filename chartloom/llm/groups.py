@@ -73,6 +73,22 @@ def in_blocks(grouped: DataFrame, block: int = BLOCK) -> DataFrame:
     return grouped.join(sizes, "component")
 
 
+def _met(members: DataFrame) -> DataFrame:
+    """``members`` (component, blocks, id, ...) once for each two blocks of their component, which end up in one task, in order."""
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *members.columns,
+        F.least("mine", "other").alias("low"),
+        F.greatest("mine", "other").alias("high"),
+        (F.col("mine") > F.col("other")).cast("int").alias("side"),
+    )
+    # Sorted partitions are read as one stream: most groups are pairs, too small for a batch each.
+    return met.repartition(*WHERE).sortWithinPartitions(*WHERE)
+
+
+WHERE = ["component", "low", "high"]
+
+
 def compare_groups(members: DataFrame, compare: Callable[[pa.Table, bool], pa.Table], schema: str) -> DataFrame:
     """``compare`` on all pairs of members of a component, block by block.
 
@@ -81,47 +97,36 @@ def compare_groups(members: DataFrame, compare: Callable[[pa.Table, bool], pa.Ta
     rows with a column ``side`` (0 or 1; all 0 where a block meets itself) and whether
     to compare across sides only; it returns per-member rows, never pairs.
     """
-    dealt = members.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        *members.columns,
-        F.least("mine", "other").alias("low"),
-        F.greatest("mine", "other").alias("high"),
-        (F.col("mine") > F.col("other")).cast("int").alias("side"),
-    )
 
-    where = ["component", "low", "high"]
+    def one_by_one(rows: pa.Table, ends: list[int]) -> pa.Table:
+        across = (rows.column("low").to_numpy() != rows.column("high").to_numpy()).tolist()
+        return pa.concat_tables([compare(rows.slice(low, high - low), across[low]) for low, high in zip([0, *ends], ends)])
+
+    return compare_many(members, one_by_one, schema)
+
+
+def compare_many(members: DataFrame, compare: Callable[[pa.Table, list[int]], pa.Table], schema: str) -> DataFrame:
+    """Like ``compare_groups``; ``compare`` gets the rows of many pairs of blocks at once, and where each ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []  # one pair of blocks at most, whose end isn't read yet
+        held: pa.Table | None = None  # one pair of blocks at most, whose end isn't read yet
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            ends = _ends(held[-1:], rows, where)
-            low, found = 0, []
-            for end in ends:
-                found.append(_compared(pa.concat_tables([*held, rows.slice(low, end - low)])))
-                held, low = [], end
-            if low < len(rows):
-                held.append(rows.slice(low))
-            if found:
-                yield from pa.concat_tables(found).combine_chunks().to_batches()
-        if held:
-            yield from _compared(pa.concat_tables(held)).to_batches()
-
-    def _compared(rows: pa.Table) -> pa.Table:
-        return compare(rows, rows.column("low")[0].as_py() != rows.column("high")[0].as_py())
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            ends = _ends(rows)
+            if ends:
+                yield from compare(rows.slice(0, ends[-1]), ends).combine_chunks().to_batches()
+            held = rows.slice(ends[-1] if ends else 0)
+        if held is not None and len(held):
+            yield from compare(held, [len(held)]).combine_chunks().to_batches()
 
-    # Sorted partitions are read as one stream: most groups are pairs, too small for a batch each.
-    return met.repartition(*where).sortWithinPartitions(*where).mapInArrow(run, schema)
+    return _met(members).mapInArrow(run, schema)
 
 
-def _ends(held: list[pa.Table], rows: pa.Table, where: list[str]) -> list[int]:
-    """Places in ``rows`` that another group begins at; 0 where it begins after the rows held."""
-    if not len(rows):
-        return []
+def _ends(rows: pa.Table) -> list[int]:
+    """Places in ``rows`` that another group begins at."""
     new = np.zeros(len(rows), dtype=bool)
-    for name in where:
+    for name in WHERE:
         values = rows.column(name).to_numpy()
         new[1:] |= values[1:] != values[:-1]
-        if held:
-            new[0] |= held[-1].column(name)[-1].as_py() != values[0]
     return np.flatnonzero(new).tolist()
