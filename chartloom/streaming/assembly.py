@@ -1,8 +1,10 @@
 """Assembly of documents whose parts arrive in different batches.
 
-Parts wait in keyed state, one entry for each place, beside one value with what is known
-of the document: how many parts are there, of which kind, from where to where.  A batch
-looks up the parts it brings and no others; all are read once, when the document is whole.
+Parts wait in keyed state, one entry for each ``PLACES`` places, beside one value with what
+is known of the document: how many parts are there, of which kind, from where to where.  A
+batch reads and writes the entries it has parts for, once each, and no others; the rest is
+read once, when the document is whole.  A document that arrives whole leaves nothing but
+the mark that it is closed.
 A document is emitted when ``total`` different parts are there.  With a time limit, a
 processing-time timer sends what stays incomplete to the failures.
 """
@@ -14,8 +16,7 @@ import binascii
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,9 +30,12 @@ _OUT = T.StructType([
     T.StructField("blob_parts", T.LongType()),
     T.StructField("error", T.StringType()),
 ])
+#: Places that share an entry of state: a call for so many parts, and no more written again for one that comes alone.
+PLACES = 32
 #: Where a part stands: by its sequence number, or by its ordinal where it has none.
-_PLACE = T.StructType([T.StructField("numbered", T.BooleanType()), T.StructField("at", T.LongType())])
-_PART = T.StructType([T.StructField("bin", T.StringType()), T.StructField("ordinal", T.LongType())])
+_BLOCK = T.StructType([T.StructField("numbered", T.BooleanType()), T.StructField("block", T.LongType())])
+_PART = T.StructType([T.StructField("at", T.LongType()), T.StructField("bin", T.StringType()), T.StructField("ordinal", T.LongType())])
+_PARTS = T.StructType([T.StructField("parts", T.ArrayType(_PART))])
 _KNOWN = T.StructType([T.StructField(n, T.LongType()) for n in ("numbered", "unnumbered", "low", "high", "total")])
 _DONE = T.StructType([T.StructField("emitted", T.BooleanType())])
 
@@ -42,67 +46,80 @@ class _Assembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", _PLACE, _PART)
+        self.parts = handle.getMapState("parts", _BLOCK, _PARTS)
         self.known = handle.getValueState("known", _KNOWN)
         # Remembering a closed document for a while is enough to tell its late parts.
         self.done = handle.getValueState("done", _DONE, self.keep_closed_ms)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if self.done.exists():
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        before = self.known.get()
+        fresh = before is None
+        if fresh and self.done.exists():
             yield _row(key[0], error="part arrived after the document was closed")
             return
-        fresh = not self.known.exists()
-        known = dict(zip(_KNOWN.names, (0, 0, None, None, None) if fresh else self.known.get()))
+        known = dict(zip(_KNOWN.names, (0, 0, None, None, None) if before is None else before))
+        blocks: dict[tuple[bool, int], dict[int, tuple]] = {}
         error = None
-        for batch in rows:
-            for seq, ordinal, text, expected in zip(batch["seq"], batch["ordinal"], batch["bin"], batch["total"]):
-                error = self._take(known, _whole(seq), _whole(ordinal), text, _whole(expected)) or error
+        for row in rows:
+            error = self._take(known, blocks, fresh, row["seq"], row["ordinal"], row["bin"], row["total"]) or error
         here = known["numbered"] + known["unnumbered"]
         if error is not None:
             yield _row(key[0], error=error)
         elif known["total"] is not None and here >= known["total"]:
-            yield self._document(key[0], known)
+            yield self._document(key[0], known, blocks)
         else:
+            for block, held in blocks.items():
+                self.parts.updateValue(block, ([(at, *part) for at, part in held.items()],))
             self.known.update(tuple(known.values()))
             if fresh and self.timeout_ms is not None:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
             return
-        self._close()
+        self._close(fresh)
 
-    def _take(self, known: dict, seq: int | None, ordinal: int | None, text: str | None, total: int | None) -> str | None:
+    def _take(
+        self, known: dict, blocks: dict, fresh: bool, seq: int | None, ordinal: int | None, text: str | None, total: int | None
+    ) -> str | None:
         """Put a part in its place; what is wrong with it, if anything is."""
         place = seq if seq is not None else ordinal if self.ordered else None
         if place is None or total is None:
             return "part without a sequence number or total"
         known["total"] = total
-        at = (seq is not None, place)
-        if not self.parts.containsKey(at):
-            self.parts.updateValue(at, (text, ordinal))
-            known["numbered" if at[0] else "unnumbered"] += 1
+        numbered = seq is not None
+        block = numbered, place // PLACES
+        if block not in blocks:
+            stored = None if fresh else self.parts.getValue(block)
+            blocks[block] = {} if stored is None else _held(stored)
+        parts = blocks[block]
+        if place not in parts:
+            parts[place] = text, ordinal
+            known["numbered" if numbered else "unnumbered"] += 1
             known["low"] = place if known["low"] is None else min(known["low"], place)
             known["high"] = place if known["high"] is None else max(known["high"], place)
             return None
-        held, before = self.parts.getValue(at)
+        held, before = parts[place]
         if held == text:  # the same part delivered again
             return None
-        if not at[0]:
+        if not numbered:
             return "ordinal of a part without sequence number comes twice"
         if self.dup == FAIL:
             return "duplicate sequence number"
         new, old = (ordinal, text or ""), (before, held or "")
         if new < old if self.dup == KEEP_FIRST else new > old:
-            self.parts.updateValue(at, (text, ordinal))
+            parts[place] = text, ordinal
         return None
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         if not self.done.exists():
             yield _row(key[0], error="parts missing at the time limit")
-            self._close()
+            self._close(False)
 
-    def _document(self, key: str, known: dict) -> pd.DataFrame:
+    def _document(self, key: str, known: dict, blocks: dict) -> Row:
         if known["numbered"] and known["unnumbered"]:
             return _row(key, error="sequence number on some parts only")
-        held = {k[1]: v[0] for k, v in self.parts.iterator()}
+        here = [blocks]
+        if sum(map(len, blocks.values())) < known["numbered"] + known["unnumbered"]:
+            here.append({k: _held(v) for k, v in ((tuple(k), v) for k, v in self.parts.iterator()) if k not in blocks})
+        held = {at: part[0] for some in here for parts in some.values() for at, part in parts.items()}
         if any(v is None or v == "" for v in held.values()):
             return _row(key, error="missing payload in a part")
         if known["numbered"] and known["high"] - known["low"] + 1 != len(held):
@@ -113,9 +130,10 @@ class _Assembler(StatefulProcessor):
             return _row(key, error="invalid base64 in a part")
         return _row(key, payload, len(held))
 
-    def _close(self) -> None:
-        self.parts.clear()
-        self.known.clear()
+    def _close(self, fresh: bool) -> None:
+        if not fresh:
+            self.parts.clear()
+            self.known.clear()
         self.done.update((True,))
         if self.timeout_ms is not None:
             for timer in list(self.handle.listTimers()):
@@ -125,13 +143,13 @@ class _Assembler(StatefulProcessor):
         pass
 
 
-def _whole(value: Any) -> int | None:
-    return None if value is None or value != value else int(value)
+def _held(stored: tuple) -> dict[int, tuple]:
+    """The parts of an entry by their places."""
+    return {at: (text, ordinal) for at, text, ordinal in stored[0]}
 
 
-def _row(key: str, payload: bytes | None = None, parts: int | None = None, error: str | None = None) -> pd.DataFrame:
-    count = pd.array([parts], dtype="Int64")
-    return pd.DataFrame({"id": [key], "payload": [payload], "blob_parts": count, "error": [error]})
+def _row(key: str, payload: bytes | None = None, parts: int | None = None, error: str | None = None) -> Row:
+    return Row(id=key, payload=payload, blob_parts=parts, error=error)
 
 
 def stream_assemble_blobs(
@@ -148,7 +166,7 @@ def stream_assemble_blobs(
     """``id, payload, blob_parts, error`` as documents complete or run out of time.
 
     ``total_col`` says how many parts a document has.  Needs the RocksDB state
-    store; state of one document is spread over map entries, one per part.
+    store; state of one document is spread over map entries, one for each ``PLACES`` parts.
 
     With ``ordinal_col`` a document none of whose parts has a sequence number is put
     together in the order of its ordinals.  A part that comes again as it was is passed
@@ -181,7 +199,7 @@ def stream_assemble_blobs(
         F.lit(None).cast("bigint").alias("blob_parts"),
         F.lit("missing document id").alias("error"),
     )
-    whole = parts.filter(~nameless).groupBy("id").transformWithStateInPandas(
+    whole = parts.filter(~nameless).groupBy("id").transformWithState(
         statefulProcessor=_Assembler(dup, ordinal_col is not None, timeout_ms, keep_closed_ms),
         outputStructType=_OUT,
         outputMode="Append",

@@ -60,14 +60,21 @@ def run_stream(
 ) -> StreamingQuery:
     """Run a batch transform over a stream and write good and failed rows apart.
 
-    The two writes compute the transform twice; see ``run_tagged`` for costly ones.
+    What the stream itself works out, such as keyed state, is worked out once and kept for
+    both writes.  They compute ``apply`` twice; see ``run_tagged`` for costly ones.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         good, failed = apply(batch)
-        good.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-        if failed is not None:
+        if failed is None:
+            good.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+            return
+        batch.persist()
+        try:
+            good.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
             failed.write.mode("overwrite").parquet(f"{failures}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

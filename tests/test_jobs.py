@@ -42,7 +42,7 @@ from chartloom.sources import (
     write_split,
     write_upsert,
 )
-from chartloom.streaming import read_batches, run_stream, run_tagged, stream_assemble_blobs, stream_documents
+from chartloom.streaming import assembly, read_batches, run_stream, run_tagged, stream_assemble_blobs, stream_documents
 from test_operators import AS_OF, PATIENT_SCHEMA, PATIENTS, mention, mentions
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -266,6 +266,80 @@ def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     assert len(list((out / "good").iterdir())) >= 4
 
 
+def test_stream_works_out_a_batch_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    spark.range(50).write.parquet(str(tmp_path / "in"))
+    rows_in = stream_documents(spark, str(tmp_path / "in"), "id long").mapInPandas(count, "id long")
+    out = tmp_path / "out"
+    run_stream(rows_in, lambda b: (b.filter("id < 20"), b.filter("id >= 20")), f"{out}/good", f"{out}/failed", f"{out}/state").awaitTermination()
+    assert len(rows(read_batches(spark, f"{out}/good"))) == 20 and len(rows(read_batches(spark, f"{out}/failed"))) == 30
+    assert seen.value == 50
+
+
+class _Calls:
+    """State of one key, in memory; counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.n = {}, 0
+
+    def _asked(self, value=None):
+        self.n += 1
+        return value
+
+    def exists(self):
+        return self._asked(bool(self.held))
+
+    def get(self):
+        return self._asked(self.held.get(None))
+
+    def update(self, value):
+        self.held[None] = self._asked(value)
+
+    def getValue(self, key):  # noqa: N802
+        return self._asked(self.held.get(key))
+
+    def containsKey(self, key):  # noqa: N802
+        return self._asked(key in self.held)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.held[key] = self._asked(value)
+
+    def iterator(self):
+        return iter(self._asked(list(self.held.items())))
+
+    def clear(self):
+        self._asked(self.held.clear())
+
+
+def test_assembly_asks_its_state_for_blocks_of_parts():
+    def run(*batches):
+        state = {n: _Calls() for n in ("parts", "known", "done")}
+        part = assembly._Assembler("fail", False, None, None)
+        part.parts, part.known, part.done = state["parts"], state["known"], state["done"]
+        names = ("id", "seq", "ordinal", "bin", "total")
+        found = []
+        for batch in batches:
+            made = [{"id": "a", "seq": s, "ordinal": None, "bin": base64.b64encode(t.encode()).decode(), "total": n} for s, t, n in batch]
+            found += list(part.handleInputRows(("a",), iter([{k: m[k] for k in names} for m in made]), None))
+        return [(bytes(r["payload"] or b"").decode(), r["error"]) for r in found], sum(s.n for s in state.values())
+
+    many = [(i, chr(97 + i % 26), 100) for i in range(1, 101)]
+    text = "".join(t for _, t, _ in many)
+    assert run(many) == ([(text, None)], 3)
+    found, asked = run(many[::2], many[1::2])
+    assert found == [(text, None)] and asked < 25
+    # The last batch has parts of one block only; the others are read from state.
+    assert run(many[:70], many[70:])[0] == [(text, None)]
+    assert run(many[:70], [(3, "other", 100)])[0] == [("", "duplicate sequence number")]
+    assert run(many[:70], many[:5], many[64:])[0] == [(text, None)]
+
+
 def make_counting_client():
     return lambda batch: batch.assign(size=batch["id"] * 2)[["size"]]
 
