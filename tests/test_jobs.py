@@ -282,6 +282,20 @@ def test_stream_works_out_a_batch_once(spark, tmp_path):
     assert seen.value == 50
 
 
+def test_streams_read_a_table_in_several_files(spark, tmp_path):
+    from workload.streams import stream_assembled, stream_flow
+
+    one, many = tmp_path / "one", tmp_path / "many"
+    docs = spark.range(1, 41).selectExpr("id AS doc_id", "repeat(concat('text ', id, ' '), id) AS text", "'en' AS lang")
+    docs.repartition(3).write.parquet(f"{many}/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/made")
+    one.mkdir()
+    next((tmp_path / "made").glob("part-*")).rename(one / "documents.parquet")
+    for query in (stream_flow, stream_assembled):
+        got = [sorted(map(str, query(spark, str(sf)).collect())) for sf in (one, many)]
+        assert got[0] == got[1] and got[0]
+
+
 class _Calls:
     """State of one key, in memory; counts what is asked of it."""
 
