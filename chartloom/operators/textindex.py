@@ -8,10 +8,13 @@ segment more; nothing is rewritten.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartloom.functions.names import named
 
@@ -28,27 +31,47 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id``, ``text_key``, ``words`` to a row for each different word of a row, with its places in order."""
+    for batch in batches:
+        counts = batch.column(2).value_lengths().to_numpy()
+        coded = batch.column(2).flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(counts)), counts)
+        key = row * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        places = pa.ListArray.from_arrays(pa.array([*first, len(row)], pa.int32()), pa.array(place[order], pa.int32()))
+        one = order[first]
+        mine = pa.array(row[one])
+        columns = [coded.dictionary.take(coded.indices.take(pa.array(one))), batch.column(0).take(mine), batch.column(1).take(mine), places]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "text_key", "places"])
+
+
 def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``bucket``, ``term``, ``id``, ``text_key``, ``places`` (ascending): a row for each term of each text.
+    """``bucket``, ``term``, ``id``, ``text_key``, ``places`` (ascending): a row for each term of each row's text.
 
     ``text_key`` is the text's hash: it tells rows of one id apart and postings of a text
-    that has changed since.  Places of a document are put together where it was read.
+    that has changed since.  Places of a document are put together where it was read, and
+    nothing is shuffled; rows that are equal in id and text have equal postings.
     """
-    found = df.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("text_key"), F.posexplode(words(named(text_col))).alias("place", "term"))
-    held = found.groupBy("id", "text_key", "term").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    return held.select(_bucket(F.col("term")).alias("bucket"), "term", "id", "text_key", "places")
+    found = df.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("text_key"), words(named(text_col)).alias("words")).filter(F.size("words") > 0)
+    schema = T.StructType([
+        T.StructField("term", T.StringType()), found.schema["id"], found.schema["text_key"],
+        T.StructField("places", T.ArrayType(T.IntegerType())),
+    ])
+    return found.mapInArrow(_by_term, schema).select(_bucket(F.col("term")).alias("bucket"), "term", "id", "text_key", "places")
 
 
 def write_text_index(df: DataFrame, id_col: str, text_col: str, path: str, segment: str) -> None:
     """Add the postings of ``df`` as one segment; a segment of that name is overwritten, so that a rerun adds nothing.
 
-    Postings are range partitioned by bucket, term and document: a task writes few files,
-    and a term that every document has is several tasks'.  A segment shows when all of it
-    is written.
+    A task writes the postings of the texts it read, a file for each bucket, sorted by
+    term and document: a text's postings never move, and a term that every document has is
+    several tasks'.  A segment shows when all of it is written.
     """
-    rows = postings(df, id_col, text_col)
     order = ["bucket", "term", "id", "text_key"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(
+    postings(df, id_col, text_col).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(
         f"{path.rstrip('/')}/segment={segment}"
     )
 
@@ -71,7 +94,7 @@ def search_index(spark: SparkSession, path: str, terms: Sequence[str], every: bo
     needed = sorted({w for phrase in wanted for w in phrase})
     index = spark.read.option("basePath", path).parquet(path)
     rows = index.filter(F.col("bucket").isin(buckets) & F.col("term").isin(needed)).select("term", "id", "text_key", "places")
-    # A segment that holds a text again has the same places.
+    # A text that is held again, in its segment or another, has the same places.
     places = [F.max(F.when(F.col("term") == w, F.col("places"))).alias(f"w{i}") for i, w in enumerate(needed)]
     texts = rows.groupBy("id", "text_key").agg(*places) if needed else rows.select("id", "text_key").limit(0)
     hits = [_follows([F.col(f"w{needed.index(w)}") for w in phrase]) if phrase else F.lit(False) for phrase in wanted]

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartloom.operators import match_indexed, match_text, search_index, write_text_index
+from chartloom.operators.textindex import postings
 from chartloom.sources import (
     MarkLog,
     create_keyed,
@@ -169,6 +170,13 @@ def test_index_finds_what_the_texts_have(spark, tmp_path):
     assert 1 not in ids(match_indexed(changed, path, "id", "text", ["chest"]))
 
 
+def test_postings_are_made_where_texts_are_read(spark):
+    df = spark.createDataFrame([(1, "b a, b", 0), (2, None, 0), (3, "--", 0), (None, "a", 0)], "id int, text string, n int")
+    held = postings(df, "id", "text")
+    assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r["id"], r["term"], r["places"]) for r in held.collect()), key=str) == [(1, "a", [1]), (1, "b", [0, 2]), (None, "a", [0])]
+
+
 def test_search_reads_its_buckets_only(spark, tmp_path):
     df = spark.createDataFrame(TEXTS, "id int, text string")
     path = str(tmp_path / "index")
