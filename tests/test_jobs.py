@@ -296,6 +296,15 @@ def test_streams_read_a_table_in_several_files(spark, tmp_path):
         assert got[0] == got[1] and got[0]
 
 
+def test_split_files_are_read_once(spark, tmp_path):
+    from workload.files import split_files
+
+    spark.range(200).selectExpr("id AS o_orderkey", "'F' AS o_orderstatus").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    back = split_files(spark, str(tmp_path))
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert sorted(map(tuple, back.collect())) == [(i, "F", True) for i in range(200)]
+
+
 class _Calls:
     """State of one key, in memory; counts what is asked of it."""
 
