@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import base64
 import json
+import random
 import sys
 import time
 
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -363,6 +365,77 @@ def test_assembly_asks_its_state_for_blocks_of_parts():
     assert run(many[:70], many[:5], many[64:])[0] == [(text, None)]
 
 
+class _Entries(_Calls):
+    """A map state of a bucket."""
+
+    def removeKey(self, key):  # noqa: N802
+        self.held.pop(key, None)
+        self.n += 1
+
+
+def _arriving(rng, places):
+    """Batches of parts of six documents: some come twice, some with other bytes, some without a number."""
+    parts = []
+    for d in "abcdef":
+        total = rng.randrange(1, places)
+        for i in range(total):
+            seq = None if d == "e" or (d == "f" and rng.random() < 0.1) else i + 1
+            text = base64.b64encode(f"{d}{i}".encode()).decode()
+            copies = [(d, seq, i * 7, text, total)] * rng.choice([1, 1, 1, 2])
+            if rng.random() < 0.02:
+                copies.append((d, seq, i * 7 + 1, rng.choice(["b3RoZXI=", None, "*"]), total))
+            parts += copies
+    rng.shuffle(parts)
+    cuts = sorted(rng.randrange(len(parts)) for _ in range(3))
+    return [parts[low:high] for low, high in zip([0, *cuts], [*cuts, len(parts)])]
+
+
+@pytest.mark.parametrize("dup", ["fail", "keep_first"])
+def test_a_bucket_of_documents_gives_what_each_alone_gives(dup):
+    rng = random.Random(17)
+    for _ in range(60):
+        bucket = assembly._Buckets(dup, True, None, None)
+        bucket.documents, bucket.parts = _Entries(), _Entries()
+        alone, found = {}, ([], [])
+        for batch in _arriving(rng, rng.choice([3, 20, 120])):
+            frame = pd.DataFrame(
+                [(d, s or 0, s is not None, o, True, text, n, True) for d, s, o, text, n in batch],
+                columns=["id", "seq", "has_seq", "ordinal", "has_ordinal", "bin", "total", "has_total"])
+            for out in bucket.handleInputRows((0,), iter([frame[:9], frame[9:]]), None):
+                found[0].extend(tuple(None if pd.isna(v) else v for v in r) for r in out.itertuples(index=False))
+            for d in dict.fromkeys(p[0] for p in batch):
+                if d not in alone:
+                    alone[d] = assembly._Assembler(dup, True, None, None)
+                    alone[d].parts, alone[d].known, alone[d].done = _Calls(), _Calls(), _Calls()
+                rows_in = [dict(zip(("seq", "ordinal", "bin", "total"), p[1:])) for p in batch if p[0] == d]
+                found[1].extend(tuple(r) for r in alone[d].handleInputRows((d,), iter(rows_in), None))
+        assert found[0] == found[1] and found[0]
+        # What is closed leaves its mark only.
+        assert {k[0] for k in bucket.parts.held} <= {k[0] for k, v in bucket.documents.held.items() if v[0]}
+
+
+def test_a_bucket_takes_two_calls_a_document_and_batch():
+    bucket = assembly._Buckets("fail", False, None, None)
+    bucket.documents, bucket.parts = _Entries(), _Entries()
+    got = []
+    for i in range(4):
+        frame = pd.DataFrame({"id": [f"d{k}" for k in range(300)], "seq": i, "bin": "eA==", "total": 4, "ordinal": 0}).assign(has_seq=True, has_total=True, has_ordinal=False)
+        got += [r for out in bucket.handleInputRows((0,), iter([frame]), None) for r in out["payload"]]
+    assert got == [b"xxxx"] * 300 and bucket.documents.n == 2 * 4 * 300 and bucket.parts.n == 0
+
+
+def test_texts_are_cut_up_once_for_all_lots(spark, tmp_path):
+    from workload import streams
+
+    spark.range(1, 31).selectExpr("id AS doc_id", "repeat(concat('text ', id, ' '), id * 9) AS text", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    dealt = streams._arrivals(spark, str(tmp_path))
+    lots = [dealt.filter(F.col("lot") == n).drop("lot") for n in range(3)]
+    assert all("InMemoryTableScan" in lot._jdf.queryExecution().executedPlan().toString() and lot.count() for lot in lots)
+    dealt.unpersist()
+    assert streams.stream_batches(spark, str(tmp_path)).count() and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
 def make_counting_client():
     return lambda batch: batch.assign(size=batch["id"] * 2)[["size"]]
 
