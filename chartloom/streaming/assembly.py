@@ -39,6 +39,8 @@ _OUT = T.StructType([
 PLACES = 32
 #: What documents are dealt in by a hash of their id.  Checkpoints depend on it.
 BUCKETS = 4096
+#: A bucket's documents are read one after the other as a whole if a batch has parts for so many, and for half of them.
+MANY = 16
 #: Assembled bytes and documents that leave a task together.
 OUT_BYTES, OUT_ROWS = 32 << 20, 1000
 #: What is known of a document.
@@ -63,7 +65,7 @@ class _Document:
 
     def __init__(self, bucket: _Buckets, key: str) -> None:
         self.bucket, self.id = bucket, key
-        stored = bucket.documents.getValue((key,))
+        stored = bucket.value_of(key)
         self.is_stored, self.is_closed = stored is not None, stored is not None and not stored[0]
         known, due, blocks, held = json.loads(stored[0]) if stored is not None and stored[0] else (None, None, (), ())
         self.before: tuple | None = known and tuple(known)
@@ -173,6 +175,22 @@ class _Buckets(StatefulProcessor):
         if self.assembler.keep_closed_ms is not None:
             self.done = handle.getMapState("done", _ID, _DONE, self.assembler.keep_closed_ms)
 
+    def _read(self, ids: dict[str, list[dict]]) -> None:
+        """Values of all documents, if most are asked for: they come many at a time, single ones take a call each."""
+        self.values: dict[str, tuple] = {}
+        self.is_read = False
+        if len(ids) >= MANY:
+            for (key,), value in self.documents.iterator():
+                if len(self.values) >= 2 * len(ids):
+                    return
+                self.values[key] = value
+            self.is_read = True
+
+    def value_of(self, key: str) -> tuple | None:
+        if self.is_read or key in self.values:
+            return self.values.get(key)
+        return self.documents.getValue((key,))
+
     def was_closed(self, key: str) -> bool:
         return self.assembler.keep_closed_ms is not None and self.done.containsKey((key,))
 
@@ -201,6 +219,7 @@ class _Buckets(StatefulProcessor):
             for id_, *part in zip(frame["id"].tolist(), seq, ordinal, frame["bin"].tolist(), total):
                 by_id.setdefault(id_, []).append(dict(zip(("seq", "ordinal", "bin", "total"), part)))
         self.due_now: dict[int, list[str]] = {}
+        self._read(by_id)
         for id_, parts in by_id.items():
             document = self._at(id_)
             yield from self.assembler.handleInputRows((id_,), iter(parts), timerValues)
@@ -217,6 +236,7 @@ class _Buckets(StatefulProcessor):
     def _expired(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         due = expiredTimerInfo.getExpiryTimeInMs()
         held = self.due.getValue((due,))
+        self._read({})
         for id_ in [] if held is None else json.loads(held[0]):
             document = self._at(id_)
             # It may be closed by now, or forgotten and begun anew.

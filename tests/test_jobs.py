@@ -390,8 +390,10 @@ def _arriving(rng, places):
     return [parts[low:high] for low, high in zip([0, *cuts], [*cuts, len(parts)])]
 
 
+@pytest.mark.parametrize("many", [1, 16])
 @pytest.mark.parametrize("dup", ["fail", "keep_first"])
-def test_a_bucket_of_documents_gives_what_each_alone_gives(dup):
+def test_a_bucket_of_documents_gives_what_each_alone_gives(dup, many, monkeypatch):
+    monkeypatch.setattr(assembly, "MANY", many)
     rng = random.Random(17)
     for _ in range(60):
         bucket = assembly._Buckets(dup, True, None, None)
@@ -414,14 +416,14 @@ def test_a_bucket_of_documents_gives_what_each_alone_gives(dup):
         assert {k[0] for k in bucket.parts.held} <= {k[0] for k, v in bucket.documents.held.items() if v[0]}
 
 
-def test_a_bucket_takes_two_calls_a_document_and_batch():
+def test_a_bucket_takes_a_call_for_a_document_and_batch():
     bucket = assembly._Buckets("fail", False, None, None)
     bucket.documents, bucket.parts = _Entries(), _Entries()
     got = []
     for i in range(4):
         frame = pd.DataFrame({"id": [f"d{k}" for k in range(300)], "seq": i, "bin": "eA==", "total": 4, "ordinal": 0}).assign(has_seq=True, has_total=True, has_ordinal=False)
         got += [r for out in bucket.handleInputRows((0,), iter([frame]), None) for r in out["payload"]]
-    assert got == [b"xxxx"] * 300 and bucket.documents.n == 2 * 4 * 300 and bucket.parts.n == 0
+    assert got == [b"xxxx"] * 300 and bucket.documents.n == 4 * (1 + 300) and bucket.parts.n == 0
 
 
 def test_texts_are_cut_up_once_for_all_lots(spark, tmp_path):
